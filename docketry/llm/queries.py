@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import decontam, langid, mixing, neardup, ngramlm, quality, sharding, toxicity, tsmedia
+from docketry.llm import decontam, htmltree, langid, mixing, neardup, ngramlm, quality, sharding, toxicity, tsmedia
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltree.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score_toxicity(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
@@ -53,7 +57,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-_QUERIES = (op1_language_id, op2_mixing, op4_toxicity, op5_sharding, op6_transport_streams, op7_quality, op8_ngram_lm, op9_near_duplicates, op10_decontamination)
+_QUERIES = (op1_language_id, op2_mixing, op3_main_text, op4_toxicity, op5_sharding, op6_transport_streams, op7_quality, op8_ngram_lm, op9_near_duplicates, op10_decontamination)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

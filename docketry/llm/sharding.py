@@ -82,3 +82,9 @@ def shard_digest(documents: DataFrame) -> DataFrame:
     """doc_id, size, text_crc32 and the shard columns of each row of `documents`."""
     light = documents.select("doc_id", text_size().alias("size"), text_crc().alias("text_crc32"))
     return sharded(light, ["doc_id", "text_crc32"], "size")
+
+
+def sharded_documents(documents: DataFrame) -> DataFrame:
+    """Whole rows of `documents`, moved with their texts, with the digest and shard columns."""
+    whole = documents.drop("size", "text_crc32").withColumns({"size": text_size(), "text_crc32": text_crc()})
+    return sharded(whole, ["doc_id", "text_crc32"], "size")
