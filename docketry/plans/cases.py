@@ -64,7 +64,7 @@ def order_fact_table(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))).alias("v"))
-    ledger = F.when(k % 4 == 0, F.col("o_totalprice")).when(k % 4 == 1, F.col("o_totalprice") * 1.004).when(k % 4 == 2, F.col("o_totalprice") * 1.05).otherwise(F.col("o_totalprice") * 1.5)
+    ledger = F.when(k % 4 == 0, F.col("o_totalprice")).when(k % 4 == 1, F.col("o_totalprice") * 1.00411).when(k % 4 == 2, F.col("o_totalprice") * 1.05371).otherwise(F.col("o_totalprice") * 1.50013)
     base = lambda df, src, key, v: df.select(F.concat(F.lit("order "), key.cast("string")).alias("subject"), F.lit("order total").alias("metric"), F.lit(src).alias("source_id"), F.round(v, 2).alias("value"), key.alias("k"))
     every = base(o, "orders", k, F.col("o_totalprice")).unionByName(base(li, "lineitem", F.col("k"), F.col("v"))).unionByName(base(o, "ledger", k, ledger))
     return every.withColumns({
@@ -76,7 +76,7 @@ def order_fact_table(spark, sf_dir):
 _FACTS = """f AS (
  SELECT 'order ' || o_orderkey AS subject, 'orders' AS src, round(o_totalprice,2) AS v, 'USD' AS cur, 0.9 AS conf, o_orderkey AS k FROM orders
  UNION ALL SELECT 'order ' || l_orderkey, 'lineitem', round(sum(l_extendedprice*(1-l_discount)*(1+l_tax)),2), 'USD', 0.9, l_orderkey FROM lineitem GROUP BY l_orderkey
- UNION ALL SELECT 'order ' || o_orderkey, 'ledger', round(o_totalprice * CASE o_orderkey%4 WHEN 0 THEN 1 WHEN 1 THEN 1.004 WHEN 2 THEN 1.05 ELSE 1.5 END, 2), CASE WHEN o_orderkey%8=7 THEN 'EUR' ELSE 'USD' END, 0.8, o_orderkey FROM orders),
+ UNION ALL SELECT 'order ' || o_orderkey, 'ledger', round(o_totalprice * CASE o_orderkey%4 WHEN 0 THEN 1 WHEN 1 THEN 1.00411 WHEN 2 THEN 1.05371 ELSE 1.50013 END, 2), CASE WHEN o_orderkey%8=7 THEN 'EUR' ELSE 'USD' END, 0.8, o_orderkey FROM orders),
 p AS (SELECT a.subject, a.src AS a_src, b.src AS b_src, a.v AS av, b.v AS bv, a.cur=b.cur AS ok, least(a.conf,b.conf) AS conf, a.k FROM f a JOIN f b ON a.subject=b.subject AND a.src<b.src),
 c AS (SELECT *, abs(av-bv) AS d, CASE WHEN greatest(abs(av),abs(bv))=0 THEN 0 ELSE abs(av-bv)/greatest(abs(av),abs(bv))*100 END AS pct, greatest(0, conf - CASE WHEN k%10=0 THEN 0.2 ELSE 0 END - 0.1) AS score FROM p WHERE ok),
 g AS (SELECT *, CASE WHEN d>0.01 AND pct>1 THEN CASE WHEN pct>=10 THEN 'high' WHEN pct>=2 THEN 'medium' ELSE 'low' END END AS severity FROM c)"""
@@ -86,9 +86,9 @@ def _done(spark, sf_dir):
     return reasoning.compared(reasoning.with_checks(reasoning.pairs(order_fact_table(spark, sf_dir))))
 
 
-@_q(f"WITH {_FACTS} SELECT subject, a_src AS a_source_id, b_src AS b_source_id, round(round_even(d,6),2) AS difference, round(round_even(pct,6),4) AS percent, severity, round(score,4) AS confidence FROM g")
+@_q(f"WITH {_FACTS} SELECT subject, a_src AS a_source_id, b_src AS b_source_id, round(d,2) AS difference, round(pct,6) AS percent, severity, round(score,4) AS confidence FROM g")
 def case_comparisons(spark, sf_dir):
-    return _done(spark, sf_dir).select("subject", "a_source_id", "b_source_id", F.round("difference", 2).alias("difference"), F.round("percent", 4).alias("percent"), "severity", "confidence")
+    return _done(spark, sf_dir).select("subject", "a_source_id", "b_source_id", F.round("difference", 2).alias("difference"), F.round("percent", 6).alias("percent"), "severity", "confidence")
 
 
 @_q(f"WITH {_FACTS} SELECT severity, count(*) AS n, round(avg(score),4) AS confidence FROM g WHERE severity IS NOT NULL GROUP BY severity")
