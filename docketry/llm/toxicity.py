@@ -1,7 +1,8 @@
 """Toxic spans by a linear-chain conditional random field over words, and document scores from its marginals.
 
-Documents are labelled, words are not: a word is labelled toxic inside a toxic document if its document frequency there is far
-above that in clean documents (a likelihood-ratio test), so the field learns from labelled words. States are clean and toxic;
+Documents are labelled, words are not: a word or word beginning is labelled toxic inside a toxic document if toxic documents
+hold it far more often than clean ones of the same number of distinct words (a likelihood-ratio test), so the field learns from
+labelled words. Of a word's known forms (the word, its beginnings) the one with most evidence is its feature. States are clean and toxic;
 potentials are one weight per known word, a bias, and transitions. Words more than REACH words from any known word carry
 constant potentials; the chain is cut there with the state clean, so long texts cost one look-up a word.
 Forward-backward marginals give spans with character offsets, and aggregate to a document score by a fitted logistic.
@@ -25,7 +26,9 @@ from docketry.llm.common import bounded_sample, by_batch, held_out
 
 #: Most labelled documents of each class that fitting reads; texts are sent to the driver up to this bound.
 TOXIC_ROWS, CLEAN_ROWS = 3_000, 6_000
-REACH, LEAST_DOCS, LEAST_RATIO = 2, 3, 12.0
+REACH, LEAST_DOCS, LEAST_EVIDENCE, LEAST_RATIO = 2, 3, 15.0, 8.0
+#: Lengths of the word beginnings that can be features.
+STEMS = range(4, 9)
 _STRIP = ".,;:!?\"'()[]{}<>*#$%&|_-~`…“”«»¡¿/\\"
 #: Digits and signs that stand for letters.
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
@@ -41,15 +44,22 @@ def normal(word: str) -> str:
     return _RUN.sub(r"\1", bare)
 
 
+def forms(bare: str) -> list[str]:
+    """The feature names of a normal form: itself, and its beginnings with a star."""
+    return [bare, *(f"{bare[:k]}*" for k in STEMS if k < len(bare))]
+
+
 @dataclass
 class ToxicField:
-    """The field's parameters: word weights, bias, log transitions [from, to], and the document logistic (slope, offset)."""
+    """The field's parameters: feature weights, bias, log transitions [from, to], and the document logistic."""
 
     words: dict[str, float] = field(default_factory=dict)
+    #: Evidence for each feature, by which a word's form is chosen.
+    order: dict[str, float] = field(default_factory=dict)
     bias: float = -4.0
     moves: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
-    slope: float = 0.0
-    offset: float = 0.0
+    #: Weights of the document logistic: evidence, evidence per 100 words, constant.
+    document: np.ndarray = field(default_factory=lambda: np.zeros(3))
 
     def marginals(self, weights: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Forward-backward over padded segments: P(toxic) per word, expected moves per segment row, log partition.
@@ -82,24 +92,29 @@ class ToxicField:
         inner[1, 0] += last.sum()
         return p, inner, z
 
-    def document_score(self, evidence: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.slope * np.log1p(evidence) + self.offset)))
+    def document_score(self, found: np.ndarray) -> np.ndarray:
+        """`found`: rows of (evidence, words)."""
+        return 1 / (1 + np.exp(-(document_features(found) @ self.document)))
+
+
+def document_features(found: np.ndarray) -> np.ndarray:
+    e, n = found.reshape(-1, 2).T
+    return np.stack([np.log1p(e), np.log1p(100 * e / (n + 20)), np.ones(len(e))], axis=1)
 
 
 class Reader:
     """Turns texts into padded segments of words near known ones; keeps a bounded cache of word forms."""
 
-    def __init__(self, words: dict[str, float], most: int = 400_000):
-        self.words, self.hot, self.seen, self.most = words, {}, set(), most
+    def __init__(self, words: dict[str, float], order: dict[str, float], most: int = 400_000):
+        self.words, self.order, self.hot, self.seen, self.most = words, order, {}, set(), most
 
     def segments(self, text: str) -> list[list[tuple[int, float]]]:
         """Lists of (word number, weight) for each stretch within REACH of a known word."""
         raw = text.split()
         have = set(raw)
         for w in have.difference(self.seen):
-            form = normal(w)
-            if form in self.words:
-                self.hot[w] = form
+            if known := [f for f in forms(normal(w)) if f in self.order]:
+                self.hot[w] = max(known, key=lambda f: (self.order[f], len(f)))
         if len(self.seen) > self.most:
             self.seen, self.hot = set(), {w: f for w, f in self.hot.items() if w in have}
         self.seen |= have
@@ -126,20 +141,22 @@ def _padded(segments: list[list[tuple[int, float]]]) -> tuple[np.ndarray, np.nda
     return w, lengths
 
 
-def toxic_words(texts: list[str], toxic: np.ndarray) -> dict[str, float]:
-    """Words whose presence marks toxic documents, with their log odds: a G-test over document frequencies."""
-    one, zero = Counter(), Counter()
+def toxic_words(texts: list[str], toxic: np.ndarray) -> dict[str, tuple[float, float]]:
+    """Features that mark toxic documents: name -> (log rate ratio, evidence), a G-test of documents against distinct words read."""
+    one, zero, read = Counter(), Counter(), [1, 1]
     for text, y in zip(texts, toxic):
-        (one if y else zero).update({f for f in map(normal, set(text.split())) if f})
-    n1, n0 = max(int(toxic.sum()), 1), max(int((~toxic).sum()), 1)
+        bare = {f for f in map(normal, set(text.split())) if f}
+        (one if y else zero).update({f for b in bare for f in forms(b)})
+        read[int(y)] += len(bare)
+    share = read[1] / sum(read)
     out = {}
     for w, k1 in one.items():
         k0 = zero[w]
-        p = (k1 + k0) / (n1 + n0)
-        e1, e0 = n1 * p, n0 * p
-        g = 2 * (k1 * np.log(k1 / e1) + (k0 * np.log(k0 / e0) if k0 else 0))
-        if k1 >= LEAST_DOCS and k1 / n1 > 4 * (k0 + 0.5) / n0 and g >= LEAST_RATIO:
-            out[w] = float(np.log((k1 + 0.5) / n1) - np.log((k0 + 0.5) / n0))
+        ratio = (k1 / read[1]) / ((k0 + 0.5) / read[0])
+        if k1 >= LEAST_DOCS and ratio >= LEAST_RATIO:
+            g = 2 * (k1 * np.log(k1 / ((k1 + k0) * share)) + (k0 * np.log(k0 / ((k1 + k0) * (1 - share))) if k0 else 0))
+            if g >= LEAST_EVIDENCE:
+                out[w] = (float(np.log(ratio)), float(g))
     return out
 
 
@@ -148,11 +165,12 @@ def fit_field(texts: list[str], toxic: np.ndarray, steps: int = 120, rate: float
     model = ToxicField()
     if not len(texts) or toxic.all() or not toxic.any():
         return model
-    weights = toxic_words(texts, toxic)
-    names = sorted(weights)
+    found = toxic_words(texts, toxic)
+    names = sorted(found)
+    model.order = {w: found[w][1] for w in names}
     number = {w: i for i, w in enumerate(names)}
-    # One segment row holds word numbers (-1: unknown word) and labels; a known word is toxic inside a toxic document.
-    reader = Reader({w: float(i + 1) for w, i in number.items()})
+    # One segment row holds feature numbers (-1: unknown word) and labels; a known word is toxic inside a toxic document.
+    reader = Reader({w: float(i + 1) for w, i in number.items()}, model.order)
     rows, labels, owner = [], [], []
     for d, (text, y) in enumerate(zip(texts, toxic)):
         for seg in reader.segments(text):
@@ -160,7 +178,7 @@ def fit_field(texts: list[str], toxic: np.ndarray, steps: int = 120, rate: float
                 rows.append([int(x) - 1 for _, x in seg[at : at + 64]])
                 labels.append([int(y and x > 0) for _, x in seg[at : at + 64]])
                 owner.append(d)
-    theta = np.array([weights[w] for w in names])
+    theta = np.array([found[w][0] for w in names])
     model.moves = np.array([[0.0, -1.0], [-0.5, 0.0]])
     if rows:
         lengths = np.array([len(r) for r in rows])
@@ -188,21 +206,18 @@ def fit_field(texts: list[str], toxic: np.ndarray, steps: int = 120, rate: float
             model.moves = model.moves + rate * grads[2] / np.sqrt(sums[2])
             model.moves[0, 0] = 0.0
     model.words = dict(zip(names, theta.tolist()))
-    x = np.log1p(np.array([e for e, _ in evidence(model, Reader(model.words), texts)]))
-    yy, ab = toxic.astype(float), np.array([1.0, -2.0])
+    x = document_features(np.array([(e, n) for e, n, _ in evidence(model, Reader(model.words, model.order), texts)]))
+    yy, w = toxic.astype(float), np.array([1.0, 0.0, -2.0])
     for _ in range(50):
-        q = 1 / (1 + np.exp(-np.clip(ab[0] * x + ab[1], -30, 30)))
-        v = q * (1 - q) + 1e-9
-        g = np.array([((yy - q) * x).sum(), (yy - q).sum()]) - 0.05 * ab
-        h = np.array([[(v * x * x).sum(), (v * x).sum()], [(v * x).sum(), v.sum()]]) + 0.05 * np.eye(2)
-        ab = ab + np.linalg.solve(h, g)
-    model.slope, model.offset = map(float, ab)
+        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w = w + np.linalg.solve((x * (q * (1 - q) + 1e-9)[:, None]).T @ x + 0.05 * np.eye(3), x.T @ (yy - q) - 0.05 * w)
+    model.document = w
     return model
 
 
-def evidence(model: ToxicField, reader: Reader, texts: list[str | None]) -> list[tuple[float, list[tuple[int, float]]]]:
-    """Per text: -log P(no word is toxic), summed over words, and (word number, marginal) of words more likely toxic than not."""
-    segs, owner = [], []
+def evidence(model: ToxicField, reader: Reader, texts: list[str | None]) -> list[tuple[float, int, list[tuple[int, float]]]]:
+    """Per text: -log P(word is not toxic) summed over words, the number of words, and (word number, marginal) of words more likely toxic than not."""
+    segs, owner, counts = [], [], [len((t or "").split()) for t in texts]
     for d, text in enumerate(texts):
         for s in reader.segments(text or ""):
             segs.append(s)
@@ -217,7 +232,7 @@ def evidence(model: ToxicField, reader: Reader, texts: list[str | None]) -> list
             row = row[: len(s)]
             total[owner[i]] += float(-np.log1p(-np.minimum(row, 1 - 1e-9)).sum())
             marked[owner[i]] += [(s[k][0], float(row[k])) for k in np.flatnonzero(row > 0.5)]
-    return list(zip(total.tolist(), marked))
+    return list(zip(total.tolist(), counts, marked))
 
 
 def spans_of(text: str, marked: list[tuple[int, float]]) -> list[dict]:
@@ -247,11 +262,11 @@ def score_toxicity(documents: DataFrame, model: ToxicField, threshold: float = 0
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not readers:
-            readers.append(Reader(model.words))
+            readers.append(Reader(model.words, model.order))
         texts = batch.column("text").to_pylist()
         got = evidence(model, readers[0], texts)
-        score = model.document_score(np.array([e for e, _ in got], dtype=np.float64))
-        spans = [spans_of(t, m) if m else [] for t, (_, m) in zip(texts, got)]
+        score = model.document_score(np.array([(e, n) for e, n, _ in got], dtype=np.float64))
+        spans = [spans_of(t, m) if m else [] for t, (_, _, m) in zip(texts, got)]
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
         return pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32)), pa.array(spans, kind)], names=["doc_id", "held_out", "score", "predicted", "spans"])
 
