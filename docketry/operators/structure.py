@@ -1,16 +1,17 @@
 """Page structure: boxes, reading order, rows and tables, captions, coverage, equations, bars.
 
 Relations between boxes are equi-joins on the page with range predicates. Recursive layout works on one page's boxes at a time
-(`applyInPandas` per page); pages are bounded by their nature.
+(a sorted fold per page); pages are bounded by their nature.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketry.operators.fold import folded
+
 #: Least shares and sizes of tables, gaps of captions and equations.
 MIN_FILL, MIN_CONSISTENCY, MAX_WORDS, CAPTION_GAP = 0.5, 0.6, 12, 0.06
 CAPTION = r"(?i)^\s*(fig(ure)?|chart|graph|diagram|image|plate|plot)\.?\s*\d+"
@@ -144,12 +145,10 @@ def reading_order(boxes: DataFrame, method: str = "xy_cut") -> DataFrame:
     """(page_id, box_id, reading_order_index) of boxes (page_id, box_id, x1..y2, page_width)."""
     order = {"xy_cut": xy_cut, "gutter": gutter_order}[method]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("box_id").reset_index(drop=True)
-        got = order(list(pdf[list(_BOX)].itertuples(index=False, name=None)), float(pdf["page_width"].iloc[0]))
-        return pd.DataFrame({"page_id": pdf["page_id"].iloc[got].to_numpy(), "box_id": pdf["box_id"].iloc[got].to_numpy(), "reading_order_index": range(len(got))})
+    def run(rows: list[tuple]) -> list[tuple]:
+        return [(rows[i][0], rows[i][1], k) for k, i in enumerate(order([r[2:6] for r in rows], float(rows[0][6])))]
 
-    return boxes.select("page_id", "box_id", *_BOX, "page_width").groupBy("page_id").applyInPandas(run, "page_id long, box_id long, reading_order_index int")
+    return folded(boxes.select("page_id", "box_id", *_BOX, "page_width"), "page_id", ["box_id"], run, "page_id long, box_id long, reading_order_index int", ["page_id", "box_id", "reading_order_index"])
 
 
 def ocr_lines(words: DataFrame) -> DataFrame:

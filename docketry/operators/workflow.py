@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketry.operators.fold import folded
+
 WINDOW_S, ALERT_AT, COLLAPSE_S, SIGNATURE_TTL_S = 600, 3, 300, 3600
 #: Fixed values: (state, action) -> state.
 TRANSITIONS = {("draft", "submit"): "in_review", ("in_review", "approve"): "approved", ("in_review", "reject"): "rejected", ("approved", "execute"): "executed", ("in_review", "edit"): "draft", ("approved", "edit"): "draft", ("rejected", "edit"): "draft", ("draft", "edit"): "draft"}
@@ -70,27 +72,27 @@ def approval_states(actions: DataFrame) -> DataFrame:
     Creators can't approve their own action, an approval lapses after its time to live, an edit resets, a repeated key does nothing.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("step")
-        state, creator, signed, seen, rows = "draft", pdf["actor"].iloc[0], None, set(), []
-        for r in pdf.itertuples(index=False):
+    def fold(events: list[tuple]) -> list[tuple]:
+        state, creator, signed, seen, rows = "draft", events[0][2], None, set(), []
+        for action_id, step, actor, verb, epoch, key in events:
             refused = None
-            if r.idempotency_key is not None and r.idempotency_key in seen:
+            if key is not None and key in seen:
                 refused = "repeated"
-            elif r.verb == "approve" and r.actor == creator:
+            elif verb == "approve" and actor == creator:
                 refused = "own_action"
-            elif (state, r.verb) not in TRANSITIONS:
+            elif (state, verb) not in TRANSITIONS:
                 refused = "not_allowed"
-            elif r.verb == "execute" and signed is not None and r.epoch - signed > SIGNATURE_TTL_S:
+            elif verb == "execute" and signed is not None and epoch - signed > SIGNATURE_TTL_S:
                 refused = "signature_expired"
             else:
-                state = TRANSITIONS[state, r.verb]
-                signed = r.epoch if r.verb == "approve" else signed
-                seen.add(r.idempotency_key)
-            rows.append((r.action_id, r.step, state, refused))
-        return pd.DataFrame(rows, columns=["action_id", "step", "state", "refused"])
-
-    return actions.groupBy("action_id").applyInPandas(fold, "action_id long, step long, state string, refused string")
+                state = TRANSITIONS[state, verb]
+                signed = epoch if verb == "approve" else signed
+                seen.add(key)
+            rows.append((action_id, step, state, refused))
+        return rows
+
+    ordered = actions.select("action_id", "step", "actor", "verb", "epoch", "idempotency_key")
+    return folded(ordered, "action_id", ["step"], fold, "action_id long, step long, state string, refused string", ["action_id", "step", "state", "refused"])
 
 
 def backoff_seconds(attempt: Column, base: float = 30.0, cap: float = 3600.0) -> Column:
