@@ -154,9 +154,9 @@ def warnings(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("source_id"), F.explode(codes).alias("c")).filter("source_id % c.m = 0").select("source_id", F.col("c.code").alias("code"), F.concat(F.col("c.code"), F.lit(" in "), F.col("source_id").cast("string")).alias("message"))
 
 
-@_q(f"WITH {_BLOCKS}, {_CAPS} SELECT source_id, round(least(avg(confidence), any_value(cap)),4) AS score, count(*) AS blocks FROM b LEFT JOIN (SELECT source_id, min(cap) AS cap FROM w GROUP BY 1) USING (source_id) GROUP BY source_id")
+@_q(f"WITH {_BLOCKS}, {_CAPS} SELECT source_id, round(least(avg(confidence), any_value(cap)),6) AS score, count(*) AS blocks FROM b LEFT JOIN (SELECT source_id, min(cap) AS cap FROM w GROUP BY 1) USING (source_id) GROUP BY source_id")
 def parse_score_capped(spark, sf_dir):
-    return report.parse_scores(blocks(spark, sf_dir), warnings(spark, sf_dir))
+    return report.parse_scores(blocks(spark, sf_dir), warnings(spark, sf_dir), places=6)
 
 
 @_q(f"WITH {_BLOCKS}, {_CAPS}, s AS (SELECT source_id, least(avg(confidence), any_value(cap)) AS score, count(*) AS blocks FROM b LEFT JOIN (SELECT source_id, min(cap) AS cap FROM w GROUP BY 1) USING (source_id) GROUP BY source_id) SELECT count(*) AS documents, sum(blocks)::BIGINT AS blocks, round(sum(score*blocks)/sum(blocks),4) AS score FROM s")
