@@ -27,6 +27,8 @@ from docketry.llm.common import bounded_sample, by_batch, held_out
 #: Most labelled documents of each class that fitting reads; texts are sent to the driver up to this bound.
 TOXIC_ROWS, CLEAN_ROWS = 3_000, 6_000
 REACH, LEAST_DOCS, LEAST_EVIDENCE, LEAST_RATIO = 2, 3, 15.0, 8.0
+#: Words of a training piece of a segment.
+PIECE = 16
 #: Lengths of the word beginnings that can be features.
 STEMS = range(4, 9)
 _STRIP = ".,;:!?\"'()[]{}<>*#$%&|_-~`…“”«»¡¿/\\"
@@ -144,23 +146,34 @@ def _padded(segments: list[list[tuple[int, float]]]) -> tuple[np.ndarray, np.nda
 def toxic_words(texts: list[str], toxic: np.ndarray) -> dict[str, tuple[float, float]]:
     """Features that mark toxic documents: name -> (log rate ratio, evidence), a G-test of documents against distinct words read."""
     one, zero, read = Counter(), Counter(), [1, 1]
+    bare = lambda text: {f for f in map(normal, set(text.split())) if f}
     for text, y in zip(texts, toxic):
-        bare = {f for f in map(normal, set(text.split())) if f}
-        (one if y else zero).update({f for b in bare for f in forms(b)})
-        read[int(y)] += len(bare)
+        if y:
+            words = bare(text)
+            one.update({f for b in words for f in forms(b)})
+            read[1] += len(words)
+    one = Counter({w: k for w, k in one.items() if k >= LEAST_DOCS})
+    # Clean documents can only count against what toxic ones hold often enough, so each word's such forms are looked up once.
+    held: dict[str, list[str]] = {}
+    for text, y in zip(texts, toxic):
+        if not y:
+            words = bare(text)
+            held.update((b, [f for f in forms(b) if f in one]) for b in words if b not in held)
+            zero.update({f for b in words for f in held[b]})
+            read[0] += len(words)
     share = read[1] / sum(read)
     out = {}
     for w, k1 in one.items():
         k0 = zero[w]
         ratio = (k1 / read[1]) / ((k0 + 0.5) / read[0])
-        if k1 >= LEAST_DOCS and ratio >= LEAST_RATIO:
+        if ratio >= LEAST_RATIO:
             g = 2 * (k1 * np.log(k1 / ((k1 + k0) * share)) + (k0 * np.log(k0 / ((k1 + k0) * (1 - share))) if k0 else 0))
             if g >= LEAST_EVIDENCE:
                 out[w] = (float(np.log(ratio)), float(g))
     return out
 
 
-def fit_field(texts: list[str], toxic: np.ndarray, steps: int = 120, rate: float = 0.5, decay: float = 1e-3) -> ToxicField:
+def fit_field(texts: list[str], toxic: np.ndarray, steps: int = 80, rate: float = 0.5, decay: float = 1e-3) -> ToxicField:
     """Maximum conditional likelihood by adaptive gradient steps, then the document logistic."""
     model = ToxicField()
     if not len(texts) or toxic.all() or not toxic.any():
@@ -174,9 +187,9 @@ def fit_field(texts: list[str], toxic: np.ndarray, steps: int = 120, rate: float
     rows, labels, owner = [], [], []
     for d, (text, y) in enumerate(zip(texts, toxic)):
         for seg in reader.segments(text):
-            for at in range(0, len(seg), 64):
-                rows.append([int(x) - 1 for _, x in seg[at : at + 64]])
-                labels.append([int(y and x > 0) for _, x in seg[at : at + 64]])
+            for at in range(0, len(seg), PIECE):
+                rows.append([int(x) - 1 for _, x in seg[at : at + PIECE]])
+                labels.append([int(y and x > 0) for _, x in seg[at : at + PIECE]])
                 owner.append(d)
     theta = np.array([found[w][0] for w in names])
     model.moves = np.array([[0.0, -1.0], [-0.5, 0.0]])
