@@ -261,6 +261,18 @@ def test_log_filter_counts():
     assert ngramlm.build_segment(keys, counts, 4000)[1] > 1
 
 
+def test_language_model_keeps_every_count_beyond_the_broadcast_bound(spark, docs, monkeypatch):
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join(f"r{x}" for x in rng.integers(0, 4000, 60))) for i in range(200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").unionByName(docs.select("doc_id", "text")).repartition(3)
+    key = lambda got: sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got.collect())
+    want = key(ngramlm.score_documents(d))
+    monkeypatch.setattr(ngramlm, "FILTER_BYTES", 2000)
+    monkeypatch.setattr(ngramlm, "ASK_TOKENS", 1500)
+    assert key(ngramlm.score_documents(d)) == want
+    assert ngramlm.score_documents(d.limit(0)).count() == 0
+
+
 def brute_components(texts):
     sets = {i: shingle_set(t) for i, t in texts.items()}
     up = {i: i for i in sets}
