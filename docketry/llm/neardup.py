@@ -5,8 +5,10 @@ from 2 x SIDE x WIDTH hashes; table keys are all pairs of a band of one collecti
 of 2 x WIDTH hashes from about the square root of the hashes that independent tables would take.
 
  1. Equal sets collapse into a class, represented by its smallest id (pre-aggregated, so a huge class is one row).
- 2. In each table bucket every member is tied to the bucket's smallest id only. Ties whose signatures agree in under LOOSE of
-    the places are dropped (far below the asked similarity); the rest give loose groups by connected components.
+ 2. In each table bucket every member is compared with the bucket's smallest id, and tied if their signatures agree in at
+    least LOOSE of the places. Members that are not meet again in sub-buckets, one for each further band, then for each
+    further two bands, then in the same sub-buckets without their smallest id; who is still left after the last round is
+    tied unfiltered. So no unrelated small id parts two members. Ties give loose groups by connected components.
  3. Loose groups are packed into bags of about BAG_SHINGLES shingles; a group larger than that is cut into blocks, and every
     pair of blocks shares a bag. In a bag, an inverted index over the rarest shingles with exact size and position bounds
     finds every pair at or above the threshold without comparing all pairs; each is confirmed on the full sets. Pairs that are
@@ -30,6 +32,8 @@ from docketry.llm.graph import components
 
 WORDS, PERCENT = 5, 85
 SIDE, WIDTH, LOOSE = 7, 2, 0.35
+#: Rounds of comparing a bucket's members with its smallest id, and after how many of them buckets are split by a further band.
+STAR_ROUNDS, SPLITS = 7, 2
 BAG_SHINGLES = 2_000_000
 #: Ids (8 bytes each) up to which the members of loose groups are broadcast to pick their texts; beyond, texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -88,16 +92,38 @@ def signatures(documents: DataFrame) -> DataFrame:
 
 
 def loose_ties(classes: DataFrame) -> DataFrame:
-    """(a, b): a member of a table bucket and the bucket's smallest id, where the signatures agree in at least LOOSE of the places."""
+    """(a, b): ties that connect, in each table bucket, members whose signatures agree in at least LOOSE of the places.
+
+    Only those that a round rejects enter the next one, so later rounds are small. A pair at 0.85 that a smaller id has parted
+    agrees in none or one of the 12 further bands, and so misses the sub-buckets, with probability 7e-6.
+    """
     tables = F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1))
-    key = F.transform(tables, lambda t: F.xxhash64(F.element_at("u", (F.floor(t / SIDE) + 1).cast("int")), F.element_at("v", (F.pmod(t, F.lit(SIDE)) + 1).cast("int")), t))
-    keys = classes.select("rep", F.explode(key).alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("rep").alias("low"), F.count("*").alias("members")).filter("members > 1").select("key", "low")
-    ties = keys.join(buckets, "key").filter("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
+    key = F.transform(tables, lambda t: F.struct(F.xxhash64(F.element_at("u", (F.floor(t / SIDE) + 1).cast("int")), F.element_at("v", (F.pmod(t, F.lit(SIDE)) + 1).cast("int")), t).alias("key"), t.alias("t")))
+    left = classes.select("rep", F.explode(key).alias("k")).select("rep", "k.key", "k.t", F.lit(-1).alias("band"))
     sig = classes.select("rep", "sig")
-    both = ties.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
     agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda acc, x: acc + x)
-    return both.filter(agree >= LOOSE * 2 * SIDE * WIDTH).select("a", "b")
+    ties = None
+    for turn in range(STAR_ROUNDS + 1):
+        buckets = left.groupBy("key").agg(F.min("rep").alias("b"), F.count("*").alias("members")).filter("members > 1").select("key", "b")
+        met = settled(left.join(buckets, "key").filter("rep <> b").select(F.col("rep").alias("a"), "b", "key", "t", "band"), "dup-met")
+        if turn and met.isEmpty():
+            break
+        pairs = met.select("a", "b").distinct()
+        if turn == STAR_ROUNDS:
+            ties = ties.unionByName(pairs)
+            break
+        both = pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
+        judged = settled(both.select("a", "b", (agree >= LOOSE * 2 * SIDE * WIDTH).alias("tied")), "dup-judged")
+        found = judged.filter("tied").select("a", "b")
+        ties = found if ties is None else ties.unionByName(found)
+        left = met.join(judged.filter("NOT tied").select("a", "b"), ["a", "b"]).select(F.col("a").alias("rep"), "key", "t", "band")
+        if turn < SPLITS:
+            # The table's own bands are equal in the whole bucket; bands go up, so that two give one sub-bucket.
+            more = F.filter(F.sequence(F.lit(0), F.lit(2 * SIDE - 1)), lambda i: (i > F.col("band")) & (i != F.floor(F.col("t") / SIDE)) & (i != F.pmod("t", F.lit(SIDE)) + SIDE))
+            bands = classes.select("rep", F.concat("u", "v").alias("bands"))
+            split = left.join(bands, "rep").select("rep", "key", "t", "bands", F.explode(more).alias("band"))
+            left = split.select("rep", F.xxhash64("key", "band", F.element_at("bands", F.col("band") + 1)).alias("key"), "t", "band")
+    return ties
 
 
 class Forest:

@@ -312,6 +312,30 @@ def test_near_duplicates_against_brute_force(spark, docs, none):
     assert neardup.near_duplicates(none).count() == 0 and neardup.without_near_duplicates(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("carriers", [1, 12])
+def test_low_ids_in_every_bucket_part_no_pair(spark, carriers):
+    rng = np.random.default_rng(8)
+    width, side = neardup.WIDTH, neardup.SIDE
+    draw = lambda n: rng.integers(0, 2**62, n)
+    u, v, sig = draw(side), draw(side), rng.integers(-128, 128, 2 * side * width)
+    rows = []
+    for t in range(side * side * carriers):
+        i, j = t // carriers // side, t // carriers % side
+        cu, cv, cs = draw(side), draw(side), (sig + 1 + rng.integers(0, 255, len(sig)) + 128) % 256 - 128
+        cu[i], cv[j] = u[i], v[j]
+        for at in (i * width, (side + j) * width):
+            cs[at : at + width] = sig[at : at + width]
+        rows.append((t, cu.tolist(), cv.tolist(), cs.tolist()))
+    for k in (1_000_000, 1_000_001):
+        nu, nv, ns = u.copy(), v.copy(), sig.copy()
+        if k % 2:
+            nu[0], nv[3], ns[0], ns[side * width + 6] = 1, 1, (ns[0] + 129) % 256 - 128, (ns[side * width + 6] + 129) % 256 - 128
+        rows.append((k, nu.tolist(), nv.tolist(), ns.tolist()))
+    classes = spark.createDataFrame(rows, "rep long, u array<long>, v array<long>, sig array<tinyint>")
+    got = {r.node: r.component for r in graph.components(neardup.loose_ties(classes)).collect()}
+    assert got.get(1_000_000, -1) == got.get(1_000_001, -2)
+
+
 def test_blocks_of_a_large_group_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BAG_SHINGLES", 600)
     rng = np.random.default_rng(5)
