@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.llm.common import by_batch, held_out
+from docketry.llm.common import by_batch, held_out, settled
 
 DICTIONARY_BYTES, BLOCK_BYTES, LEVEL = 96_000, 4_000, 6
 #: Follows each block; packs to the same few bytes anywhere, and keeps zstandard from storing short blocks as they are.
 CARRIER = bytes(256)
-#: Documents a language gives to its dictionary, and characters of each.
-TEXTS, TEXT_CHARS = 256, 500
+#: Documents a language gives to its dictionary, and bytes of a block of a text that can't give all.
+TEXTS, PIECE_BYTES = 256, 500
 #: Bits by which the best language must beat the next to be accepted.
 MARGIN_BITS = 24.0
 #: Nats of evidence per packed bit; below ln 2 because sizes are rounded to bytes and blocks are not independent.
@@ -31,21 +31,59 @@ TEMPERATURE = 0.05
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def byte_shares(sizes: list[int], most: int) -> list[int]:
+    """Bytes that each text gives: all of it, or a share that is equal for all longer texts, so that `most` is reached but not passed."""
+    shares, left = [0] * len(sizes), most
+    for rank, i in enumerate(sorted(range(len(sizes)), key=sizes.__getitem__)):
+        shares[i] = min(sizes[i], left // (len(sizes) - rank))
+        left -= shares[i]
+    return shares
+
+
+def pieces_of(raw: bytes, share: int, seed: int) -> bytes:
+    """The whole text, or blocks of it that a seeded draw picks from all over, in their order, `share` bytes in all."""
+    if len(raw) <= share:
+        return raw
+    blocks = range(0, len(raw), max(1, min(PIECE_BYTES, share)))
+    out, left = [], share
+    for at in np.random.default_rng([seed, 40013]).permutation(len(blocks)):
+        out.append((at, raw[blocks[at] : min(blocks[at] + blocks.step, blocks[at] + left)]))
+        left -= len(out[-1][1])
+        if left <= 0:
+            break
+    return b"".join(x for _, x in sorted(out))
+
+
 def learn_dictionaries(documents: DataFrame, texts: int = TEXTS) -> dict[str, bytes]:
     """lang -> raw dictionary, from at most `texts` documents a language that are not held out (crc32 of the id mod 4 is not 2).
 
     A first pass over (doc_id, lang) alone counts the languages; a hash threshold per language then thins the rows, so what is
-    sorted and sent to the driver is bounded by languages x texts x TEXT_CHARS.
+    sorted is bounded by languages x texts. Whole texts are read; the driver gets DICTIONARY_BYTES a language.
     """
     usable = documents.filter(~held_out(4, 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     h = F.xxhash64(F.col("doc_id").cast("string"), F.lit(40013))
     share = usable.groupBy("lang").agg(F.count("*").alias("n")).select("lang", F.least(F.lit(1.0), F.lit(2.0 * texts + 64) / F.col("n")).alias("share"))
     thin = usable.select("doc_id", "lang", "text", h.alias("h")).join(F.broadcast(share), "lang").filter(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30))
     first = thin.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("k") <= texts)
-    rows = first.select("lang", "k", F.substring("text", 1, TEXT_CHARS).alias("text")).collect()
+    first = settled(first.select("lang", "k", "text"), "lang-texts")
+
+    def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sizes = [len(t.as_py().lower().encode("utf-8", "replace")) for t in batch.column("text")]
+        return pa.record_batch([batch.column("lang"), batch.column("k"), pa.array(sizes, pa.int64())], names=["lang", "k", "size"])
+
+    sized: dict[str, list[tuple[int, int]]] = {}
+    for r in by_batch(first, measure, "lang string, k int, size long").collect():
+        sized.setdefault(r["lang"], []).append((r["k"], r["size"]))
+    shares = {(lang, k): n for lang, of in sized.items() for (k, _), n in zip(sorted(of), byte_shares([x for _, x in sorted(of)], DICTIONARY_BYTES - len(of)))}
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        got = [pieces_of(t.as_py().lower().encode("utf-8", "replace"), shares[lang, k], k) for lang, k, t in zip(batch.column("lang").to_pylist(), batch.column("k").to_pylist(), batch.column("text"))]
+        return pa.record_batch([batch.column("lang"), batch.column("k"), pa.array(got, pa.binary())], names=["lang", "k", "text"])
+
+    rows = by_batch(first, cut, "lang string, k int, text binary").collect()
     out: dict[str, bytes] = {}
     for lang in sorted({r["lang"] for r in rows}):
-        pieces = [r["text"].lower().encode("utf-8", "replace") for r in sorted((r for r in rows if r["lang"] == lang), key=lambda r: -r["k"])]
+        pieces = [bytes(r["text"]) for r in sorted((r for r in rows if r["lang"] == lang), key=lambda r: -r["k"])]
         raw = b"\n".join(pieces)[-DICTIONARY_BYTES:]
         if raw.strip():
             out[lang] = raw

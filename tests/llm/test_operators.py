@@ -55,6 +55,18 @@ def test_language(docs, none):
     assert langid.decide("words", langid.Packers({}))[0] == "und"
 
 
+def test_dictionaries_are_filled_from_whole_texts(spark):
+    rng = np.random.default_rng(12)
+    few = [(i, "masthead in a foreign tongue " * 20 + " ".join(f"w{x}" for x in rng.integers(0, 9999, 4000)), "xx") for i in range(30)]
+    many = [(i, f"short text {i}", "yy") for i in range(100, 140)]
+    got = langid.learn_dictionaries(spark.createDataFrame(few + many, "doc_id long, text string, lang string"))
+    assert 0.99 * langid.DICTIONARY_BYTES <= len(got["xx"]) <= langid.DICTIONARY_BYTES
+    assert got["xx"].count(b"masthead") < 0.1 * len(got["xx"]) / 29 and got["yy"].count(b"short text") > 20
+    assert langid.byte_shares([5, 100, 50], 60) == [5, 28, 27]
+    raw = bytes(range(256)) * 8
+    assert len(langid.pieces_of(raw, 700, 1)) == 700 and langid.pieces_of(raw, 5000, 1) == raw
+
+
 def test_language_held_out_accuracy(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     got = langid.identify(d, langid.learn_dictionaries(d)).filter("held_out").join(d.select("doc_id", "lang"), "doc_id").filter("lang is not null")
