@@ -63,12 +63,14 @@ class ToxicField:
     #: Weights of the document logistic: evidence, evidence per 100 words, constant.
     document: np.ndarray = field(default_factory=lambda: np.zeros(3))
 
-    def marginals(self, weights: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Forward-backward over padded segments: P(toxic) per word, expected moves per segment row, log partition.
+    def marginals(self, weights: np.ndarray, lengths: np.ndarray, shares: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Forward-backward over padded segments: P(toxic) per word, expected moves of all segments, log partition.
 
         Segments start and end next to clean words. `weights`: segments x words; padding follows each segment's length.
+        `shares`: how many times each segment counts in the moves (once without).
         """
         s, m = weights.shape
+        shares = np.ones(s) if shares is None else shares
         live = np.arange(m)[None, :] < lengths[:, None]
         e = np.zeros((s, m, 2))
         e[:, :, 1] = weights + self.bias
@@ -87,11 +89,11 @@ class ToxicField:
         z = np.logaddexp(f[:, 0, 0] + b[:, 0, 0], f[:, 0, 1] + b[:, 0, 1])
         p = np.where(live, np.exp(f[:, :, 1] + b[:, :, 1] - z[:, None]), 0.0)
         pair = f[:, :-1, :, None] + t[None, None] + (e + b)[:, 1:, None, :] - z[:, None, None, None]
-        inner = (np.exp(pair) * live[:, 1:, None, None]).sum((0, 1))
+        inner = (np.exp(pair) * live[:, 1:, None, None] * shares[:, None, None, None]).sum((0, 1))
         first, last = p[:, 0], p[np.arange(s), lengths - 1]
-        inner[0, 0] += (1 - first).sum() + (1 - last).sum()
-        inner[0, 1] += first.sum()
-        inner[1, 0] += last.sum()
+        inner[0, 0] += (shares * (1 - first)).sum() + (shares * (1 - last)).sum()
+        inner[0, 1] += (shares * first).sum()
+        inner[1, 0] += (shares * last).sum()
         return p, inner, z
 
     def document_score(self, found: np.ndarray) -> np.ndarray:
@@ -173,9 +175,13 @@ def toxic_words(texts: list[str], toxic: np.ndarray) -> dict[str, tuple[float, f
     return out
 
 
-def fit_field(texts: list[str], toxic: np.ndarray, steps: int = 80, rate: float = 0.5, decay: float = 1e-3) -> ToxicField:
-    """Maximum conditional likelihood by adaptive gradient steps, then the document logistic."""
+def fit_field(texts: list[str], toxic: np.ndarray, steps: int = 80, rate: float = 0.5, decay: float = 1e-3, shares: tuple[float, float] = (1.0, 1.0)) -> ToxicField:
+    """Maximum conditional likelihood by adaptive gradient steps, then the document logistic.
+
+    `shares`: the labelled documents that each clean and each toxic one of `texts` stands for.
+    """
     model = ToxicField()
+    share = np.where(toxic, shares[1], shares[0])
     if not len(texts) or toxic.all() or not toxic.any():
         return model
     found = toxic_words(texts, toxic)
@@ -204,13 +210,14 @@ def fit_field(texts: list[str], toxic: np.ndarray, steps: int = 80, rate: float
         steps_y = np.concatenate([np.zeros((len(rows), 1)), y, np.zeros((len(rows), 1))], axis=1).astype(int)
         steps_live = np.arange(m + 1)[None, :] <= lengths[:, None]
         seen_moves = np.zeros((2, 2))
-        np.add.at(seen_moves, (steps_y[:, :-1][steps_live], steps_y[:, 1:][steps_live]), 1)
+        part = share[owner]
+        np.add.at(seen_moves, (steps_y[:, :-1][steps_live], steps_y[:, 1:][steps_live]), np.broadcast_to(part[:, None], steps_live.shape)[steps_live])
         sums = [np.full(len(theta), 1e-6), 1e-6, np.full((2, 2), 1e-6)]
-        n = len(rows)
+        n = part.sum()
         for _ in range(steps):
             w = np.where(known, theta[ids], 0.0)
-            p, moves, _ = model.marginals(w, lengths)
-            diff = y - p
+            p, moves, _ = model.marginals(w, lengths, part)
+            diff = (y - p) * part[:, None]
             grads = [np.bincount(ids[known], diff[known], len(theta)) / n - decay * theta, float(diff.sum()) / n - decay * model.bias, (seen_moves - moves) / n - decay * model.moves]
             for i, g in enumerate(grads):
                 sums[i] = sums[i] + np.square(g)
@@ -223,7 +230,7 @@ def fit_field(texts: list[str], toxic: np.ndarray, steps: int = 80, rate: float
     yy, w = toxic.astype(float), np.array([1.0, 0.0, -2.0])
     for _ in range(50):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w = w + np.linalg.solve((x * (q * (1 - q) + 1e-9)[:, None]).T @ x + 0.05 * np.eye(3), x.T @ (yy - q) - 0.05 * w)
+        w = w + np.linalg.solve((x * (share * q * (1 - q) + 1e-9)[:, None]).T @ x + 0.05 * np.eye(3), x.T @ (share * (yy - q)) - 0.05 * w)
     model.document = w
     return model
 
@@ -262,11 +269,16 @@ def spans_of(text: str, marked: list[tuple[int, float]]) -> list[dict]:
 
 
 def learn(documents: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> ToxicField:
-    """A field from at most `toxic_rows` and `clean_rows` labelled documents that are not held out (crc32 of the id mod 4 is not 2)."""
+    """A field from at most `toxic_rows` and `clean_rows` labelled documents that are not held out (crc32 of the id mod 4 is not 2).
+
+    Each counts as many times as its class has labelled rows for one picked, so scores keep the true share of toxic documents.
+    """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(4, 2)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = bounded_sample(known.filter("toxic = 1"), F.col("doc_id"), toxic_rows).unionByName(bounded_sample(known.filter("toxic <> 1"), F.col("doc_id"), clean_rows))
     rows = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").filter(F.col("text").isNotNull()).dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
-    return fit_field(rows["text"].tolist(), (rows["toxic"].to_numpy() == 1))
+    total = known.agg(F.count_if(F.col("toxic") != 1), F.count_if(F.col("toxic") == 1)).first()
+    shares = tuple(max(1.0, (n or 0) / most) for n, most in zip(total, (clean_rows, toxic_rows)))
+    return fit_field(rows["text"].tolist(), (rows["toxic"].to_numpy() == 1), shares=shares)
 
 
 def score_toxicity(documents: DataFrame, model: ToxicField, threshold: float = 0.3) -> DataFrame:

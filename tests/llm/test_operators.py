@@ -156,6 +156,18 @@ def test_toxicity(spark, docs, none, labels):
     assert toxicity.learn(none, labels).words == {}
 
 
+def test_class_caps_keep_the_share_of_toxic_documents(spark):
+    rng = np.random.default_rng(13)
+    text = lambda y: " ".join([f"w{x}" for x in rng.integers(0, 300, 12)] + ["zorgblat"] * bool(y or rng.random() < 0.1))
+    toxic = {i: int(i % 10 == 0) for i in range(3000)}
+    d = spark.createDataFrame([(i, text(y)) for i, y in toxic.items()], "doc_id long, text string")
+    l = spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")
+    score = lambda model: {r.doc_id: r.score for r in toxicity.score_toxicity(d, model).collect()}
+    whole, capped = score(toxicity.learn(d, l)), score(toxicity.learn(d, l, 100, 200))
+    share = sum(toxic.values()) / len(toxic)
+    assert abs(np.mean(list(whole.values())) - share) < 0.03 and abs(np.mean(list(capped.values())) - share) < 0.03
+
+
 def test_field_marginals_are_exact():
     rng = np.random.default_rng(1)
     model = toxicity.ToxicField(bias=0.3, moves=rng.normal(size=(2, 2)))
