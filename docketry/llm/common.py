@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-#: Where a session names no shared folder (tests, a single machine).
+#: Where a local session names no shared folder (tests, a single machine).
 LOCAL_SHARED = "/tmp/checkpoints/docketry"
 #: Rows that a sample for fitting may hold, whatever the size of its table.
 SAMPLE_ROWS = 20_000
@@ -29,8 +30,11 @@ def held_out(mod: int, remainder: int, column: str = "doc_id") -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED).rstrip("/")
+    """The folder that driver and executors share, as the session names it; only a local session may go without."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or LOCAL_SHARED).rstrip("/")
 
 
 def settled(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
@@ -77,6 +81,18 @@ def hash_words(words: np.ndarray) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
+def hashed_words(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word, the same in each process; nothing is kept, as a cache of a large vocabulary costs more than it saves."""
+    from xxhash import xxh3_64_intdigest
+
+    return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def boxed(df: DataFrame, **added: Column) -> DataFrame:
+    """The rows of `df` whole in one struct column `row` beside the added columns, so that no name of theirs can clash with one of ours."""
+    return df.select(F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in df.columns)).alias("row"), *(c.alias(n) for n, c in added.items()))
+
+
 class WordHasher:
     """xxhash64 of byte words through a bounded cache; the same word has the same value in each process."""
 
