@@ -9,44 +9,48 @@ of 2 x WIDTH hashes from about the square root of the hashes that independent ta
     least LOOSE of the places. Members that are not meet again in sub-buckets, one for each further band, then for each
     further two bands, then in the same sub-buckets without their smallest id; who is still left after the last round is
     tied unfiltered. So no unrelated small id parts two members. Ties give loose groups by connected components.
- 3. Loose groups are packed into bags of about BAG_SHINGLES shingles; a group larger than that is cut into blocks, and every
-    pair of blocks shares a bag. In a bag, an inverted index over the rarest shingles with exact size and position bounds
-    finds every pair at or above the threshold without comparing all pairs; each is confirmed on the full sets. Pairs that are
-    already connected are skipped, so a bag returns a spanning set of confirmed links.
+ 3. Loose groups are packed by weight into bags of at most BAG_SHINGLES shingles; a group larger than that is cut into blocks
+    of half a bag, and every pair of blocks shares a bag. In a bag, an inverted index over the rarest shingles with exact size
+    and position bounds finds every pair at or above the threshold without comparing all pairs; each is confirmed on the full
+    sets. Pairs that are already connected are skipped, so a bag returns a spanning set of confirmed links.
  4. Components of the links give each class its component.
 
 Words are A-Z lower-cased runs of non-white-space. Texts of fewer words have the whole sequence as their shingle; null, empty
 or blank texts have an empty set and are linked with nothing. Rows without an id are returned unlinked, with a null component
-and kept. Repeated rows of one id are one document. Shingles are told apart by 64-bit hashes, sets by two of them.
+and kept. Rows of one id are one document: its links are those of any of its texts, each row keeps its own n_shingles.
+Shingles are told apart by 64-bit hashes, sets by two of them.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.llm.common import WordHasher, by_batch, hash_words, settled
+from docketry.llm.common import by_batch, hash_words, hashed_words, settled
 from docketry.llm.graph import components
 
 WORDS, PERCENT = 5, 85
 SIDE, WIDTH, LOOSE = 7, 2, 0.35
 #: Rounds of comparing a bucket's members with its smallest id, and after how many of them buckets are split by a further band.
 STAR_ROUNDS, SPLITS = 7, 2
-BAG_SHINGLES = 2_000_000
+#: Most shingles of a bag: 8 bytes each, and some ten arrays of them while the bag is linked.
+BAG_SHINGLES = 600_000
+#: Tried pairs of a bag that are remembered; forgetting them costs repeated work, never a link.
+TRIED_PAIRS = 200_000
 #: Ids (8 bytes each) up to which the members of loose groups are broadcast to pick their texts; beyond, texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _MULTIPLIERS = hash_words(np.arange(1, 2 * SIDE * WIDTH + 1, dtype=np.uint64)) | np.uint64(1)
 _MIX = np.uint64(0x100000001B3)
 
 
-def shingles(text: str | None, hasher: WordHasher, words: int = WORDS) -> np.ndarray:
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """The sorted distinct 64-bit shingle hashes of a text."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not w:
         return np.zeros(0, np.uint64)
-    h = hasher(w)
+    h = hashed_words(w)
     n = len(h)
     k = min(words, n)
     with np.errstate(over="ignore"):
@@ -64,14 +68,11 @@ def minima(s: np.ndarray) -> np.ndarray:
 
 def signatures(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, c1, c2 (identity of the set), u, v (the two band collections), sig (a byte of each minimum hash)."""
-    hashers: list[WordHasher] = []
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not hashers:
-            hashers.append(WordHasher())
         rows = []
-        for text in batch.column("text").to_pylist():
-            s = shingles(text, hashers[0])
+        for text in batch.column("text"):
+            s = shingles(text.as_py())
             if not len(s):
                 rows.append((0, 0, 0, None, None, None))
                 continue
@@ -88,7 +89,7 @@ def signatures(documents: DataFrame) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int8()))
         return pa.record_batch([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", "n_shingles", "c1", "c2", "u", "v", "sig"])
 
-    return by_batch(documents.select("doc_id", "text"), work, "doc_id long, n_shingles long, c1 long, c2 long, u array<long>, v array<long>, sig array<tinyint>")
+    return by_batch(documents.select("doc_id", "text"), work, "doc_id long, n_shingles long, c1 long, c2 long, u array<long>, v array<long>, sig array<tinyint>", rows=200)
 
 
 def loose_ties(classes: DataFrame) -> DataFrame:
@@ -178,9 +179,11 @@ def spanning_links(sets: list[np.ndarray], blocks: list[int] | None = None, perc
 
     def confirm(x: int, y: int) -> None:
         x, y = (x, y) if x < y else (y, x)
-        if (x, y) in seen or (across and side[x] == side[y]):
+        if (pair := x * len(sets) + y) in seen or (across and side[x] == side[y]):
             return
-        seen.add((x, y))
+        if len(seen) >= TRIED_PAIRS:
+            seen.clear()
+        seen.add(pair)
         common = len(np.intersect1d(ranked[x], ranked[y], assume_unique=True))
         if common * whole >= percent * int(sizes[x] + sizes[y]) and forest.join(x, y):
             out.append((x, y))
@@ -207,35 +210,52 @@ def spanning_links(sets: list[np.ndarray], blocks: list[int] | None = None, perc
     return out
 
 
-def confirmed_links(documents: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
-    """(a, b): confirmed links that span the true components inside each loose group (node, component)."""
-    members = groups.select(F.col("node").alias("rep"), "component").join(classes.select("rep", "n_shingles"), "rep")
+def in_bags(members: DataFrame) -> DataFrame:
+    """rep, block, bag for each of `members` (rep, component, n_shingles, total): no bag has more than BAG_SHINGLES shingles, but for sets that are larger themselves.
+
+    Small groups are dealt to lanes by hash and cut there by their running weight; block i of a large group goes into the bags
+    of its pairs (i, j).
+    """
+    half = BAG_SHINGLES // 2
+    small = members.filter(F.col("total") <= half)
+    groups = small.select("component", "total").distinct()
+    lanes = max(1, -(-int(groups.agg(F.sum("total")).first()[0] or 0) // (64 * half)))
+    lane = F.pmod(F.xxhash64("component", F.lit(3)), F.lit(lanes))
+    ahead = Window.partitionBy("lane").orderBy("component").rowsBetween(Window.unboundedPreceding, -1)
+    cut = groups.withColumn("lane", lane).withColumn("cut", F.floor(F.coalesce(F.sum("total").over(ahead), F.lit(0)) / half))
+    whole = small.join(cut.select("component", F.xxhash64("lane", "cut", F.lit(1)).alias("bag")), "component").select("rep", F.lit(0).alias("block"), "bag")
+    blocks = F.ceil(F.col("total") / (0.8 * half))
+    large = members.filter(F.col("total") > half).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), blocks).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: F.xxhash64("component", F.least(F.col("block"), j), F.greatest(F.col("block"), j), F.lit(2)))
+    return whole.unionByName(large.select("rep", "block", F.explode(pairs).alias("bag")))
+
+
+def confirmed_links(documents: DataFrame, classes: DataFrame, groups: DataFrame, repeats: bool = True) -> DataFrame:
+    """(a, b): confirmed links that span the true components inside each loose group (node, component).
+
+    `repeats`: whether an id may occur in several rows, whose equal sets then collapse before they are dealt to bags.
+    """
+    members = groups.select(F.col("node").alias("rep"), "component").join(classes.groupBy("rep").agg(F.sum("n_shingles").alias("n_shingles")), "rep")
     sizes = members.groupBy("component").agg(F.sum("n_shingles").alias("total"))
     members = settled(members.join(sizes, "component"), "dup-members")
-    known = members.agg(F.count("*"), F.sum("n_shingles")).first()
-    bags = max(1, -(-int(known[1] or 0) // BAG_SHINGLES))
-    blocks = F.ceil(F.col("total") * 2 / BAG_SHINGLES)
-    block = F.pmod(F.xxhash64("rep", F.lit(7)), blocks)
-    # A small group goes whole into one of the bags; block i of a large one goes into the bags of its pairs (i, j).
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: F.xxhash64("component", F.least(block, j), F.greatest(block, j)))
-    placed = members.select("rep", F.when(F.col("total") <= BAG_SHINGLES, F.lit(0)).otherwise(block).cast("int").alias("block"), F.explode(F.when(F.col("total") <= BAG_SHINGLES, F.array(F.pmod(F.xxhash64("component", F.lit(3)), F.lit(bags)))).otherwise(pairs)).alias("bag"))
+    placed = in_bags(members)
     picked = members.select(F.col("rep").alias("doc_id"))
-    texts = documents.select("doc_id", "text").join(F.broadcast(picked) if known[0] <= BROADCAST_IDS else picked, "doc_id", "left_semi")
-    hashers: list[WordHasher] = []
+    texts = documents.select("doc_id", "text").join(F.broadcast(picked) if picked.count() <= BROADCAST_IDS else picked, "doc_id", "left_semi")
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not hashers:
-            hashers.append(WordHasher())
-        return pa.record_batch([batch.column("doc_id"), pa.array([shingles(x, hashers[0]).tobytes() for x in batch.column("text").to_pylist()], pa.binary())], names=["rep", "set"])
+        return pa.record_batch([batch.column("doc_id"), pa.array([shingles(x.as_py()).tobytes() for x in batch.column("text")], pa.binary())], names=["rep", "set"])
 
     def link(bag: pa.Table) -> pa.Table:
-        rows: dict[int, tuple[bytes, int]] = {r: (s.as_buffer(), b) for r, s, b in zip(bag.column("rep").to_pylist(), bag.column("set"), bag.column("block").to_pylist())}
-        ids = sorted(rows)
-        got = spanning_links([np.frombuffer(rows[i][0], np.uint64) for i in ids], [rows[i][1] for i in ids])
-        return pa.table([pa.array([ids[x] for x, _ in got], pa.int64()), pa.array([ids[y] for _, y in got], pa.int64())], names=["a", "b"])
+        rows = sorted(zip(bag.column("rep").to_pylist(), bag.column("block").to_pylist(), range(bag.num_rows)))
+        sets = bag.column("set").combine_chunks() if bag.num_rows else []
+        got = spanning_links([np.frombuffer(sets[i].as_buffer(), np.uint64) for _, _, i in rows], [b for _, b, _ in rows])
+        # Texts of one id are one node, whose links to itself say nothing.
+        return pa.table([pa.array([rows[x][0] for x, _ in got], pa.int64()), pa.array([rows[y][0] for _, y in got], pa.int64())], names=["a", "b"])
 
-    sets = by_batch(texts, cut, "rep long, set binary")
-    return sets.join(placed, "rep").select("rep", "set", "block", "bag").groupBy("bag").applyInArrow(link, "a long, b long")
+    sets = by_batch(texts, cut, "rep long, set binary", rows=200)
+    if repeats:
+        sets = sets.groupBy("rep").agg(F.collect_set("set").alias("sets")).select("rep", F.explode("sets").alias("set"))
+    return sets.join(placed, "rep").select("rep", "set", "block", "bag").groupBy("bag").applyInArrow(link, "a long, b long").filter("a <> b")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -243,13 +263,18 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     rows = settled(signatures(documents), "dup-signatures")
     whole = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = settled(whole.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n_shingles", "u", "v", "sig"))), "dup-classes")
+    # An id with several texts ties the classes of all of them.
+    key = F.struct("c1", "c2")
+    several = whole.groupBy("doc_id").agg(F.min(key).alias("low"), F.max(key).alias("high")).filter("low <> high").select("doc_id")
+    shared = settled(whole.join(several, "doc_id").join(classes.select("c1", "c2", "rep"), ["c1", "c2"]).filter("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct(), "dup-shared")
     groups = components(loose_ties(classes), "dup-groups")
-    found = components(settled(confirmed_links(documents, classes, groups), "dup-links"), "dup-components")
-    named = classes.select("c1", "c2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("low"))
-    out = rows.select("doc_id", "n_shingles", "c1", "c2").join(named, ["c1", "c2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("low")).otherwise(F.col("doc_id"))
-    component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(component)
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    repeats = not whole.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    found = components(settled(confirmed_links(documents, classes, groups, repeats).unionByName(shared), "dup-links"), "dup-components")
+    named = classes.select("c1", "c2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component_id"))
+    linked = whole.select("doc_id", "n_shingles", "c1", "c2").join(named, ["c1", "c2"]).select("doc_id", "n_shingles", "component_id")
+    # Rows without shingles or id never meet a key.
+    alone = rows.filter("NOT (n_shingles > 0 AND doc_id IS NOT NULL)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return linked.unionByName(alone).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def without_near_duplicates(documents: DataFrame) -> DataFrame:
