@@ -91,21 +91,3 @@ def hashed_words(words: list[bytes]) -> np.ndarray:
 def boxed(df: DataFrame, **added: Column) -> DataFrame:
     """The rows of `df` whole in one struct column `row` beside the added columns, so that no name of theirs can clash with one of ours."""
     return df.select(F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in df.columns)).alias("row"), *(c.alias(n) for n, c in added.items()))
-
-
-class WordHasher:
-    """xxhash64 of byte words through a bounded cache; the same word has the same value in each process."""
-
-    def __init__(self, most: int = 400_000):
-        import xxhash
-
-        self._one, self._seen, self._most = xxhash.xxh64_intdigest, {}, most
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        seen = self._seen
-        if len(seen) > self._most:
-            seen.clear()
-        if missing := set(words).difference(seen):
-            one = self._one
-            seen.update((w, one(w)) for w in missing)
-        return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
