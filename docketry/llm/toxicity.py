@@ -7,14 +7,20 @@ potentials are one weight per known word, a bias, and transitions. Words more th
 constant potentials; the chain is cut there with the state clean, so long texts cost one look-up a word.
 Forward-backward marginals give spans with character offsets, and aggregate to a document score by a fitted logistic.
 
+Executors read the sample: they count forms, cut pieces of words near known ones, and gather the evidence of each document. The
+driver gets the chosen features, distinct pieces as numbers, and two numbers a document, never a text. Chains are batched by
+padded cells, so one long toxic text costs its own length and not that of its neighbours.
+
 A null or empty text has no words and gets the score of a text without known words. Repeated rows get equal scores. With no
-labels the score is 0.5 for all. Columns besides doc_id and text are not read for a score.
+labels the score is 0.5 for all. Columns besides doc_id and text are not read for a score. Of an id with several texts the
+smallest is learned from, and any toxic label makes it toxic.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import bounded_sample, by_batch, held_out
+from docketry.llm.common import bounded_sample, by_batch, held_out, settled
 
-#: Most labelled documents of each class that fitting reads; texts are sent to the driver up to this bound.
+#: Most labelled documents of each class that fitting reads.
 TOXIC_ROWS, CLEAN_ROWS = 3_000, 6_000
 REACH, LEAST_DOCS, LEAST_EVIDENCE, LEAST_RATIO = 2, 3, 15.0, 8.0
-#: Words of a training piece of a segment.
-PIECE = 16
+#: Words of a training piece of a segment; padded words of a batch of chains; distinct forms that a counting task holds; words that a reader remembers.
+PIECE, CELLS, COUNTED, REMEMBERED = 16, 32_768, 200_000, 100_000
 #: Lengths of the word beginnings that can be features.
 STEMS = range(4, 9)
 _STRIP = ".,;:!?\"'()[]{}<>*#$%&|_-~`…“”«»¡¿/\\"
@@ -64,36 +70,36 @@ class ToxicField:
     document: np.ndarray = field(default_factory=lambda: np.zeros(3))
 
     def marginals(self, weights: np.ndarray, lengths: np.ndarray, shares: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Forward-backward over padded segments: P(toxic) per word, expected moves of all segments, log partition.
+        """Forward-backward over padded segments: P(toxic) per word, expected moves of all segments (with `shares` only), log partition.
 
         Segments start and end next to clean words. `weights`: segments x words; padding follows each segment's length.
-        `shares`: how many times each segment counts in the moves (once without).
+        `shares`: how many times each segment counts in the moves.
         """
         s, m = weights.shape
-        shares = np.ones(s) if shares is None else shares
         live = np.arange(m)[None, :] < lengths[:, None]
-        e = np.zeros((s, m, 2))
-        e[:, :, 1] = weights + self.bias
+        on = np.where(live, weights + self.bias, 0.0)
         t = self.moves
-        f = np.zeros((s, m, 2))
-        f[:, 0] = t[0] + e[:, 0]
+        # f and b hold log sums for the states clean and toxic; beyond a segment's end b stays the step back to a clean word.
+        f, b = np.zeros((s, m, 2)), np.zeros((s, m, 2))
+        f[:, 0] = t[0]
+        f[:, 0, 1] += on[:, 0]
         for k in range(1, m):
-            f[:, k] = np.logaddexp(f[:, k - 1, 0, None] + t[0], f[:, k - 1, 1, None] + t[1]) + e[:, k]
-        b = np.zeros((s, m, 2))
-        close = t[:, 0]
-        b[:, m - 1] = close
+            f[:, k] = np.logaddexp(f[:, k - 1, 0, None] + t[0], f[:, k - 1, 1, None] + t[1])
+            f[:, k, 1] += on[:, k]
+        b[:, m - 1] = t[:, 0]
         for k in range(m - 2, -1, -1):
-            ahead = e[:, k + 1] + b[:, k + 1]
-            on = np.logaddexp(t[None, :, 0] + ahead[:, 0, None], t[None, :, 1] + ahead[:, 1, None])
-            b[:, k] = np.where(live[:, k + 1, None], on, close)
+            ahead = np.logaddexp(t[None, :, 0] + b[:, k + 1, 0, None], t[None, :, 1] + (on[:, k + 1] + b[:, k + 1, 1])[:, None])
+            b[:, k] = np.where(live[:, k + 1, None], ahead, t[:, 0])
         z = np.logaddexp(f[:, 0, 0] + b[:, 0, 0], f[:, 0, 1] + b[:, 0, 1])
-        p = np.where(live, np.exp(f[:, :, 1] + b[:, :, 1] - z[:, None]), 0.0)
-        pair = f[:, :-1, :, None] + t[None, None] + (e + b)[:, 1:, None, :] - z[:, None, None, None]
-        inner = (np.exp(pair) * live[:, 1:, None, None] * shares[:, None, None, None]).sum((0, 1))
-        first, last = p[:, 0], p[np.arange(s), lengths - 1]
-        inner[0, 0] += (shares * (1 - first)).sum() + (shares * (1 - last)).sum()
-        inner[0, 1] += (shares * first).sum()
-        inner[1, 0] += (shares * last).sum()
+        p = np.exp(np.where(live, f[:, :, 1] + b[:, :, 1] - z[:, None], -np.inf))
+        inner = np.zeros((2, 2))
+        if shares is not None:
+            for u in (0, 1):
+                for v in (0, 1):
+                    step = f[:, :-1, u] + t[u, v] + (on[:, 1:] if v else 0.0) + b[:, 1:, v] - z[:, None]
+                    inner[u, v] = (np.exp(np.where(live[:, 1:], step, -np.inf)) * shares[:, None]).sum()
+            first, last = p[:, 0], p[np.arange(s), lengths - 1]
+            inner += [[(shares * (2 - first - last)).sum(), (shares * first).sum()], [(shares * last).sum(), 0.0]]
         return p, inner, z
 
     def document_score(self, found: np.ndarray) -> np.ndarray:
@@ -109,7 +115,7 @@ def document_features(found: np.ndarray) -> np.ndarray:
 class Reader:
     """Turns texts into padded segments of words near known ones; keeps a bounded cache of word forms."""
 
-    def __init__(self, words: dict[str, float], order: dict[str, float], most: int = 400_000):
+    def __init__(self, words: dict[str, float], order: dict[str, float], most: int = REMEMBERED):
         self.words, self.order, self.hot, self.seen, self.most = words, order, {}, set(), most
 
     def segments(self, text: str) -> list[list[tuple[int, float]]]:
@@ -145,78 +151,54 @@ def _padded(segments: list[list[tuple[int, float]]]) -> tuple[np.ndarray, np.nda
     return w, lengths
 
 
-def toxic_words(texts: list[str], toxic: np.ndarray) -> dict[str, tuple[float, float]]:
-    """Features that mark toxic documents: name -> (log rate ratio, evidence), a G-test of documents against distinct words read."""
-    one, zero, read = Counter(), Counter(), [1, 1]
-    bare = lambda text: {f for f in map(normal, set(text.split())) if f}
-    for text, y in zip(texts, toxic):
-        if y:
-            words = bare(text)
-            one.update({f for b in words for f in forms(b)})
-            read[1] += len(words)
-    one = Counter({w: k for w, k in one.items() if k >= LEAST_DOCS})
-    # Clean documents can only count against what toxic ones hold often enough, so each word's such forms are looked up once.
-    held: dict[str, list[str]] = {}
-    for text, y in zip(texts, toxic):
-        if not y:
-            words = bare(text)
-            held.update((b, [f for f in forms(b) if f in one]) for b in words if b not in held)
-            zero.update({f for b in words for f in held[b]})
-            read[0] += len(words)
-    share = read[1] / sum(read)
-    out = {}
-    for w, k1 in one.items():
-        k0 = zero[w]
-        ratio = (k1 / read[1]) / ((k0 + 0.5) / read[0])
-        if ratio >= LEAST_RATIO:
-            g = 2 * (k1 * np.log(k1 / ((k1 + k0) * share)) + (k0 * np.log(k0 / ((k1 + k0) * (1 - share))) if k0 else 0))
-            if g >= LEAST_EVIDENCE:
-                out[w] = (float(np.log(ratio)), float(g))
+def forms_of(text: str) -> tuple[set[str], int]:
+    """The forms of a text and the number of its distinct words."""
+    words = {b for b in map(normal, set(text.split())) if b}
+    return {f for b in words for f in forms(b)}, len(words)
+
+
+def chosen(names: list[str], toxic: np.ndarray, clean: np.ndarray, read: tuple[int, int]) -> dict[str, tuple[float, float]]:
+    """Features that mark toxic documents: name -> (log rate ratio, evidence), a G-test of documents (toxic, clean) against distinct words read."""
+    if not names:
+        return {}
+    share = read[0] / sum(read)
+    k1, k0, both = toxic.astype(float), clean.astype(float), (toxic + clean).astype(float)
+    ratio = (k1 / read[0]) / ((k0 + 0.5) / read[1])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        g = 2 * (k1 * np.log(k1 / (both * share)) + np.where(k0 > 0, k0 * np.log(k0 / (both * (1 - share))), 0.0))
+    good = (k1 >= LEAST_DOCS) & (ratio >= LEAST_RATIO) & (g >= LEAST_EVIDENCE)
+    return {names[i]: (float(np.log(ratio[i])), float(g[i])) for i in np.flatnonzero(good)}
+
+
+def pieces_of(reader: Reader, text: str, toxic: bool) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
+    """(feature numbers, labels) of stretches near known words; `reader` has number + 1 for a weight, so -1 is an unknown word, and a known word is toxic inside a toxic document."""
+    out = []
+    for seg in reader.segments(text):
+        for at in range(0, len(seg), PIECE):
+            ids = tuple(int(x) - 1 for _, x in seg[at : at + PIECE])
+            out.append((ids, tuple(int(toxic and i >= 0) for i in ids)))
     return out
 
 
-def fit_field(texts: list[str], toxic: np.ndarray, steps: int = 80, rate: float = 0.5, decay: float = 1e-3, shares: tuple[float, float] = (1.0, 1.0)) -> ToxicField:
-    """Maximum conditional likelihood by adaptive gradient steps, then the document logistic.
-
-    `shares`: the labelled documents that each clean and each toxic one of `texts` stands for.
-    """
-    model = ToxicField()
-    share = np.where(toxic, shares[1], shares[0])
-    if not len(texts) or toxic.all() or not toxic.any():
-        return model
-    found = toxic_words(texts, toxic)
-    names = sorted(found)
-    model.order = {w: found[w][1] for w in names}
-    number = {w: i for i, w in enumerate(names)}
-    # One segment row holds feature numbers (-1: unknown word) and labels; a known word is toxic inside a toxic document.
-    reader = Reader({w: float(i + 1) for w, i in number.items()}, model.order)
-    rows, labels, owner = [], [], []
-    for d, (text, y) in enumerate(zip(texts, toxic)):
-        for seg in reader.segments(text):
-            for at in range(0, len(seg), PIECE):
-                rows.append([int(x) - 1 for _, x in seg[at : at + PIECE]])
-                labels.append([int(y and x > 0) for _, x in seg[at : at + PIECE]])
-                owner.append(d)
-    theta = np.array([found[w][0] for w in names])
+def fit_chain(model: ToxicField, names: list[str], start: list[float], pieces: list[tuple[tuple[int, ...], tuple[int, ...]]], part: np.ndarray, steps: int = 80, rate: float = 0.5, decay: float = 1e-3) -> None:
+    """Sets weights, bias and moves by maximum conditional likelihood with adaptive gradient steps; piece i counts `part[i]` times."""
+    theta = np.array(start)
     model.moves = np.array([[0.0, -1.0], [-0.5, 0.0]])
-    if rows:
-        lengths = np.array([len(r) for r in rows])
+    if pieces:
+        lengths = np.array([len(r) for r, _ in pieces])
         m = int(lengths.max())
-        ids = np.full((len(rows), m), -1)
-        y = np.zeros((len(rows), m))
-        for i, (r, t) in enumerate(zip(rows, labels)):
+        ids, y = np.full((len(pieces), m), -1), np.zeros((len(pieces), m))
+        for i, (r, t) in enumerate(pieces):
             ids[i, : len(r)], y[i, : len(t)] = r, t
         known = ids >= 0
-        steps_y = np.concatenate([np.zeros((len(rows), 1)), y, np.zeros((len(rows), 1))], axis=1).astype(int)
+        steps_y = np.concatenate([np.zeros((len(pieces), 1)), y, np.zeros((len(pieces), 1))], axis=1).astype(int)
         steps_live = np.arange(m + 1)[None, :] <= lengths[:, None]
         seen_moves = np.zeros((2, 2))
-        part = share[owner]
         np.add.at(seen_moves, (steps_y[:, :-1][steps_live], steps_y[:, 1:][steps_live]), np.broadcast_to(part[:, None], steps_live.shape)[steps_live])
         sums = [np.full(len(theta), 1e-6), 1e-6, np.full((2, 2), 1e-6)]
         n = part.sum()
         for _ in range(steps):
-            w = np.where(known, theta[ids], 0.0)
-            p, moves, _ = model.marginals(w, lengths, part)
+            p, moves, _ = model.marginals(np.where(known, theta[ids], 0.0), lengths, part)
             diff = (y - p) * part[:, None]
             grads = [np.bincount(ids[known], diff[known], len(theta)) / n - decay * theta, float(diff.sum()) / n - decay * model.bias, (seen_moves - moves) / n - decay * model.moves]
             for i, g in enumerate(grads):
@@ -226,13 +208,19 @@ def fit_field(texts: list[str], toxic: np.ndarray, steps: int = 80, rate: float
             model.moves = model.moves + rate * grads[2] / np.sqrt(sums[2])
             model.moves[0, 0] = 0.0
     model.words = dict(zip(names, theta.tolist()))
-    x = document_features(np.array([(e, n) for e, n, _ in evidence(model, Reader(model.words, model.order), texts)]))
-    yy, w = toxic.astype(float), np.array([1.0, 0.0, -2.0])
+
+
+def fit_document(model: ToxicField, found: np.ndarray, toxic: np.ndarray, share: np.ndarray) -> None:
+    """Sets the document logistic from rows of (evidence, words); document i counts `share[i]` times."""
+    x, yy, w = document_features(found), toxic.astype(float), np.array([1.0, 0.0, -2.0])
     for _ in range(50):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         w = w + np.linalg.solve((x * (share * q * (1 - q) + 1e-9)[:, None]).T @ x + 0.05 * np.eye(3), x.T @ (share * (yy - q)) - 0.05 * w)
     model.document = w
-    return model
+
+
+def numbered(model: ToxicField, names: list[str]) -> Reader:
+    return Reader({w: float(i + 1) for i, w in enumerate(names)}, model.order)
 
 
 def evidence(model: ToxicField, reader: Reader, texts: list[str | None]) -> list[tuple[float, int, list[tuple[int, float]]]]:
@@ -244,14 +232,19 @@ def evidence(model: ToxicField, reader: Reader, texts: list[str | None]) -> list
             owner.append(d)
     total, marked = np.zeros(len(texts)), [[] for _ in texts]
     order = sorted(range(len(segs)), key=lambda i: len(segs[i]))
-    for at in range(0, len(order), 512):
-        part = [segs[i] for i in order[at : at + 512]]
-        w, lengths = _padded(part)
-        p, _, _ = model.marginals(w, lengths)
-        for i, s, row in zip(order[at : at + 512], part, p):
+    at = 0
+    while at < len(order):
+        # As many chains as fit CELLS when padded to the longest of them, one at least.
+        to = at + 1
+        while to < len(order) and (to + 1 - at) * len(segs[order[to]]) <= CELLS:
+            to += 1
+        part = [segs[i] for i in order[at:to]]
+        p, _, _ = model.marginals(*_padded(part))
+        for i, s, row in zip(order[at:to], part, p):
             row = row[: len(s)]
             total[owner[i]] += float(-np.log1p(-np.minimum(row, 1 - 1e-9)).sum())
             marked[owner[i]] += [(s[k][0], float(row[k])) for k in np.flatnonzero(row > 0.5)]
+        at = to
     return list(zip(total.tolist(), counts, marked))
 
 
@@ -275,10 +268,64 @@ def learn(documents: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS,
     """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(4, 2)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = bounded_sample(known.filter("toxic = 1"), F.col("doc_id"), toxic_rows).unionByName(bounded_sample(known.filter("toxic <> 1"), F.col("doc_id"), clean_rows))
-    rows = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").filter(F.col("text").isNotNull()).dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    rows = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").filter(F.col("text").isNotNull())
+    sample = settled(rows.groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic"), F.min("text").alias("text")), "toxic-sample")
     total = known.agg(F.count_if(F.col("toxic") != 1), F.count_if(F.col("toxic") == 1)).first()
     shares = tuple(max(1.0, (n or 0) / most) for n, most in zip(total, (clean_rows, toxic_rows)))
-    return fit_field(rows["text"].tolist(), (rows["toxic"].to_numpy() == 1), shares=shares)
+    return fit_field(sample, shares)
+
+
+def fit_field(sample: DataFrame, shares: tuple[float, float] = (1.0, 1.0)) -> ToxicField:
+    """A field from a settled sample (toxic boolean, text); `shares`: the labelled documents that each clean and each toxic one stands for."""
+    model = ToxicField()
+    classes = sample.agg(F.count_if("toxic"), F.count_if(~F.col("toxic"))).first()
+    if not classes[0] or not classes[1]:
+        return model
+
+    def count(batches) -> Iterator[pa.RecordBatch]:
+        def rows() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(list(seen), pa.string()), pa.array([a for a, _ in seen.values()], pa.int64()), pa.array([b for _, b in seen.values()], pa.int64())], names=["form", "toxic", "clean"])
+
+        # The empty form counts distinct words read.
+        seen: dict[str, list[int]] = {}
+        for batch in batches:
+            for y, text in zip(batch.column("toxic"), batch.column("text")):
+                side, (names, n) = 1 - int(y.as_py()), forms_of(text.as_py())
+                for f in names:
+                    seen.setdefault(f, [0, 0])[side] += 1
+                seen.setdefault("", [0, 0])[side] += n
+                if len(seen) > COUNTED:
+                    yield rows()
+                    seen = {}
+        yield rows()
+
+    counts = settled(sample.select("toxic", "text").mapInArrow(count, "form string, toxic long, clean long").groupBy("form").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).filter((F.col("toxic") >= LEAST_DOCS) | (F.col("form") == "")), "toxic-forms")
+    read = tuple(1 + x for x in (counts.filter("form = ''").select("toxic", "clean").first() or (0, 0)))
+    ratio = (F.col("toxic") / read[0]) / ((F.col("clean") + 0.5) / read[1])
+    marked = counts.filter((F.col("form") != "") & (ratio >= LEAST_RATIO)).toPandas().sort_values("form")
+    found = chosen(marked["form"].tolist(), marked["toxic"].to_numpy(), marked["clean"].to_numpy(), read)
+    names = sorted(found)
+    model.order = {w: found[w][1] for w in names}
+
+    def cut(batches) -> Iterator[pa.RecordBatch]:
+        reader, seen = numbered(model, names), Counter()
+        for batch in batches:
+            for y, text in zip(batch.column("toxic"), batch.column("text")):
+                seen.update((*piece, y.as_py()) for piece in (pieces_of(reader, text.as_py(), y.as_py()) if names else ()))
+        ids, labels = ([list(k[i]) for k in seen] for i in (0, 1))
+        yield pa.record_batch([pa.array(ids, pa.list_(pa.int32())), pa.array(labels, pa.list_(pa.int8())), pa.array([n * shares[int(y)] for (_, _, y), n in seen.items()], pa.float64())], names=["ids", "labels", "share"])
+
+    pieces = sample.select("toxic", "text").mapInArrow(cut, "ids array<int>, labels array<tinyint>, share double").groupBy("ids", "labels").agg(F.sum("share").alias("share")).orderBy("ids", "labels").collect()
+    fit_chain(model, names, [found[w][0] for w in names], [(tuple(r.ids), tuple(r.labels)) for r in pieces], np.array([r.share for r in pieces]))
+
+    def weigh(batch: pa.RecordBatch) -> pa.RecordBatch:
+        got = evidence(model, Reader(model.words, model.order), batch.column("text").to_pylist())
+        return pa.record_batch([batch.column("toxic"), pa.array([e for e, _, _ in got], pa.float64()), pa.array([n for _, n, _ in got], pa.int64())], names=["toxic", "e", "n"])
+
+    docs = by_batch(sample.select("toxic", "text"), weigh, "toxic boolean, e double, n long").toPandas().sort_values(["toxic", "e", "n"])
+    toxic = docs["toxic"].to_numpy(dtype=bool)
+    fit_document(model, docs[["e", "n"]].to_numpy(dtype=float), toxic, np.where(toxic, shares[1], shares[0]))
+    return model
 
 
 def score_toxicity(documents: DataFrame, model: ToxicField, threshold: float = 0.3) -> DataFrame:
@@ -295,4 +342,4 @@ def score_toxicity(documents: DataFrame, model: ToxicField, threshold: float = 0
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
         return pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32)), pa.array(spans, kind)], names=["doc_id", "held_out", "score", "predicted", "spans"])
 
-    return by_batch(documents.select("doc_id", held_out(4, 2).alias("held_out"), "text"), work, "doc_id long, held_out boolean, score double, predicted int, spans array<struct<start:long,end:long,p:double>>")
+    return by_batch(documents.select("doc_id", held_out(4, 2).alias("held_out"), "text"), work, "doc_id long, held_out boolean, score double, predicted int, spans array<struct<start:long,end:long,p:double>>", rows=300)
