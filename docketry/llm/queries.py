@@ -33,7 +33,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_digest(_table(spark, sf_dir, "documents"))
+    return sharding.shard_digest(sharding.shard_table(_table(spark, sf_dir, "documents")))
 
 
 def op6_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
