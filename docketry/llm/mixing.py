@@ -6,7 +6,8 @@ block of that source: its documents in a seeded shuffle, laid end to end and cut
 that is used more than once starts over). A source's last slot is cut so that its taken tokens are its rounded target.
 
 Null texts have size 0 and are never taken; a null source is a source of its own, sorted last; repeated rows are separate
-documents, each with its own place in the shuffle; empty tables give empty results. Extra columns are ignored.
+documents, laid one after another in the shuffle as one summed row; rows without an id are told apart by their texts; empty
+tables give empty results. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -14,12 +15,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.llm.common import WORD_PATTERN, settled
+from docketry.llm.common import WORD_PATTERN, boxed, settled
 
 WEIGHTS, SHARE, MOST_REUSE, BLOCK_TOKENS = (5, 2, 1), 1.5, 2, 256
 #: Sources up to which the per-source table is broadcast (about 100 bytes a row); beyond, the join shuffles.
 BROADCAST_SOURCES = 100_000
-#: Points i * _STEP mod _POINTS, a golden-ratio sequence in integers; interval cells by which points find their source; slots ranked together.
+#: Points i * _STEP mod _POINTS, a golden-ratio sequence in integers; least number of interval cells by which points find their source; slots ranked together.
 _POINTS, _STEP, _CELLS, _CHUNK = 2147483647, 1327217884, 4096, 65536
 
 
@@ -29,7 +30,7 @@ def sized(documents: DataFrame) -> DataFrame:
         "doc_id",
         "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("h"),
+        F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.coalesce("text", F.lit("")))))).alias("h"),
     )
 
 
@@ -76,11 +77,13 @@ def schedule(quotas: DataFrame, size: int = BLOCK_TOKENS) -> DataFrame:
     of after all points (the sequence's discrepancy) follow at the end; points beyond its quota fall away.
     """
     spark = quotas.sparkSession
-    n = quotas.agg(F.max("all_slots")).first()[0] or 0
+    n, sources = (x or 0 for x in quotas.agg(F.max("all_slots"), F.count("*")).first())
+    # As many cells as sources at least, so that a cell holds about two of them.
+    n_cells = max(_CELLS, sources)
     slots = spark.range(n).select(F.col("id").alias("position"), (F.pmod(F.pmod(F.col("id"), F.lit(_POINTS)) * _STEP, F.lit(_POINTS)) / F.lit(float(_POINTS))).alias("u"))
-    slots = slots.withColumn("cell", F.floor(F.col("u") * _CELLS))
+    slots = slots.withColumn("cell", F.floor(F.col("u") * n_cells))
     held = quotas.filter("slots > 0").select("source", "source_size", "blocks", "passes", "rest", "slots", "lo", "hi")
-    cells = held.select("source", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * _CELLS), F.floor(F.col("hi") * _CELLS))).alias("cell"))
+    cells = held.select("source", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * n_cells), F.floor(F.col("hi") * n_cells))).alias("cell"))
     placed = slots.join(cells, "cell").filter((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("position", "source", F.floor(F.col("position") / _CHUNK).alias("chunk"))
     counts = placed.groupBy("source", "chunk").count()
     earlier = Window.partitionBy("s").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
@@ -100,17 +103,19 @@ def schedule(quotas: DataFrame, size: int = BLOCK_TOKENS) -> DataFrame:
 
 
 def laid_out(docs: DataFrame) -> DataFrame:
-    """Adds `start` (token offset of the document in its source's shuffle) and `nth` (its number within its stretch).
+    """doc_id, source, size, h, start (token offset of the document in its source's shuffle) and copy, a number for each of equal rows.
 
     The shuffle order is the hashed id; its first three digits cut a source into up to 4096 stretches that are summed apart.
+    Equal rows are one row with a count until their offsets are known, so a row that is repeated without end is no long stretch.
     """
-    docs = docs.withColumn("stretch", F.substring("h", 1, 3))
-    sums = docs.groupBy("source", "stretch").agg(F.sum("size").alias("sum"))
+    docs = docs.groupBy("source", "h", "doc_id", "size").agg(F.count("*").alias("copies")).withColumn("stretch", F.substring("h", 1, 3)).withColumn("all", F.col("size") * F.col("copies"))
+    sums = docs.groupBy("source", "stretch").agg(F.sum("all").alias("sum"))
     ahead = Window.partitionBy("source").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(F.col("source").alias("s"), F.col("stretch").alias("t"), F.coalesce(F.sum("sum").over(ahead), F.lit(0)).alias("offset"))
-    order = Window.partitionBy("source", "stretch").orderBy("h", "doc_id", "size")
-    inside = docs.withColumn("nth", F.row_number().over(order)).withColumn("within", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    return inside.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("stretch") == F.col("t"))).withColumn("start", F.col("offset") + F.col("within")).drop("s", "t", "offset", "within")
+    order = Window.partitionBy("source", "stretch").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = docs.withColumn("within", F.sum("all").over(order) - F.col("all")).join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("stretch") == F.col("t")))
+    each = inside.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    return each.select("doc_id", "source", "size", "h", (F.col("offset") + F.col("within") + F.col("copy") * F.col("size")).alias("start"), "copy")
 
 
 def mix(documents: DataFrame, block: int = BLOCK_TOKENS) -> DataFrame:
@@ -127,20 +132,22 @@ def mix(documents: DataFrame, block: int = BLOCK_TOKENS) -> DataFrame:
     a = F.greatest(F.col("start") - F.col("block") * block, F.lit(0))
     z = F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block))
     piece = F.aggregate(F.coalesce("cuts", F.array().cast("array<bigint>")), F.lit(0).cast("long"), lambda acc, cut: acc + F.greatest(F.least(z, cut) - a, F.lit(0)))
-    return joined.groupBy("doc_id", "source", "size", "source_size", "target", "start", "stretch", "nth").agg(F.coalesce(F.sum(piece), F.lit(0)).alias("taken")).drop("start", "stretch", "nth")
+    return joined.groupBy("doc_id", "source", "size", "source_size", "target", "h", "start", "copy").agg(F.coalesce(F.sum(piece), F.lit(0)).alias("taken")).drop("h", "start", "copy")
 
 
 def mixed_rows(documents: DataFrame) -> DataFrame:
     """The rows of `documents`, each repeated as often as the mix takes its text, rounded; texts without words stay once."""
-    times = mix(documents).groupBy("doc_id").agg((F.sum("taken") / F.sum("size")).alias("ratio")).select(F.col("doc_id").alias("mix_id"), F.coalesce(F.round("ratio"), F.lit(1.0)).cast("int").alias("mix_times"))
-    return documents.join(times, F.col("doc_id").eqNullSafe(F.col("mix_id"))).filter("mix_times > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select(*(documents[c] for c in documents.columns))
+    ratio = mix(documents).groupBy("doc_id").agg(F.try_divide(F.sum("taken"), F.sum("size")).alias("ratio"))
+    times = ratio.select(F.col("doc_id").alias("id"), F.coalesce(F.round("ratio"), F.lit(1.0)).cast("int").alias("times"))
+    found = boxed(documents, mixed=F.col("doc_id")).join(times, F.col("mixed").eqNullSafe(F.col("id"))).filter("times > 0")
+    return found.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 #: The contract of the query over DuckDB; the shuffle and the targets as above, tokens taken by arithmetic instead of slots.
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
-    md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+    md5('mix:' || coalesce(doc_id::VARCHAR, 'text:' || coalesce(text, ''))) AS h FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5,2,1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM per),
 r AS (SELECT *, source_size * 2.0::DOUBLE / weight AS ratio, 1.5 * (SELECT sum(source_size) FROM per)::DOUBLE AS total FROM w),
