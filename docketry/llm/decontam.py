@@ -4,10 +4,11 @@ Test items are short and documents long, so the measure is containment: the shar
 has. Items are partitioned by the size of their shingle sets; each partition fixes how many minimum hashes (a bottom-k MinHash
 sketch under one shared hash) an item shows: so many that any document with the asked containment must share one. Documents
 are matched on these minima alone, which yields candidate pairs; each candidate is then verified by exact containment over
-the document's whole shingle set.
+the document's whole shingle set. Pairs are rows of numbers throughout: no array of items hangs on a document.
 
 Words are runs of non-white-space, lower-cased; shingles are five words, or all words of a shorter item or text. Null or empty
-texts have no shingles and match nothing. Null ids never match. Repeated rows give one result row per id and item.
+texts have no shingles and match nothing. Null ids never match. Rows of one id are one item or document with the shingles of
+all its texts; there is one result row per id and item.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from docketry.llm.common import settled
 
 WORDS, CONTAINMENT = 5, 0.8
-#: Rows up to which a table of (hash, id) pairs or ids is broadcast: 2 million rows take some 100 MB; larger ones are joined by a shuffle.
+#: Rows up to which a table of (hash, id) pairs or ids is broadcast, some 50 MB; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _SPACE = " \t\n\x0b\f\r"
 
@@ -36,30 +37,37 @@ def with_shingles(df: DataFrame, *keep: str, words: int = WORDS) -> DataFrame:
     return tokens.select(*keep, each.alias("shingles"))
 
 
-def item_sketches(benchmark: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """item_id, n, hashes, sketch: partitions are powers of two of n, and a partition's largest n sets the sketch length."""
-    sets = with_shingles(benchmark.filter(F.col("item_id").isNotNull()), "item_id").select("item_id", F.array_sort(F.array_distinct("shingles")).alias("hashes"))
-    sets = sets.withColumn("n", F.size("hashes").cast("long")).dropDuplicates(["item_id", "hashes"])
+def distinct_shingles(benchmark: DataFrame) -> DataFrame:
+    """(item_id, h): the distinct shingles of each item; texts of one id are one item."""
+    return with_shingles(benchmark.filter(F.col("item_id").isNotNull()), "item_id").select("item_id", F.explode("shingles").alias("h")).distinct()
+
+
+def item_sketches(shingles: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
+    """item_id, n, sketch from distinct (item_id, h): partitions are powers of two of n, and a partition's largest n sets the sketch length."""
+    sets = shingles.groupBy("item_id").agg(F.array_sort(F.collect_set("h")).alias("hashes")).withColumn("n", F.size("hashes").cast("long"))
     top = F.pow(F.lit(2.0), F.floor(F.log2("n")) + 1) - 1
-    return sets.withColumn("sketch", F.slice("hashes", F.lit(1), (F.floor(top * (1 - containment) + 1e-9) + 1).cast("int")))
+    return sets.select("item_id", "n", F.slice("hashes", F.lit(1), (F.floor(top * (1 - containment) + 1e-9) + 1).cast("int")).alias("sketch"))
 
 
 def _bounded(df: DataFrame) -> DataFrame:
-    """Broadcast where a count shows it is small, else left to a shuffle join, whose hot keys adaptive execution splits."""
+    """A table of numbers, broadcast where a count shows it is small, else left to a shuffle join, whose hot keys adaptive execution splits."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, item_id, n_shingles, n_found, containment for each pair at or above the asked containment."""
-    items = item_sketches(benchmark, containment)
+    shingles = settled(distinct_shingles(benchmark), "leak-shingles")
+    items = settled(item_sketches(shingles, containment), "leak-items")
     texts = documents.filter(F.col("doc_id").isNotNull()).select("doc_id", "text")
     minima = items.select("item_id", F.explode("sketch").alias("h"))
     shown = with_shingles(texts, "doc_id").select("doc_id", F.explode_outer("shingles").alias("h"))
-    candidates = settled(shown.join(_bounded(minima), "h").select("doc_id", "item_id").distinct().groupBy("doc_id").agg(F.collect_list("item_id").alias("items")), "leak-candidates")
-    again = with_shingles(texts.join(_bounded(candidates), "doc_id"), "doc_id", "items").select("doc_id", F.array_distinct("shingles").alias("have"), "items")
-    pairs = again.select("doc_id", "have", F.explode("items").alias("item_id"))
-    found = pairs.join(_bounded(items.select("item_id", "n", "hashes")), "item_id").select("doc_id", "item_id", F.col("n").alias("n_shingles"), F.size(F.array_intersect("have", "hashes")).cast("long").alias("n_found"))
-    return found.withColumn("containment", F.col("n_found") / F.col("n_shingles")).filter(F.col("containment") >= containment).dropDuplicates(["doc_id", "item_id"])
+    candidates = settled(shown.join(_bounded(minima), "h").select("doc_id", "item_id").distinct(), "leak-candidates")
+    # Of a candidate document only the shingles of candidate items stay, each once for its item.
+    again = with_shingles(texts.join(_bounded(candidates.select("doc_id").distinct()), "doc_id", "left_semi"), "doc_id").select("doc_id", F.explode(F.array_distinct("shingles")).alias("h"))
+    met = again.join(_bounded(shingles), "h").join(_bounded(candidates), ["doc_id", "item_id"], "left_semi")
+    found = met.distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("n_found"))
+    pairs = found.join(_bounded(items.select("item_id", F.col("n").alias("n_shingles"))), "item_id").withColumn("containment", F.col("n_found") / F.col("n_shingles"))
+    return pairs.filter(F.col("containment") >= containment).select("doc_id", "item_id", "n_shingles", "n_found", "containment")
 
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
