@@ -4,7 +4,7 @@ Each language has a zstandard raw-content dictionary cut from its training texts
 packed with each dictionary, and the sizes are summed over the whole text; blocks keep a long text from being explained by
 itself. A narrow margin marks the decision as rejected (column `accepted`), the smallest size is still reported.
 
-A null text, or one without a letter, is `und` with score 0. Ties go to the first language in code-point order.
+A null text, or one without a letter (a character of a Unicode letter category), is `und` with score 0. Ties go to the first language in code-point order.
 Columns besides doc_id, text and (for learning) lang are not read.
 """
 
@@ -28,7 +28,8 @@ TEXTS, PIECE_BYTES = 256, 500
 MARGIN_BITS = 24.0
 #: Nats of evidence per packed bit; below ln 2 because sizes are rounded to bytes and blocks are not independent.
 TEMPERATURE = 0.05
-_LETTER = re.compile(r"[^\W\d_]")
+#: Word signs other than ASCII digits: letters, and numbers such as superscripts that are none.
+_LIKE_LETTER = re.compile(r"[^\W0-9_]")
 
 
 def byte_shares(sizes: list[int], most: int) -> list[int]:
@@ -63,7 +64,7 @@ def learn_dictionaries(documents: DataFrame, texts: int = TEXTS) -> dict[str, by
     usable = documents.filter(~held_out(4, 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     h = F.xxhash64(F.col("doc_id").cast("string"), F.lit(40013))
     share = usable.groupBy("lang").agg(F.count("*").alias("n")).select("lang", F.least(F.lit(1.0), F.lit(2.0 * texts + 64) / F.col("n")).alias("share"))
-    thin = usable.select("doc_id", "lang", "text", h.alias("h")).join(F.broadcast(share), "lang").filter(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    thin = usable.select("doc_id", "lang", "text", h.alias("h")).join(share, "lang").filter(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30))
     first = thin.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("k") <= texts)
     first = settled(first.select("lang", "k", "text"), "lang-texts")
 
@@ -109,9 +110,13 @@ class Packers:
         return np.array([sum(len(pack(b)) for b in blocks) for pack in self.pack], dtype=np.float64)
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _LIKE_LETTER.finditer(text))
+
+
 def decide(text: str | None, packers: Packers) -> tuple[str, float, bool]:
     """(language, score, accepted)."""
-    if text is None or not packers.langs or not _LETTER.search(text):
+    if text is None or not packers.langs or not has_letter(text):
         return "und", 0.0, False
     sizes = packers.sizes(text) * 8
     best = int(np.argmin(sizes))
@@ -121,12 +126,13 @@ def decide(text: str | None, packers: Packers) -> tuple[str, float, bool]:
 
 
 def identify(documents: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, accepted for each row. The dictionaries ship with the task: languages x 96 kB."""
+    """doc_id, held_out, lang_pred, score, accepted for each row. The dictionaries, languages x 96 kB, are broadcast once an executor."""
     made: list[Packers] = []
+    shared = documents.sparkSession.sparkContext.broadcast(dictionaries)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not made:
-            made.append(Packers(dictionaries))
+            made.append(Packers(shared.value))
         got = [decide(t, made[0]) for t in batch.column("text").to_pylist()]
         lang, score, sure = zip(*got) if got else ((), (), ())
         return pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(sure, pa.bool_())], names=["doc_id", "held_out", "lang_pred", "score", "accepted"])
