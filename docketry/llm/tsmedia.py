@@ -2,17 +2,20 @@
 
 Writing: a program association table, a program map table and one private-data elementary stream, whose packetised (PES)
 units of UNIT_BYTES carry presentation time stamps; each unit starts with a random-access point and a clock reference.
-Reading: program tables are parsed (with their CRC), the elementary stream's PID and type come from them, continuity counters
-are checked, PES packets are reassembled, and time stamps are kept with the random-access points.
+Reading: program tables are parsed (sections may span packets; their CRC is checked), the elementary stream's PID and type come
+from them, continuity counters are checked (a packet sent twice is read once, a signalled discontinuity is no error), PES packets
+are reassembled, and time stamps are kept with the random-access points.
 
 The payload of a document is its UTF-8 text (null: empty) and zero bytes up to a positive multiple of 64.
-Equal texts have equal streams. A stream that breaks off or skips packets is read as far as it goes, with errors counted.
+Equal texts have equal streams. Any bytes can be read: what breaks off, is skipped or contradicts the format is counted as an
+error and passed over.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -116,26 +119,68 @@ class Stream:
     continuity_errors: int = 0
     sync_errors: int = 0
     table_errors: int = 0
+    unit_errors: int = 0
     stamps: list[int] = field(default_factory=list)
     #: (packet index, time stamp) of each random-access point.
     access: list[tuple[int, int]] = field(default_factory=list)
 
 
-def _read_section(packet: bytes, table: int) -> bytes | None:
-    """The body of a section that starts and ends in this packet; None if it is damaged."""
-    at = 4 + (1 + packet[4] if packet[3] & 0x20 else 0)
-    at += 1 + packet[at]
-    if packet[at] != table:
-        return None
-    length = (packet[at + 1] & 15) << 8 | packet[at + 2]
-    raw = packet[at : at + 3 + length]
-    return raw[8:-4] if len(raw) == 3 + length and section_crc(raw) == 0 else None
+def _body_at(packet: np.ndarray) -> int:
+    """Where a packet's payload starts; PACKET if it has none."""
+    if not packet[3] & 0x10:
+        return PACKET
+    return min(5 + int(packet[4]), PACKET) if packet[3] & 0x20 else 4
+
+
+def _sections(rows: np.ndarray) -> Iterator[bytes]:
+    """The raw sections that a PID's packets carry, whole or cut off."""
+    raw = b""
+    for packet in rows:
+        body = packet[_body_at(packet) :].tobytes()
+        if packet[1] & 0x40 and body:
+            # What comes before the pointer's place ends the section that was open.
+            if raw:
+                yield raw + body[1 : 1 + body[0]]
+            raw = body[1 + body[0] :]
+        elif raw:
+            raw += body
+        while len(raw) >= 3 and raw[0] != 0xFF and len(raw) >= (size := 3 + ((raw[1] & 15) << 8 | raw[2])):
+            yield raw[:size]
+            raw = raw[size:]
+        if raw[:1] == b"\xff":
+            raw = b""
+    if raw:
+        yield raw
+
+
+def _table(rows: np.ndarray, table: int, out: Stream) -> Iterator[bytes]:
+    """Bodies of the sections of one table, between header and CRC; damaged ones are counted."""
+    for raw in _sections(rows):
+        if raw[0] != table:
+            continue
+        if len(raw) < 12 or len(raw) != 3 + ((raw[1] & 15) << 8 | raw[2]) or section_crc(raw) != 0:
+            out.table_errors += 1
+        else:
+            yield raw[8:-4]
 
 
 def _read_stamp(raw: bytes) -> int:
     return (raw[0] >> 1 & 7) << 30 | raw[1] << 22 | (raw[2] >> 1) << 15 | raw[3] << 7 | raw[4] >> 1
 
 
+def _first_program(body: bytes) -> int | None:
+    for k in range(0, len(body) - 3, 4):
+        if body[k] << 8 | body[k + 1]:
+            return (body[k + 2] & 31) << 8 | body[k + 3]
+    return None
+
+
+def _first_stream(body: bytes) -> tuple[int, int] | None:
+    """(type, PID) of the first elementary stream of a program map."""
+    at = 4 + ((body[2] & 15) << 8 | body[3]) if len(body) >= 4 else len(body)
+    return (body[at], (body[at + 1] & 31) << 8 | body[at + 2]) if at + 5 <= len(body) else None
+
+
 def read_stream(stored: bytes) -> Stream:
     """Parses a stored stream; damage is counted, not raised."""
     out = Stream()
@@ -147,51 +192,43 @@ def read_stream(stored: bytes) -> Stream:
     good = grid[:, 0] == SYNC
     out.sync_errors = int(n - good.sum())
     pid = (grid[:, 1].astype(np.int32) & 31) << 8 | grid[:, 2]
-    starts = (grid[:, 1] & 0x40) > 0
-    for i in np.flatnonzero(good & starts & (pid == PAT_PID)):
-        body = _read_section(grid[i].tobytes(), 0x00)
-        if body is None:
-            out.table_errors += 1
-            continue
-        for k in range(0, len(body) - 3, 4):
-            if body[k] << 8 | body[k + 1]:
-                out.pmt_pid = (body[k + 2] & 31) << 8 | body[k + 3]
-                break
-        break
+    out.pmt_pid = next((p for b in _table(grid[good & (pid == PAT_PID)], 0x00, out) if (p := _first_program(b)) is not None), None)
     if out.pmt_pid is None:
         return out
-    for i in np.flatnonzero(good & starts & (pid == out.pmt_pid)):
-        body = _read_section(grid[i].tobytes(), 0x02)
-        if body is None:
-            out.table_errors += 1
-            continue
-        at = 4 + ((body[2] & 15) << 8 | body[3])
-        out.stream_type, out.data_pid = body[at], (body[at + 1] & 31) << 8 | body[at + 2]
-        break
-    if out.data_pid is None:
+    found = next((x for b in _table(grid[good & (pid == out.pmt_pid)], 0x02, out) if (x := _first_stream(b)) is not None), None)
+    if found is None:
         return out
-    mine = np.flatnonzero(good & (pid == out.data_pid))
+    out.stream_type, out.data_pid = found
+    mine = np.flatnonzero(good & (pid == out.data_pid) & ((grid[:, 3] & 0x10) > 0))
     rows = grid[mine]
     if not len(rows):
         return out
-    carries = (rows[:, 3] & 0x10) > 0
-    counter = (rows[:, 3] & 15).astype(np.int32)[carries]
-    out.continuity_errors = int((np.diff(counter) % 16 != 1).sum())
+    # The counter goes up by one with each packet that carries data; the same packet may come twice in a row.
+    ahead = np.diff((rows[:, 3] & 15).astype(np.int32)) % 16
+    again = np.concatenate([[False], (ahead == 0) & (rows[1:, 4:] == rows[:-1, 4:]).all(axis=1)])
     adapted = (rows[:, 3] & 0x20) > 0
-    skip = np.where(adapted, rows[:, 4].astype(np.int32) + 5, 4)
-    begins = np.flatnonzero(starts[mine])
+    signalled = adapted & (rows[:, 4] > 0) & ((rows[:, 5] & 0x80) > 0)
+    kept = ~again
+    rows, mine, adapted, signalled = rows[kept], mine[kept], adapted[kept], signalled[kept]
+    ahead = np.diff((rows[:, 3] & 15).astype(np.int32)) % 16
+    out.continuity_errors = int(((ahead != 1) & ~signalled[1:]).sum())
+    skip = np.minimum(np.where(adapted, rows[:, 4].astype(np.int32) + 5, 4), PACKET)
+    begins = np.flatnonzero((rows[:, 1] & 0x40) > 0)
     pieces = []
     for a, b in zip(begins, [*begins[1:], len(rows)]):
-        first = rows[a, min(skip[a], PACKET) :].tobytes()
+        first = rows[a, skip[a] :].tobytes()
         if first[:3] != b"\x00\x00\x01" or len(first) < 14:
+            out.unit_errors += 1
             continue
         length, header = first[4] << 8 | first[5], 9 + first[8]
         stamp = _read_stamp(first[9:14]) if first[7] & 0x80 else None
         plain = a + 1
         while plain < b and not adapted[plain]:
             plain += 1
-        body = [first, rows[a + 1 : plain, 4:].tobytes(), *(rows[k, min(skip[k], PACKET) :].tobytes() for k in range(plain, b) if carries[k])]
-        pieces.append(b"".join(body)[header : 6 + length])
+        body = b"".join([first, rows[a + 1 : plain, 4:].tobytes(), *(rows[k, skip[k] :].tobytes() for k in range(plain, b))])
+        # A length of 0 means up to the next unit.
+        out.unit_errors += int(len(body) < 6 + length)
+        pieces.append(body[header : 6 + length if length else len(body)])
         out.units += 1
         if stamp is not None:
             out.stamps.append(stamp)
@@ -213,7 +250,7 @@ def describe(stream: Stream) -> str:
     return f"program={stream.pmt_pid};pid={stream.data_pid};type={stream.stream_type};units={stream.units};packets={stream.packets};continuity_errors={stream.continuity_errors};pts=0-{last};access_points={len(stream.access)};access_crc32={marks}"
 
 
-def with_media(documents: DataFrame, keep_stream: bool = True) -> DataFrame:
+def with_media(documents: DataFrame) -> DataFrame:
     """Each row's id, the payload's length, and its stored stream as a binary column `media`."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
