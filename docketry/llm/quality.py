@@ -169,11 +169,11 @@ def fit_quality(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS
     """A model from at most `rows` labelled documents that are not held out (crc32 of the id mod 3 is not 1).
 
     The labels are sampled first, so only their ids (at most `rows`) are broadcast and only their documents are featurised
-    on the executors; the driver gets feature vectors, no texts. Labels without a document, without an id or null are ignored.
+    on the executors; the driver gets feature vectors, no texts. Labels without a document, without an id or null are ignored; of an id with several texts the smallest is learned from.
     """
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(3, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     picked = bounded_sample(known, F.col("doc_id"), rows)
-    docs = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    docs = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("text").alias("text"))
 
     def vectors(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = _matrix(batch.column("text").to_pylist())
