@@ -139,13 +139,12 @@ def test_tree_marginals_are_exact():
         w = np.exp(sum(u[i] * s[i] for i in range(n)) + sum(model.edges[int(v.tag in htmltree._BLOCK)][s[v.parent], s[i]] for i, v in enumerate(page.nodes) if i))
         total += w
         ones += w * np.array(s)
-    assert np.allclose(model.marginals(page, x)[0], ones / total)
+    assert np.allclose(model.marginals(page, x @ model.weights)[0], ones / total) and np.allclose(model.potentials(page), x @ model.weights)
 
 
 def test_toxicity(spark, docs, none, labels):
     clean, bad = "the river runs past the old mill and the farm", "you utter zorgblat and your friends the zorgblat gang"
-    texts, y = [bad] * 20 + [clean] * 60, np.array([True] * 20 + [False] * 60)
-    model = toxicity.fit_field(texts, y)
+    model = toxicity.fit_field(spark.createDataFrame([(True, bad)] * 20 + [(False, clean)] * 60, "toxic boolean, text string"))
     assert "zorgblat" in model.words
     d = spark.createDataFrame([(1, "Hello, ZORGBLAT!! zorgblat"), (2, clean), (3, None), (4, "")], "doc_id long, text string")
     got = {r.doc_id: r for r in toxicity.score_toxicity(d, model).collect()}
@@ -182,9 +181,10 @@ def test_field_marginals_are_exact():
 
 
 def test_sharding(docs, none):
-    got = sharding.shard_digest(docs).collect()
+    whole = sharding.sharded_documents(docs)
+    got = sharding.shard_digest(sharding.shard_table(docs)).collect()
     n = docs.count()
-    assert len(got) == n and sharding.shard_digest(none).count() == 0
+    assert len(got) == n and sharding.sharded_documents(none).count() == 0 and sharding.shard_table(none).count() == 0
     slots = defaultdict(list)
     for r in got:
         slots[r.shard].append(r.slot)
@@ -195,14 +195,13 @@ def test_sharding(docs, none):
         raw = (t or "").encode()
         assert by[i]["size"] == len(raw) + 1 and by[i].text_crc32 == zlib.crc32(raw) and by[i].grown_shard is None
     key = lambda rows: sorted((str(r.doc_id), r.shard, r.slot) for r in rows)
-    assert key(got) == key(sharding.shard_digest(docs.repartition(5)).collect())
-    whole = sharding.sharded_documents(docs.drop("size", "position"))
+    assert key(got) == key(sharding.sharded_documents(docs.repartition(5)).collect())
     assert sorted(r.text or "" for r in whole.collect()) == sorted(r.text or "" for r in docs.collect())
 
 
 def test_shuffle_over_many_buckets(spark):
-    d = spark.range(2000).selectExpr("id as doc_id", "cast(id as string) as text", "1L as size")
-    got = [r.doc_id for r in sharding.external_shuffle(d, ["doc_id"], "size", bucket_bytes=100).orderBy("position").collect()]
+    d = spark.range(2000).selectExpr("id as doc_id", "cast(id as string) as text")
+    got = [r.doc_id for r in sharding.external_shuffle(d, ["doc_id"], bucket_bytes=1000).orderBy("position").collect()]
     assert sorted(got) == list(range(2000)) and abs(np.corrcoef(got, np.arange(2000))[0, 1]) < 0.1
 
 
@@ -228,8 +227,9 @@ def test_stream_damage_is_counted():
     assert lost.continuity_errors == 1 and lost.payload != payload
     assert tsmedia.read_stream(b"").packets == 0 and tsmedia.read_stream(b"x" * 400).sync_errors == 2
     torn = bytearray(stored)
-    torn[20] ^= 1
-    assert tsmedia.read_stream(bytes(torn)).table_errors in (0, 1)
+    torn[10] ^= 1
+    got = tsmedia.read_stream(bytes(torn))
+    assert got.table_errors == 1 and got.pmt_pid is None and got.payload == b""
 
 
 def test_quality(spark, docs, none, labels, sf):
@@ -276,13 +276,14 @@ def test_log_filter_counts():
     rng = np.random.default_rng(3)
     keys = rng.integers(0, 2**63, 20_000).astype(np.uint64)
     counts = rng.zipf(1.6, 20_000).clip(1, 10**6)
-    raw, cutoff = ngramlm.build_segment(keys, counts, 1 << 20)
+    raw = ngramlm.build_segment(keys, counts)
     filt = ngramlm.LogFilter(raw, [len(raw)])
     got = filt.counts(keys)
-    assert cutoff == 1 and np.median(np.abs(np.log(got / counts))) < 0.1 and (got >= counts / 1.5).all()
+    assert np.median(np.abs(np.log(got / counts))) < 0.05 and (got >= counts / 1.3).all()
+    common = counts > 20
+    assert np.median(np.abs(np.log(got[common] / counts[common]))) < 0.02
     absent = rng.integers(0, 2**63, 20_000).astype(np.uint64)
     assert (filt.counts(absent) > 0).mean() < 0.03
-    assert ngramlm.build_segment(keys, counts, 4000)[1] > 1
 
 
 def test_language_model_keeps_every_count_beyond_the_broadcast_bound(spark, docs, monkeypatch):
@@ -417,3 +418,55 @@ def test_pipeline_stages(spark, sf):
     texts = {r.doc_id: r.text for r in rows.collect()}
     comp, _ = brute_components(texts)
     assert all(comp[i] == i for i in texts)
+    # The mix: each document as often as a plain walk through the shuffled sources takes its text.
+    mixed = p.settled(p.mix_sources(spark, rows, sf), "t")
+    assert mixed.columns == names
+    want = plain_mix([(r.doc_id, r.source, r.text) for r in rows.collect()])
+    assert Counter(r.doc_id for r in mixed.collect()) == +Counter(want)
+    # The shards: all rows, counts at most one apart, slots without a gap.
+    got = p.shard(spark, mixed, sf).collect()
+    assert Counter(r.doc_id for r in got) == +Counter(want)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+
+
+def plain_mix(rows):
+    """doc -> copies, by brute force: targets by resharing, then tokens from the start of each source's shuffle."""
+    size = {i: len(words(t)) for i, _, t in rows}
+    total, sources = Counter(), defaultdict(list)
+    for i, s, _ in rows:
+        total[s] += size[i]
+        sources[s].append(i)
+    order = sorted([s for s in sources if s is not None]) + [None] * (None in sources)
+    weight, cap, left, free, target = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}, {s: 2.0 * total[s] for s in order}, 1.5 * sum(size.values()), set(order), {}
+    while over := {s for s in free if left / sum(weight[x] for x in free) * weight[s] > cap[s]}:
+        target |= {s: cap[s] for s in over}
+        left -= sum(cap[s] for s in over)
+        free -= over
+    target |= {s: left / sum(weight[x] for x in free) * weight[s] for s in free}
+    out = {}
+    for s in order:
+        at, take = 0, round(target[s])
+        for i in sorted(sources[s], key=lambda i: hashlib.md5(f"mix:{i}".encode()).hexdigest()):
+            took = sum(max(0, min(size[i], take - k * total[s] - at)) for k in (0, 1))
+            out[i] = int(took / size[i] + 0.5) if size[i] else 1
+            at += size[i]
+    return out
+
+
+def test_pipeline_on_hostile_tables(spark, docs, none, labels):
+    import corpus_pipeline as p
+
+    tables = {"labels": labels, "benchmark": spark.createDataFrame([(1, None), (None, "x"), (2, "")], "item_id long, text string")}
+    old, p._table = p._table, lambda spark, sf_dir, name: tables[name]
+    try:
+        for start in (docs, none):
+            rows = start
+            for k, (name, stage) in enumerate(p.STAGES):
+                before, rows = rows, p.settled(stage(spark, rows, ""), "hostile")
+                assert rows.columns == start.columns if k < 4 else {"shard", "slot", "law"} <= set(rows.columns)
+                assert before.count() or not rows.count()
+    finally:
+        p._table = old
