@@ -2,7 +2,8 @@
 
 The gate takes one read-only SELECT. Comments are found by our own scan, as Spark's parser drops them; the parsed plan must be
 made of allowed nodes and functions only, name only tables with grants, and is then analysed over views that hold just the
-granted columns, so stars expand to them and a locked column does not exist in any scope.
+granted columns, so stars expand to them and a locked column does not exist in any scope. In the analysed plan every relation
+must lie under one of those views: a name that is a common table expression in one scope and a table in another is no way in.
 """
 
 from __future__ import annotations
@@ -100,6 +101,21 @@ def _walk(plan):
             todo.append(subs.apply(i))
 
 
+def _stray(analysed, views: set[str]) -> str | None:
+    """A relation of an analysed plan that is not read through one of the private views."""
+    todo = [analysed]
+    while todo:
+        p = todo.pop()
+        name = p.nodeName()
+        if name == "SubqueryAlias" and p.identifier().name() in views:
+            continue
+        below = [group.apply(i) for group in (p.children(), p.subqueries()) for i in range(group.size())]
+        if not below and name not in ("OneRowRelation", "CTERelationRef"):
+            return name
+        todo += below
+    return None
+
+
 def gate(spark: SparkSession, sql: str, grants: dict[str, list[str]], cap: int = ROW_CAP) -> tuple[Verdict, DataFrame | None]:
     """Judges `sql` for a user with `grants` (table -> columns; tables are temp views of the session) and returns the governed frame."""
     bad = lambda why: (Verdict(False, why), None)
@@ -143,19 +159,25 @@ def gate(spark: SparkSession, sql: str, grants: dict[str, list[str]], cap: int =
         return bad("no table")
     if locked := sorted(t for t in tables if t not in grants):
         return bad(f"table not allowed: {locked[0]}")
-    # Each table becomes a common table expression of its granted columns, under the same name, over a private view.
-    session = spark.newSession()
-    for t in tables:
-        spark.table(t).select(*grants[t]).createOrReplaceGlobalTempView(view := f"v{uuid.uuid4().hex}")
-        session.sql(f"CREATE OR REPLACE TEMPORARY VIEW {t} AS SELECT * FROM global_temp.{view}")
+    # Each table is a view of its granted columns in a session of its own.
+    session, views = spark.newSession(), {f"v{uuid.uuid4().hex}": t for t in tables}
     try:
+        for view, t in views.items():
+            spark.table(t).select(*grants[t]).createOrReplaceGlobalTempView(view)
+            session.sql(f"CREATE OR REPLACE TEMPORARY VIEW {t} AS SELECT * FROM global_temp.{view}")
         df = session.sql(text)
+        if stray := _stray(df._jdf.queryExecution().analyzed(), set(views)):
+            return bad(f"table not allowed: {stray}")
     except AnalysisException as e:
         for t in tables:
             for c in spark.table(t).columns:
                 if c not in grants[t] and re.search(rf"(?i)\b{re.escape(c)}\b", masked):
                     return bad(f"column is locked: {t}.{c}")
         return bad(str(e).split(".")[0][:120])
+    finally:
+        # The analysed plan holds what it needs.
+        for view in views:
+            spark.catalog.dropGlobalTempView(view)
     asked = re.search(r"(?is)\blimit\s+(\d+)\s*$", masked)
     limit = min(int(asked[1]), cap) if asked else cap
     used = sorted({f"{t}.{c}" for t in tables for c in grants[t] if re.search(rf"(?i)\b{re.escape(c)}\b", masked) or re.search(r"\*", re.sub(r"(?i)count\(\s*\*\s*\)", "", masked))})
@@ -188,6 +210,8 @@ def run_capped(df: DataFrame, cap: int = ROW_CAP, timeout_s: float = 15.0) -> tu
         rows = df.limit(cap + 1).collect()
     finally:
         timer.cancel()
+        for name in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+            sc.setLocalProperty(name, None)
     return rows[:cap], len(rows) > cap
 
 
@@ -196,6 +220,41 @@ def grounded(answer_numbers: DataFrame) -> DataFrame:
     return answer_numbers.withColumn("grounded", F.size(F.array_except("answer", "allowed")) == 0)
 
 
+def schema_flags(catalog: DataFrame, unlocked: DataFrame) -> DataFrame:
+    """The catalog (table_name, column_name, ...) with `locked` for a user whose unlocked columns are given: the user's schema."""
+    mine = unlocked.select("table_name", "column_name").distinct().withColumn("open", F.lit(True))
+    return catalog.join(mine, ["table_name", "column_name"], "left").withColumn("locked", F.col("open").isNull()).drop("open")
+
+
+def new_requests(requests: DataFrame, pending: DataFrame) -> DataFrame:
+    """Access requests (request_id, user_id, table_name, columns) with an outcome: empty ones and those that overlap a pending one of the user are refused."""
+    have = pending.select("user_id", "table_name", F.explode("columns").alias("column")).distinct()
+    asked = requests.select("request_id", "user_id", "table_name", F.explode("columns").alias("column"))
+    clash = asked.join(have, ["user_id", "table_name", "column"], "left_semi").select("request_id").distinct().withColumn("clash", F.lit(True))
+    outcome = F.when(F.size(F.coalesce("columns", F.array().cast("array<string>"))) == 0, "empty").when(F.coalesce("clash", F.lit(False)), "already_pending").otherwise("pending")
+    return requests.join(clash, "request_id", "left").withColumn("outcome", outcome).drop("clash")
+
+
+def listed_requests(requests: DataFrame, user: str, admin: bool, most: int | None = 500) -> DataFrame:
+    """Requests newest first: all for an admin, else one's own; `most` is the list's own length, None gives all."""
+    own = requests if admin else requests.filter(F.col("user_id") == user)
+    listed = own.orderBy(F.desc("created_at"), "request_id")
+    return listed if most is None else listed.limit(most)
+
+
+def document_requests(requests: DataFrame, sources: DataFrame) -> DataFrame:
+    """Document requests (request_id, user_id, tenant_id, source_id) with an outcome: the document is missing (other tenants' look so too), public already, or the request is pending."""
+    s = sources.filter("status = 'accepted'").select("tenant_id", "source_id", "visibility")
+    d = requests.join(s, ["tenant_id", "source_id"], "left")
+    return d.withColumn("outcome", F.when(F.col("visibility").isNull(), "not_found").when(F.col("visibility") == "public", "already_public").otherwise("pending")).drop("visibility")
+
+
+def stored_items(wanted: DataFrame, stored: DataFrame, tenant: str) -> DataFrame:
+    """(item_id, found): items of an export that are stored for the tenant; those of other tenants look missing."""
+    mine = stored.filter(F.col("tenant_id") == tenant).select("item_id").distinct().withColumn("found", F.lit(True))
+    return wanted.select("item_id").distinct().join(mine, "item_id", "left").select("item_id", F.coalesce("found", F.lit(False)).alias("found"))
+
+
 def citations(df: DataFrame, lineage: list[str]) -> DataFrame:
     return df.withColumn("citations", F.array_distinct(F.array_compact(F.array(*lineage))))
 
