@@ -7,8 +7,19 @@ import hmac
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What is looked for, in the order of masking, and injection rules with weights.
-MAIL, CARD, SSN, PHONE, IPV4 = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", r"\b\d(?:[ -]?\d){12,18}\b", r"\b\d{3}-\d{2}-\d{4}\b", r"\+\d{1,3}[ (-]*\d{3}[ )-]*\d{3}[ -]?\d{4}", r"\b\d{1,3}(?:\.\d{1,3}){3}\b"
+from docketry.functions import checksums
+
+# What is masked, by kind; numbers and account codes count only with a right checksum. Injection rules with weights.
+MAIL = r"\b[\w.+-]+@[\w-]+(?:\.[\w-]+)+\b"
+_SECRETS = ("AKIA[0-9A-Z]{16}", "sk-[A-Za-z0-9]{20,}", r"eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{10,}", r"(?:password|passwd|pwd|secret|api[_ -]?key|token)\s*[:=]\s*\S+")
+KINDS = {
+    "secret": rf"(?i)\b(?:{'|'.join(_SECRETS)})",
+    "email": MAIL,
+    "iban": r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b",
+    "number": r"(?<![\d.,])\d(?:[ -]?\d){11,18}(?![\d.,])",
+    "pan": r"\b[A-Z]{5}\d{4}[A-Z]\b",
+    "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
+}
 INJECTION = {
     "ignore_previous": (r"(?i)ignore (?:all |any )?(?:the )?(?:previous|prior|above) (?:instructions|prompts?)", 0.6),
     "system_prompt": (r"(?i)system prompt|you are now|developer mode", 0.5),
@@ -19,12 +30,39 @@ SECRET_KEYS = r"(?i)pass(?:word|wd)?|secret|token|api[_-]?key|authorization|cook
 CSV_DANGER = r"^[=+\-@\t\r]"
 
 
+def replace_each(text: Column, pattern: str, by) -> Column:
+    """The text with each match of a pattern replaced by `by(match)`."""
+    found, gaps = F.regexp_extract_all(text, F.lit(f"({pattern})" if not pattern.startswith("(?i)") else f"(?i)({pattern[4:]})"), F.lit(1)), F.split(text, pattern, -1)
+    pieces = F.zip_with(gaps, F.transform(found, by), lambda g, m: F.concat(g, F.coalesce(m, F.lit(""))))
+    return F.when(text.rlike(pattern), F.array_join(pieces, "")).otherwise(text)
+
+
+def _marked(kind: str, match: Column) -> Column:
+    return F.lit(f"[REDACTED:{kind}]")
+
+
+def _number(match: Column) -> Column:
+    digits = F.regexp_replace(match, r"\D", "")
+    kind = F.when(checksums.verhoeff_valid(digits), "aadhaar").when(checksums.luhn_valid(digits), "payment_card")
+    return F.when(kind.isNull(), match).otherwise(F.concat(F.lit("[REDACTED:"), kind, F.lit(":…"), F.right(digits, F.lit(4)), F.lit("]")))
+
+
+def mask_kind(text: Column, kind: str) -> Column:
+    """One kind masked: numbers with a Luhn or Verhoeff checksum keep their last four digits, account codes must have theirs, the others just match."""
+    by = {"number": _number, "iban": lambda m: F.when(checksums.iban_valid(m), _marked("iban", m)).otherwise(m)}.get(kind)
+    return replace_each(text, KINDS[kind], by) if by else F.regexp_replace(text, KINDS[kind], f"[REDACTED:{kind}]")
+
+
 def mask_sensitive(text: Column) -> Column:
-    """Mail addresses, card-like numbers, SSNs and phone numbers replaced; a card-like number keeps its last four digits."""
-    out = F.regexp_replace(text, MAIL, "[email]")
-    out = F.regexp_replace(out, SSN, "[ssn]")
-    out = F.regexp_replace(out, r"\b\d(?:[ -]?\d){8,14}[ -]?(\d{4})\b", "****$1")
-    return F.regexp_replace(out, PHONE, "[phone]")
+    """Secrets, mail addresses, account codes, card and identity numbers masked; what only looks like one stays."""
+    for kind in KINDS:
+        text = mask_kind(text, kind)
+    return text
+
+
+def sensitive_kinds(text: Column) -> Column:
+    """The kinds that masking finds, sorted."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(mask_sensitive(text), F.lit(r"\[REDACTED:([a-z_]+)"), F.lit(1))))
 
 
 def injection_hits(text: Column) -> Column:
@@ -46,7 +84,7 @@ def csv_safe(c: Column) -> Column:
 
 def redact_json(c: Column) -> Column:
     """String values of secret-looking keys in a JSON text become [redacted], and mail addresses anywhere are masked."""
-    return F.regexp_replace(F.regexp_replace(c, r'("(?i:[^"]*(?:password|passwd|secret|token|api_?key|authorization|cookie)[^"]*)"\s*:\s*)"[^"]*"', '$1"[redacted]"'), MAIL, "[email]")
+    return F.regexp_replace(F.regexp_replace(c, r'("(?i:[^"]*(?:password|passwd|secret|token|api_?key|authorization|cookie)[^"]*)"\s*:\s*)"[^"]*"', '$1"[redacted]"'), MAIL, "[REDACTED:email]")
 
 
 def safe_excerpt(c: Column, most: int = 300) -> Column:
