@@ -9,10 +9,11 @@ from __future__ import annotations
 import base64
 import hashlib
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketry.operators.fold import scanned
+
 GENESIS, CHECKPOINT_EVERY, PAGE = "0" * 64, 1000, 500
 BODY = ("seq", "event_id", "event_type", "actor", "object_id", "details")
 
@@ -24,22 +25,19 @@ def body(c: tuple[str, ...] = BODY) -> Column:
 def append(events: DataFrame) -> DataFrame:
     """Chains events per tenant: seq from 1 in the order of (ts, event_id), prev_hash, hash = sha256(prev_hash|body).
 
-    One group per tenant is read in order and nothing but the last hash is carried.
+    Rows are dealt by tenant and sorted; a tenant streams through and nothing but the last number and hash is carried.
     """
-    w = Window.partitionBy("tenant").orderBy("ts", "event_id")
-    ready = events.withColumn("seq", F.row_number().over(w).cast("long")).withColumn("body", body())
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        prev, before, after = GENESIS, [], []
-        for b in pdf["body"]:
-            before.append(prev)
-            prev = hashlib.sha256(f"{prev}|{b}".encode()).hexdigest()
-            after.append(prev)
-        return pdf.assign(prev_hash=before, hash=after)
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ready.schema.fields)
-    return ready.groupBy("tenant").applyInPandas(chain, f"{fields}, prev_hash string, hash string").drop("body")
+    ready = events.withColumn("rest", F.concat_ws("|", *(F.coalesce(F.col(x).cast("string"), F.lit("")) for x in BODY if x != "seq")))
+    names = [c for c in ready.select("tenant", *[c for c in ready.columns if c != "tenant"]).columns]
+
+    def step(last: tuple[int, str] | None, row: tuple) -> tuple[tuple[int, str], list[tuple]]:
+        seq, prev = (last[0] + 1, last[1]) if last else (1, GENESIS)
+        mark = hashlib.sha256(f"{prev}|{seq}|{row[-1]}".encode()).hexdigest()
+        return (seq, mark), [(*row[:-1], seq, prev, mark)]
+
+    fields = [ready.schema[c] for c in names[:-1]]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", seq long, prev_hash string, hash string"
+    return scanned(ready.select(*names), "tenant", ["ts", "event_id"], step, schema, [*names[:-1], "seq", "prev_hash", "hash"])
 
 
 def judged(ledger: DataFrame) -> DataFrame:

@@ -32,3 +32,29 @@ def folded(df: DataFrame, key: str, order: list[str], step: Callable[[list[tuple
 
     first = df.select(key, *[c for c in df.columns if c != key])
     return first.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+
+
+def scanned(df: DataFrame, key: str, order: list[str], step: Callable[[object, tuple], tuple[object, list[tuple]]], schema: str, names: list[str], finish: Callable[[object, object], list[tuple]] | None = None) -> DataFrame:
+    """`step(state, row) -> (state, result rows)` over each key's rows in order; the state is None at a key's first row.
+
+    Nothing but the state is kept from one Arrow batch to the next, so a key of any length streams through. `finish(key, state)`
+    gives rows when a key ends.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state, begun = None, None, False
+        for frame in frames:
+            out: list[tuple] = []
+            for row in frame.itertuples(index=False, name=None):
+                if not begun or row[0] != now:
+                    out += finish(now, state) if begun and finish else []
+                    now, state, begun = row[0], None, True
+                state, rows = step(state, row)
+                out += rows
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        if begun and finish and (out := finish(now, state)):
+            yield pd.DataFrame(out, columns=names)
+
+    first = df.select(key, *[c for c in df.columns if c != key])
+    return first.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)

@@ -1,16 +1,15 @@
 """State over ordered events: alerts, rate limits, notification collapse, approvals, retries.
 
 F8 and F9 are anchored windows: whether an event counts depends on which earlier ones did, so a range window would be wrong.
-They fold one key's events in order, batch by `applyInPandas` here and as streams in `docketry.streaming`.
+They fold one key's events in order, over sorted rows here and as streams in `docketry.streaming`.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.operators.fold import folded
+from docketry.operators.fold import scanned
 
 WINDOW_S, ALERT_AT, COLLAPSE_S, SIGNATURE_TTL_S = 600, 3, 300, 3600
 #: Fixed values: (state, action) -> state.
@@ -38,11 +37,11 @@ def accept_times(times: list[float], limit: int, window_s: float, kept: list[flo
 def rate_limited(hits: DataFrame, limit: int, window_s: float) -> DataFrame:
     """(domain, epoch, hit_id) with `accepted`, folded per domain in time order."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["epoch", "hit_id"])
-        return pdf.assign(accepted=accept_times(pdf["epoch"].tolist(), limit, window_s)[0])
+    def step(kept: list[float] | None, row: tuple) -> tuple[list[float], list[tuple]]:
+        (ok,), kept = accept_times([row[1]], limit, window_s, kept)
+        return kept, [(*row, ok)]
 
-    return hits.select("domain", "epoch", "hit_id").groupBy("domain").applyInPandas(fold, "domain string, epoch double, hit_id long, accepted boolean")
+    return scanned(hits.select("domain", "epoch", "hit_id"), "domain", ["epoch", "hit_id"], step, "domain string, epoch double, hit_id long, accepted boolean", ["domain", "epoch", "hit_id", "accepted"])
 
 
 def anchor_starts(times: list[float], span: float, anchor: float | None = None) -> list[float]:
@@ -58,12 +57,32 @@ def anchor_starts(times: list[float], span: float, anchor: float | None = None)
 def collapsed(notices: DataFrame, span: float = COLLAPSE_S) -> DataFrame:
     """(dedupe_key, started, count): notices within `span` of a row's creation are counted on it."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        starts = pd.Series(anchor_starts(sorted(pdf["epoch"].tolist()), span))
-        n = starts.value_counts().sort_index()
-        return pd.DataFrame({"dedupe_key": pdf["dedupe_key"].iloc[0], "started": n.index.astype(float), "count": n.to_numpy()})
-
-    return notices.select("dedupe_key", "epoch").groupBy("dedupe_key").applyInPandas(fold, "dedupe_key string, started double, count long")
+    def step(open_row: tuple[float, int] | None, row: tuple) -> tuple[tuple[float, int], list[tuple]]:
+        (start,) = anchor_starts([row[1]], span, open_row[0] if open_row else None)
+        if open_row and start == open_row[0]:
+            return (start, open_row[1] + 1), []
+        return (start, 1), [(row[0], *open_row)] if open_row else []
+
+    return scanned(notices.select("dedupe_key", "epoch"), "dedupe_key", ["epoch"], step, "dedupe_key string, started double, count long", ["dedupe_key", "started", "count"], lambda key, open_row: [(key, *open_row)])
+
+
+def approve_step(now: tuple | None, actor: str, verb: str, epoch: float, key: str | None) -> tuple[tuple, str | None]:
+    """(state, creator, signed at, keys seen) after one event of an action, and why the event was refused."""
+    state, creator, signed, seen = now or ("draft", actor, None, ())
+    refused = None
+    if key is not None and key in seen:
+        refused = "repeated"
+    elif verb == "approve" and actor == creator:
+        refused = "own_action"
+    elif (state, verb) not in TRANSITIONS:
+        refused = "not_allowed"
+    elif verb == "execute" and signed is not None and epoch - signed > SIGNATURE_TTL_S:
+        refused = "signature_expired"
+    else:
+        state = TRANSITIONS[state, verb]
+        signed = epoch if verb == "approve" else signed
+        seen = seen if key is None else (*seen, key)
+    return (state, creator, signed, seen), refused
 
 
 def approval_states(actions: DataFrame) -> DataFrame:
@@ -72,27 +91,13 @@ def approval_states(actions: DataFrame) -> DataFrame:
     Creators can't approve their own action, an approval lapses after its time to live, an edit resets, a repeated key does nothing.
     """
 
-    def fold(events: list[tuple]) -> list[tuple]:
-        state, creator, signed, seen, rows = "draft", events[0][2], None, set(), []
-        for action_id, step, actor, verb, epoch, key in events:
-            refused = None
-            if key is not None and key in seen:
-                refused = "repeated"
-            elif verb == "approve" and actor == creator:
-                refused = "own_action"
-            elif (state, verb) not in TRANSITIONS:
-                refused = "not_allowed"
-            elif verb == "execute" and signed is not None and epoch - signed > SIGNATURE_TTL_S:
-                refused = "signature_expired"
-            else:
-                state = TRANSITIONS[state, verb]
-                signed = epoch if verb == "approve" else signed
-                seen.add(key)
-            rows.append((action_id, step, state, refused))
-        return rows
+    def step(now: tuple | None, row: tuple) -> tuple[tuple, list[tuple]]:
+        action_id, number, actor, verb, epoch, key = row
+        now, refused = approve_step(now, actor, verb, epoch, key)
+        return now, [(action_id, number, now[0], refused)]
 
     ordered = actions.select("action_id", "step", "actor", "verb", "epoch", "idempotency_key")
-    return folded(ordered, "action_id", ["step"], fold, "action_id long, step long, state string, refused string", ["action_id", "step", "state", "refused"])
+    return scanned(ordered, "action_id", ["step"], step, "action_id long, step long, state string, refused string", ["action_id", "step", "state", "refused"])
 
 
 def backoff_seconds(attempt: Column, base: float = 30.0, cap: float = 3600.0) -> Column:
@@ -105,3 +110,20 @@ def due_notices(outbox: DataFrame, now: float, max_attempts: int = 5, stale_s: f
     due = (F.col("status") == "pending") & (F.col("next_at") <= now)
     stale = (F.col("status") == "sending") & (F.col("claimed_at") < now - stale_s)
     return outbox.withColumn("verdict", F.when(~live, "dead").when(due, "send").when(stale, "reclaim").otherwise("wait")).orderBy(F.desc("priority"), "created_at")
+
+
+def digest_rows(notices: DataFrame, flood_at: int = 20) -> DataFrame:
+    """(user_id, hour, event_type, n, first_at, flooded): one digest row per user, hour and type; types of a user's hour beyond `flood_at` notices are marked."""
+    hour = F.date_trunc("hour", F.timestamp_seconds("epoch"))
+    return notices.groupBy("user_id", hour.alias("hour"), "event_type").agg(F.count("*").alias("n"), F.min("epoch").alias("first_at")).withColumn("flooded", F.col("n") > flood_at)
+
+
+def delivery_outcome(code: Column, attempts: Column, max_attempts: int = 5) -> Column:
+    """'sent', 'dead' (a permanent refusal, or no attempt left) or 'retry' of a delivery's HTTP code; null codes are lost connections."""
+    permanent = code.between(400, 499) & ~code.isin(408, 425, 429)
+    return F.when(code.between(200, 299), "sent").when(F.coalesce(permanent, F.lit(False)) | (attempts >= max_attempts), "dead").otherwise("retry")
+
+
+def jittered(seconds: Column, key: Column, share: float = 0.2) -> Column:
+    """A delay moved by up to `share` of itself either way, by a hash of the key, so that a run can be repeated."""
+    return seconds * (1 + share * (F.pmod(F.xxhash64(key), F.lit(20_001)) / F.lit(10_000.0) - 1))
