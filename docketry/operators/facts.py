@@ -74,18 +74,44 @@ def accounting(lines: DataFrame) -> DataFrame:
     return c.groupBy("source_id").agg(F.count("*").alias("n_lines"), *map(count, ("accepted", "injected", "no_label", "context", "identifier", "not_a_value", "not_a_measure")))
 
 
-def verify(found: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Facts with a verdict: the block exists, holds the excerpt and the raw value, and the period is in order."""
-    b = blocks.select("source_id", "page", "ro", "line_no", F.col("text").alias("block_text"))
+def unlocked(lines: DataFrame) -> DataFrame:
+    """Lines that may become facts: locked and masked ones are left out."""
+    return lines.filter(~F.coalesce("locked", F.lit(False)) & ~F.coalesce("masked", F.lit(False)))
+
+
+def with_block_confidence(found: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Facts with a confidence of at most those of their block and of its validation: (source_id, page, ro, line_no, confidence, validation); unknown ones don't count."""
+    b = blocks.select("source_id", *ORDER, F.least("confidence", "validation").alias("_most"))
+    return found.join(b, ["source_id", *ORDER], "left").withColumn("confidence", F.least("confidence", "_most")).drop("_most")
+
+
+def verify(found: DataFrame, blocks: DataFrame, case_sources: DataFrame | None = None, fuzzy: float = 95.0) -> DataFrame:
+    """Facts with a verdict: source in the case, block exists, holds the excerpt and the raw value, period in order.
+
+    An excerpt is held if the block has it, or has all its parts between pipes, or, from eight characters on, a stretch that is
+    at least `fuzzy` percent like it. Only rows that fail the plain tests reach the fuzzy one, which needs Python.
+    """
+    b = blocks.select("source_id", *ORDER, F.col("text").alias("block_text"))
     d = found.join(b, ["source_id", *ORDER], "left")
+    if case_sources is not None:
+        d = d.join(case_sources.select("source_id").distinct().withColumn("_in_case", F.lit(True)), "source_id", "left")
+    else:
+        d = d.withColumn("_in_case", F.lit(True))
+    parts = F.filter(F.transform(F.split("excerpt", r"\|"), lambda x: F.trim(x)), lambda x: x != "")
+    plain = F.col("block_text").contains(F.col("excerpt")) | ((F.size(parts) > 1) & F.forall(parts, lambda x: F.col("block_text").contains(x)))
+    d = d.withColumn("_held", F.coalesce(plain, F.lit(False)))
+    near = ~F.col("_held") & F.col("block_text").isNotNull() & (F.length("excerpt") >= 8)
+    unsure = d.filter(near).withColumn("_held", text.partial_ratio("excerpt", "block_text") >= fuzzy)
+    d = d.filter(F.coalesce(~near, F.lit(True))).unionByName(unsure)
     verdict = (
-        F.when(F.col("block_text").isNull(), "EVIDENCE_MISSING")
-        .when(~F.col("block_text").contains(F.col("excerpt")), "EVIDENCE_UNVERIFIED")
+        F.when(F.col("_in_case").isNull(), "NOT_IN_CASE")
+        .when(F.col("block_text").isNull(), "EVIDENCE_MISSING")
+        .when(~F.col("_held"), "EVIDENCE_UNVERIFIED")
         .when(~F.col("block_text").contains(F.col("raw_value")), "VALUE_NOT_IN_EVIDENCE")
         .when(F.col("period_start") > F.col("period_end"), "PERIOD_ORDER")
         .otherwise("verified")
     )
-    return d.withColumn("verdict", verdict).drop("block_text")
+    return d.withColumn("verdict", verdict).drop("block_text", "_in_case", "_held")
 
 
 def table_candidates(cells: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions import text as tx
@@ -75,8 +75,10 @@ def axis_fit(points: DataFrame) -> DataFrame:
 
 
 def describe_series(points: DataFrame) -> DataFrame:
+    """Per chart: the categories of the largest and the smallest value (the first category wins ties) and the change from first to last."""
     first, last = F.min_by("value", "category"), F.max_by("value", "category")
-    return points.groupBy("chart_id").agg(F.max_by("category", "value").alias("top"), F.min_by("category", "value").alias("low"), F.round((last - first) / first * 100, 4).alias("change_percent"))
+    top, low = F.min(F.struct((-F.col("value")).alias("v"), "category")), F.min(F.struct("value", "category"))
+    return points.groupBy("chart_id").agg(top["category"].alias("top"), low["category"].alias("low"), F.round((last - first) / first * 100, 4).alias("change_percent"))
 
 
 def weighted_mean(df: DataFrame, key: str, value: str, weight: str) -> DataFrame:
@@ -100,25 +102,90 @@ def subtotal_segments(rows: DataFrame) -> DataFrame:
     return seg.groupBy("table_id", "segment").agg(F.max(F.when(F.col("kind") == "subtotal", F.col("amount"))).alias("stated"), F.sum(F.when(F.col("kind") == "item", F.col("amount"))).alias("parts"))
 
 
+#: Fixed value: what counts as a word of a question or passage.
+PASSAGE_WORD = r"[a-z0-9][a-z0-9.%$-]*"
+
+
+def passage_words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(f"({PASSAGE_WORD})"), F.lit(1))
+
+
 def retrieve(passages: DataFrame, question: DataFrame, k: int) -> DataFrame:
-    """Top k passages by hits / sqrt(words) x boost; equal texts of a source count once; only scores above 0.
+    """Top k passages (id, source_id, text, boost) by hits / sqrt(words) x boost, then id; equal texts of a source count once; only scores above 0.
 
     `question` is one row with the query's words, broadcast to all passages.
     """
-    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))
-    d = passages.join(F.broadcast(question)).withColumn("t", words)
-    scored = d.withColumn("score", F.size(F.filter("t", lambda x: F.array_contains("q", x))) / F.sqrt(F.size("t")) * F.col("boost")).filter("score > 0")
-    return scored.orderBy(F.desc("score"), "id").limit(k).select("id", "score")
+    d = passages.join(F.broadcast(question)).withColumn("t", passage_words(F.col("text")))
+    scored = d.withColumn("score", F.size(F.filter("t", lambda x: F.array_contains("q", x))) / F.sqrt(F.greatest(F.size("t"), F.lit(1))) * F.col("boost")).filter("score > 0")
+    best = scored.groupBy("source_id", F.sha2("text", 256).alias("same")).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("id"))).alias("b"))
+    return best.select(F.col("b.id").alias("id"), (-F.col("b.s")).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+
 
+def trigram_cosine(texts: DataFrame, least: float = 0.0) -> DataFrame:
+    """Cosine of character-trigram counts for pairs that share a trigram and reach `least`, as a sparse product by a join on the trigram.
 
-def trigram_cosine(texts: DataFrame) -> DataFrame:
-    """Cosine of character-trigram counts for pairs that share a trigram, as a sparse product by a join on the trigram."""
+    Trigrams of a text are put in one order, rarest first. The part after a place has a norm; where that is below `least` of the
+    whole, two texts whose first common trigram lies there can't reach it. So pairs are made from the parts before that place
+    only, which leaves out the commonest trigrams, and each is then computed in full.
+    """
     grams = texts.filter(F.length("text") >= 3).select("id", F.explode(F.transform(F.sequence(F.lit(1), F.length("text") - 2), lambda i: F.substr("text", i, F.lit(3)))).alias("g")).groupBy("id", "g").agg(F.count("*").alias("n"))
-    norm = grams.groupBy("id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("l"))
-    side = lambda s: grams.select(F.col("id").alias(f"{s}_id"), "g", F.col("n").alias(f"{s}_n")).join(norm.select(F.col("id").alias(f"{s}_id"), F.col("l").alias(f"{s}_l")), f"{s}_id")
-    return side("a").join(side("b"), "g").filter("a_id < b_id").groupBy("a_id", "b_id").agg(F.round(F.sum(F.col("a_n") * F.col("b_n")) / F.first("a_l") / F.first("b_l"), 6).alias("cosine"))
+    square = F.col("n") * F.col("n")
+    vector = grams.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("g", "n"))).alias("v"), F.sqrt(F.sum(square)).alias("l"))
+    spread = grams.join(grams.groupBy("g").agg(F.count("*").alias("texts")), "g")
+    rest = F.sum(square).over(Window.partitionBy("id").orderBy(F.desc("texts"), F.desc("g")).rowsBetween(Window.unboundedPreceding, 0))
+    whole = F.sum(square).over(Window.partitionBy("id"))
+    # The norm of this trigram and all commoner ones: below the bound, it can't be the first common one.
+    front = spread.withColumn("keep", F.sqrt(rest / whole) >= least - 1e-9).filter("keep").select("id", "g")
+    pairs = front.withColumnRenamed("id", "a_id").join(front.withColumnRenamed("id", "b_id"), "g").filter("a_id < b_id").select("a_id", "b_id").distinct()
+    a, b = (vector.select(F.col("id").alias(f"{s}_id"), F.col("v").alias(f"{s}_v"), F.col("l").alias(f"{s}_l")) for s in "ab")
+    dot = F.aggregate(F.map_keys("a_v"), F.lit(0).cast("long"), lambda acc, g: acc + F.element_at("a_v", g) * F.coalesce(F.try_element_at(F.col("b_v"), g), F.lit(0)))
+    return pairs.join(a, "a_id").join(b, "b_id").select("a_id", "b_id", F.round(dot / F.col("a_l") / F.col("b_l"), 6).alias("cosine")).filter(F.col("cosine") >= least)
+
+
+def first_of_equal(rows: DataFrame, content: str, key: str) -> DataFrame:
+    """The row with the smallest key of each content, told apart by SHA-256; rows of one content meet in one aggregate, so copies cost no window."""
+    ids = rows.groupBy(F.sha2(content, 256).alias("_content")).agg(F.min(key).alias("_first"))
+    return rows.withColumn("_same", F.sha2(content, 256)).join(ids, F.col("_same").eqNullSafe(F.col("_content")) & (F.col(key) == F.col("_first"))).select(*rows.columns)
 
 
 def last_turns(turns: DataFrame, n: int) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
     return turns.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= n).drop("k").orderBy("conv_id", "turn")
+
+
+def table_confidence(cells: DataFrame) -> DataFrame:
+    """Per table: the mean confidence of its cells that hold text; null without any."""
+    return cells.groupBy("table_id").agg(F.avg(F.when(F.trim("raw_text") != "", F.col("confidence"))).alias("confidence"))
+
+
+def batch_summary(batches: DataFrame, documents: DataFrame, blocks: DataFrame, review_below: float = 0.8, places: int = 4) -> DataFrame:
+    """One row per batch (batch_id, name): documents by state, pages, blocks, mean confidence, blocks to review."""
+    per = blocks.groupBy("source_id").agg(F.count("*").alias("blocks"), F.sum("confidence").alias("total"), F.count_if(F.col("confidence") < review_below).alias("review"), F.countDistinct("page").alias("pages"))
+    rows = documents.select("batch_id", "source_id", "state").join(per, "source_id", "left").groupBy("batch_id").agg(
+        F.count("*").alias("documents"), F.count_if(F.col("state") == "completed").alias("completed"), F.count_if(F.col("state") == "failed").alias("failed"), F.coalesce(F.sum("pages"), F.lit(0)).alias("pages"), F.coalesce(F.sum("blocks"), F.lit(0)).alias("blocks"),
+        F.round(F.sum("total") / F.sum("blocks"), places).alias("mean_confidence"), F.coalesce(F.sum("review"), F.lit(0)).alias("needs_review"),
+    )
+    zero = {c: 0 for c in ("documents", "completed", "failed", "pages", "blocks", "needs_review")}
+    return batches.select("batch_id", "name").join(rows, "batch_id", "left").fillna(zero)
+
+
+def search_batches(batches: DataFrame, documents: DataFrame, query: str) -> DataFrame:
+    """Batches whose id or any filename holds the query, whatever its case."""
+    named = documents.filter(F.contains(F.lower("filename"), F.lit(query.lower()))).select("batch_id").distinct().withColumn("hit", F.lit(True))
+    return batches.join(named, "batch_id", "left").filter(F.coalesce("hit", F.lit(False)) | F.contains(F.lower(F.col("batch_id").cast("string")), F.lit(query.lower()))).drop("hit")
+
+
+def warnings_by_document(warnings: DataFrame, most: int | None = 200) -> DataFrame:
+    """(code, source_id, n) of a union of documents, in order; `most` is the list's own length: the rest is one row (TRUNCATED, null, how many)."""
+    rows = warnings.groupBy("code", "source_id").agg(F.count("*").alias("n"))
+    if most is None:
+        return rows.orderBy("code", "source_id")
+    shown = rows.orderBy("code", "source_id").limit(most)
+    left = rows.agg((F.count("*") - most).alias("n")).filter("n > 0").select(F.lit("TRUNCATED").alias("code"), F.lit(None).cast(rows.schema["source_id"].dataType).alias("source_id"), "n")
+    return shown.unionByName(left)
+
+
+def throughput(documents: DataFrame) -> DataFrame:
+    """One row: documents, pages, mean seconds per document, pages per second of all documents' seconds: (started, finished in seconds, pages)."""
+    s = F.col("finished") - F.col("started")
+    return documents.agg(F.count("*").alias("documents"), F.sum("pages").alias("pages"), F.round(F.avg(s), 4).alias("seconds"), F.round(F.try_divide(F.sum("pages"), F.sum(s)), 4).alias("pages_per_second"))

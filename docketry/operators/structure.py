@@ -334,9 +334,15 @@ def document_confidence(blocks: DataFrame, critical: tuple[str, ...] = ("table",
 
 
 def virtual_merge(pages: DataFrame) -> DataFrame:
-    """Pages of several documents as one: running index, and a flag on each document's first page."""
-    w = Window.orderBy("doc_order", "page")
-    return pages.withColumn("merged_index", F.row_number().over(w) - 1).withColumn("boundary_start", F.row_number().over(Window.partitionBy("doc_order").orderBy("page")) == 1)
+    """Pages of several documents as one: running index, and a flag on each document's first page.
+
+    Pages are numbered inside their document; only the table of page counts, one row a document, is summed in order.
+    """
+    counts = pages.groupBy("doc_order").agg(F.count("*").alias("n"))
+    ahead = F.coalesce(F.sum("n").over(Window.orderBy("doc_order").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = pages.withColumn("_k", F.row_number().over(Window.partitionBy("doc_order").orderBy("page")))
+    d = inside.join(counts.select("doc_order", ahead.alias("_ahead")), "doc_order")
+    return d.withColumn("merged_index", F.col("_ahead") + F.col("_k") - 1).withColumn("boundary_start", F.col("_k") == 1).drop("_k", "_ahead")
 
 
 def fragment_runs(blocks: DataFrame, most: int = 2, least: int = 3) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docketry.functions import text
@@ -40,9 +39,18 @@ def fact_extract_customers(spark, sf_dir):
     return f.select("source_id", "subject", "metric", F.col("value").cast("double").alias("value"), "currency", "frequency", "basis", "period_start", "period_end", "confidence")
 
 
-@_q("SELECT 'cust-' || c_custkey AS source_id, 8 AS n_lines, 2 AS accepted, 1 AS injected, 1 AS no_label, 1 AS context, 1 AS identifier, 2 AS not_a_value, 0 AS not_a_measure FROM customer")
+def varied_lines(spark, sf_dir):
+    """Customers with different lines: every second has no fee, every third no period, every fourth a balance that is no number, every fifth two notes."""
+    key = F.regexp_extract("source_id", r"(\d+)", 1).cast("long")
+    lines = customer_lines(spark, sf_dir).filter(~((F.col("line_no") == 3) & (key % 2 == 0)) & ~((F.col("line_no") == 1) & (key % 3 == 0)))
+    lines = lines.withColumn("text", F.when((F.col("line_no") == 2) & (key % 4 == 0), "Account balance: not yet known").otherwise(F.col("text")))
+    return lines.unionByName(lines.filter((F.col("line_no") == 7) & (key % 5 == 0)).withColumn("line_no", F.lit(8)))
+
+
+@_q("""SELECT 'cust-' || c_custkey AS source_id, 8 - (c_custkey%2=0)::INT - (c_custkey%3=0)::INT + (c_custkey%5=0)::INT AS n_lines, (c_custkey%4<>0)::INT + (c_custkey%2<>0)::INT AS accepted, 1 AS injected, 1 + (c_custkey%5=0)::INT AS no_label, 1 AS context, 1 AS identifier,
+ 1 + (c_custkey%3<>0)::INT + (c_custkey%4=0)::INT AS not_a_value, 0 AS not_a_measure FROM customer""")
 def fact_accounting(spark, sf_dir):
-    return facts.accounting(customer_lines(spark, sf_dir))
+    return facts.accounting(varied_lines(spark, sf_dir))
 
 
 @_q("SELECT 'cust-' || c_custkey AS source_id, CASE WHEN c_custkey%5=0 THEN 'EVIDENCE_UNVERIFIED' WHEN c_custkey%7=0 THEN 'EVIDENCE_MISSING' ELSE 'verified' END AS verdict, 2 AS n FROM customer")
@@ -113,7 +121,7 @@ SELECT * FROM (VALUES (0,'facts',(SELECT count(*) FROM f)),(1,'verified',(SELECT
 def pairing_funnel(spark, sf_dir):
     f = order_fact_table(spark, sf_dir)
     checked = reasoning.with_checks(reasoning.pairs(f))
-    return reasoning.funnel(f, f, checked, reasoning.compared(checked))
+    return reasoning.funnel(f, f, checked)
 
 
 @_q(f"WITH {_FACTS} SELECT 'order total' AS metric, count(DISTINCT src) AS sources, count(DISTINCT subject) AS subjects, count(*) AS facts, true AS shared FROM f")
@@ -121,15 +129,37 @@ def attribute_overlap(spark, sf_dir):
     return reasoning.attribute_overlap(order_fact_table(spark, sf_dir))
 
 
-@_q("SELECT * FROM (VALUES ('ledger','lineitem',0.75),('ledger','orders',0.75),('lineitem','orders',0.75)) t(a_source,b_source,score)")
+def event_facts(spark, sf_dir):
+    """Purchases as facts of users: the day is the period, the amount's tens the metric; one user in seven is not named."""
+    e = table(spark, sf_dir, "events").filter("event_type = 'purchase'")
+    return e.select(F.col("user_id").alias("source_id"), F.when(F.col("user_id") % 7 != 0, F.concat(F.lit("s"), (F.col("user_id") % 13).cast("string"))).alias("subject"), F.concat(F.lit("m"), F.floor(F.col("value") / 10).cast("string")).alias("metric"), F.to_date("ts").alias("period_start"), F.when(F.col("user_id") % 3 == 0, "EUR").alias("currency"), F.col("event_id").alias("fact_id"), "value")
+
+
+@_q("""WITH e AS (SELECT DISTINCT user_id AS s, CASE WHEN user_id%7<>0 THEN 's' || user_id%13 END AS subject, 'm' || floor(value/10)::BIGINT AS metric, ts::DATE::VARCHAR AS period, CASE WHEN user_id%3=0 THEN 'EUR' END AS currency FROM events WHERE event_type='purchase'),
+ u AS (SELECT DISTINCT a.s AS a_source, b.s AS b_source FROM e a, e b WHERE a.s<b.s),
+ h AS (SELECT a_source, b_source, (EXISTS (SELECT 1 FROM e a JOIN e b USING (subject) WHERE a.s=a_source AND b.s=b_source))::INT + (EXISTS (SELECT 1 FROM e a JOIN e b USING (metric) WHERE a.s=a_source AND b.s=b_source))::INT
+  + (EXISTS (SELECT 1 FROM e a JOIN e b USING (period) WHERE a.s=a_source AND b.s=b_source))::INT + (EXISTS (SELECT 1 FROM e a JOIN e b USING (currency) WHERE a.s=a_source AND b.s=b_source))::INT AS n FROM u)
+SELECT a_source, b_source, n/4 AS score FROM h WHERE n>0""")
 def relatedness(spark, sf_dir):
-    return reasoning.relatedness(order_fact_table(spark, sf_dir))
+    return reasoning.relatedness(event_facts(spark, sf_dir))
+
+
+@_q("""WITH e AS (SELECT event_id, user_id, 'm' || floor(value/10)::BIGINT AS metric FROM events WHERE event_type='purchase' AND user_id%7=0),
+ p AS (SELECT a.metric, a.event_id AS a_fact_id, b.event_id AS b_fact_id, count(*) OVER (PARTITION BY a.metric) AS group_pairs, row_number() OVER (PARTITION BY a.metric ORDER BY a.user_id, a.event_id, b.user_id, b.event_id) AS k FROM e a JOIN e b ON a.metric=b.metric AND a.user_id<b.user_id)
+SELECT metric, a_fact_id, b_fact_id, group_pairs, 'subject_named' AS failed FROM p WHERE k<=20""")
+def unnamed_pairs(spark, sf_dir):
+    return reasoning.unnamed_pairs(event_facts(spark, sf_dir), 20).select("metric", "a_fact_id", "b_fact_id", "group_pairs", "failed")
+
+
+_PLAIN = r"regexp_replace(abs({0})::DECIMAL(30,2)::VARCHAR, '\.?0+$', '')"
 
 
-@_q(f"""WITH {_FACTS} SELECT subject, a_src AS a_source_id, b_src AS b_source_id, CASE WHEN pct<=0.5 THEN 'rounding_proximity' ELSE '' END AS first FROM g WHERE k%4<=1 AND (a_src,b_src)=('ledger','orders')""")
+@_q(f"""WITH {_FACTS}, t AS (SELECT *, {_PLAIN.format('av')} AS x, {_PLAIN.format('bv')} AS y FROM g),
+ d AS (SELECT *, [i FOR i IN range(1, length(x)+1) IF x[i:i]<>y[i:i]] AS i, length(x)=length(y) AND length(x)>=2 AND strpos(x,'.')=strpos(y,'.') AND x<>y AS same FROM t),
+ r AS (SELECT *, same AND (len(i)=1 OR (len(i)=2 AND i[2]=i[1]+1 AND x[i[1]:i[1]]=y[i[2]:i[2]] AND x[i[2]:i[2]]=y[i[1]:i[1]])) AS pattern FROM d)
+SELECT subject, a_src AS a_source_id, b_src AS b_source_id, list_concat(list_concat(CASE WHEN pct<=0.5 THEN ['rounding_proximity'] ELSE [] END, CASE WHEN pattern THEN ['digit_pattern'] ELSE [] END), ['period_match','frequency_match']) AS codes FROM r""")
 def explanations(spark, sf_dir):
-    d = _done(spark, sf_dir).filter("a_source_id = 'ledger' AND b_source_id = 'orders' AND cast(substring(subject, 7) as bigint) % 4 <= 1")
-    return d.select("subject", "a_source_id", "b_source_id", F.when(F.array_contains("explanations", "rounding_proximity"), "rounding_proximity").otherwise("").alias("first"))
+    return _done(spark, sf_dir).select("subject", "a_source_id", "b_source_id", F.col("explanations").alias("codes"))
 
 
 def blocks(spark, sf_dir):
@@ -202,7 +232,7 @@ def axis_fit(spark, sf_dir):
     return report.axis_fit(li)
 
 
-@_q("SELECT user_id AS chart_id, arg_max(event_id,value) AS top, arg_min(event_id,value) AS low, round((arg_max(value,event_id)-arg_min(value,event_id))/arg_min(value,event_id)*100,4) AS change_percent FROM events WHERE value > 0 GROUP BY 1")
+@_q("SELECT user_id AS chart_id, (list(event_id ORDER BY value DESC, event_id))[1] AS top, (list(event_id ORDER BY value, event_id))[1] AS low, round((arg_max(value,event_id)-arg_min(value,event_id))/arg_min(value,event_id)*100,4) AS change_percent FROM events WHERE value > 0 GROUP BY 1")
 def chart_description(spark, sf_dir):
     return report.describe_series(table(spark, sf_dir, "events").filter("value > 0").select(F.col("user_id").alias("chart_id"), F.col("event_id").alias("category"), "value"))
 
@@ -212,32 +242,37 @@ def weighted_confidence(spark, sf_dir):
     return report.weighted_mean(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_extendedprice", "l_quantity")
 
 
-@_q("""SELECT l_orderkey AS table_id, count(*) AS line_items, round(sum(l_extendedprice),2) AS total, true AS total_ok, true AS items_ok FROM lineitem GROUP BY 1""")
+@_q("""WITH t AS (SELECT l_orderkey AS k, count(*) AS n, round(sum(l_extendedprice),2) AS items, any_value(o_totalprice) AS stated, count(*) FILTER (l_linenumber%5=0) AS wrong FROM lineitem JOIN orders ON l_orderkey=o_orderkey GROUP BY 1)
+SELECT k AS table_id, n AS line_items, round(CASE WHEN k%3=0 THEN stated ELSE items END,2) AS total, abs(CASE WHEN k%3=0 THEN stated ELSE items END - items) <= 0.01 + 1e-6*items AS total_ok, wrong=0 AS items_ok FROM t""")
 def order_total_check(spark, sf_dir):
+    """Tables of line items: every third table states the order's total, which has tax and discount in it; each fifth line has a wrong rate."""
     li = table(spark, sf_dir, "lineitem")
-    items = li.select(F.col("l_orderkey").alias("table_id"), F.col("l_linenumber").alias("row"), F.col("l_quantity").alias("qty"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("rate"), F.col("l_extendedprice").alias("amount"), F.lit("item").alias("kind"))
-    total = items.groupBy("table_id").agg(F.lit(9999).alias("row"), F.lit(None).cast("double").alias("qty"), F.lit(None).cast("double").alias("rate"), F.sum("amount").alias("amount"), F.lit("total").alias("kind"))
+    rate = F.col("l_extendedprice") / F.col("l_quantity") * F.when(F.col("l_linenumber") % 5 == 0, 1.1).otherwise(1.0)
+    items = li.select(F.col("l_orderkey").alias("table_id"), F.col("l_linenumber").alias("row"), F.col("l_quantity").alias("qty"), rate.alias("rate"), F.col("l_extendedprice").alias("amount"), F.lit("item").alias("kind"))
+    sums = items.groupBy("table_id").agg(F.round(F.sum("amount"), 2).alias("sum")).join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("table_id"), "o_totalprice"), "table_id")
+    none = F.lit(None).cast("double")
+    total = sums.select("table_id", F.lit(9999).alias("row"), none.alias("qty"), none.alias("rate"), F.when(F.col("table_id") % 3 == 0, F.col("o_totalprice")).otherwise(F.col("sum")).alias("amount"), F.lit("total").alias("kind"))
     return report.table_arithmetic(items.unionByName(total))
 
 
 @_q("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS k FROM documents) SELECT doc_id FROM e WHERE k=1""")
 def dedupe_sha256(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return d.withColumn("k", F.row_number().over(Window.partitionBy(F.sha2("text", 256)).orderBy("doc_id"))).filter("k = 1").select("doc_id")
+    return report.first_of_equal(table(spark, sf_dir, "documents"), "text", "doc_id").select("doc_id")
 
 
-@_q("""WITH q AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text),'[a-z]{4,}')) AS w FROM benchmark WHERE item_id=0), p AS (SELECT doc_id, regexp_extract_all(lower(text),'[a-z]+') AS t FROM documents),
- u AS (SELECT doc_id, len(t) AS n, unnest(t) AS w FROM p) SELECT doc_id, round(count(*)/sqrt(any_value(n)),6) AS score FROM u JOIN q USING (w) GROUP BY doc_id ORDER BY count(*)/sqrt(any_value(n)) DESC, doc_id LIMIT 10""")
+@_q(r"""WITH q AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text),'[a-z0-9][a-z0-9.%$-]*')) AS w FROM benchmark WHERE item_id=0), p AS (SELECT doc_id, source, text, regexp_extract_all(lower(text),'[a-z0-9][a-z0-9.%$-]*') AS t FROM documents),
+ u AS (SELECT doc_id, source, text, len(t) AS n, unnest(t) AS w FROM p), h AS (SELECT doc_id, source, text, count(*)/sqrt(any_value(n)) * CASE WHEN doc_id%5=0 THEN 1.5 ELSE 1 END AS s FROM u JOIN q USING (w) GROUP BY doc_id, source, text),
+ b AS (SELECT *, row_number() OVER (PARTITION BY source, text ORDER BY s DESC, doc_id) AS k FROM h) SELECT doc_id, round(s,6) AS score FROM b WHERE k=1 ORDER BY s DESC, doc_id LIMIT 10""")
 def topk_retrieval(spark, sf_dir):
-    question = table(spark, sf_dir, "benchmark").filter("item_id = 0").select(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), F.lit(1)).alias("q"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.lit(1.0).alias("boost"))
+    question = table(spark, sf_dir, "benchmark").filter("item_id = 0").select(report.passage_words(F.col("text")).alias("q"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("source_id"), "text", F.when(F.col("doc_id") % 5 == 0, 1.5).otherwise(1.0).alias("boost"))
     return report.retrieve(docs, question, 10).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
-@_q("""WITH g AS (SELECT p_partkey, unnest([substr(p_name,i,3) FOR i IN range(1, length(p_name)-1)]) AS t FROM part WHERE p_partkey<60), c AS (SELECT p_partkey, t, count(*) AS n FROM g GROUP BY ALL), s AS (SELECT p_partkey, sqrt(sum(n*n)) AS l FROM c GROUP BY 1)
-SELECT a.p_partkey AS a_id, b.p_partkey AS b_id, round(sum(a.n*b.n)/any_value(sa.l)/any_value(sb.l),6) AS cosine FROM c a JOIN c b ON a.t=b.t AND a.p_partkey<b.p_partkey JOIN s sa ON sa.p_partkey=a.p_partkey JOIN s sb ON sb.p_partkey=b.p_partkey GROUP BY ALL""")
+@_q("""WITH g AS (SELECT item_id, unnest([substr(text,i,3) FOR i IN range(1, length(text)-1)]) AS t FROM benchmark), c AS (SELECT item_id, t, count(*) AS n FROM g GROUP BY ALL), s AS (SELECT item_id, sqrt(sum(n*n)) AS l FROM c GROUP BY 1)
+SELECT a.item_id AS a_id, b.item_id AS b_id, round(sum(a.n*b.n)/any_value(sa.l)/any_value(sb.l),6) AS cosine FROM c a JOIN c b ON a.t=b.t AND a.item_id<b.item_id JOIN s sa ON sa.item_id=a.item_id JOIN s sb ON sb.item_id=b.item_id GROUP BY ALL HAVING round(sum(a.n*b.n)/any_value(sa.l)/any_value(sb.l),6)>=0.6""")
 def trigram_cosine(spark, sf_dir):
-    return report.trigram_cosine(table(spark, sf_dir, "part").filter("p_partkey < 60").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")))
+    return report.trigram_cosine(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text"), 0.6)
 
 
 @_q("""SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations WHERE role='user') WHERE k<=3""")
@@ -271,3 +306,75 @@ def header_assignment(spark, sf_dir):
     add = lambda row, col, span, head, t: one.select("table_id", F.lit(row).alias("row"), F.lit(col).alias("col"), F.lit(span).alias("col_span"), F.lit(head).alias("is_header"), t.alias("raw_text"))
     cells = body.unionByName(add(0, 1, 3, True, F.lit("left"))).unionByName(add(0, 4, 3, True, F.lit("right"))).unionByName(add(1, 0, 1, False, F.concat(F.lit("row "), F.col("table_id").cast("string"))))
     return facts.table_candidates(cells).select("table_id", "col", "header", "row_label")
+
+
+@_q("""WITH b AS (SELECT o_custkey AS batch_id, o_orderkey AS source_id, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'failed' ELSE 'running' END AS state FROM orders),
+ l AS (SELECT l_orderkey AS source_id, count(*) AS blocks, sum(1-l_discount) AS total, count(*) FILTER (1-l_discount<0.93) AS review, count(DISTINCT l_linenumber) AS pages FROM lineitem GROUP BY 1),
+ s AS (SELECT batch_id, count(*) AS documents, count(*) FILTER (state='completed') AS completed, count(*) FILTER (state='failed') AS failed, sum(pages) AS pages, sum(blocks) AS blocks, round(sum(total)/sum(blocks),9) AS mean_confidence, sum(review) AS needs_review FROM b LEFT JOIN l USING (source_id) GROUP BY 1)
+SELECT c_custkey AS batch_id, c_name AS name, coalesce(documents,0)::BIGINT AS documents, coalesce(completed,0)::BIGINT AS completed, coalesce(failed,0)::BIGINT AS failed, coalesce(pages,0)::BIGINT AS pages, coalesce(blocks,0)::BIGINT AS blocks, mean_confidence, coalesce(needs_review,0)::BIGINT AS needs_review FROM customer LEFT JOIN s ON batch_id=c_custkey""")
+def batch_summary(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("batch_id"), F.col("o_orderkey").alias("source_id"), F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "failed").otherwise("running").alias("state"))
+    batches = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("batch_id"), F.col("c_name").alias("name"))
+    return report.batch_summary(batches, o, blocks(spark, sf_dir).withColumnRenamed("block", "page"), 0.93, 9)
+
+
+@_q("SELECT DISTINCT c_custkey AS batch_id FROM customer LEFT JOIN orders ON o_custkey=c_custkey WHERE contains(lower(o_orderpriority || o_orderkey), 'high1') OR contains(c_custkey::VARCHAR, 'high1')")
+def batch_search(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("batch_id"), F.concat(F.col("o_orderpriority"), F.col("o_orderkey").cast("string")).alias("filename"))
+    return report.search_batches(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("batch_id")), o, "HIGH1")
+
+
+@_q("SELECT l_orderkey AS table_id, round(avg(l_discount) FILTER (l_linenumber%3<>0),6) AS confidence FROM lineitem GROUP BY 1")
+def table_confidence(spark, sf_dir):
+    c = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("table_id"), F.when(F.col("l_linenumber") % 3 != 0, "cell").otherwise(" ").alias("raw_text"), F.col("l_discount").alias("confidence"))
+    return report.table_confidence(c).select("table_id", F.round("confidence", 6).alias("confidence"))
+
+
+@_q(f"WITH {_CAPS}, r AS (SELECT code, source_id, count(*) AS n FROM w GROUP BY ALL), k AS (SELECT *, row_number() OVER (ORDER BY code, source_id) AS k, count(*) OVER () AS all_rows FROM r) SELECT code, source_id, n FROM k WHERE k<=200 UNION ALL SELECT 'TRUNCATED', NULL, any_value(all_rows)-200 FROM k HAVING any_value(all_rows)>200")
+def warnings_by_document(spark, sf_dir):
+    return report.warnings_by_document(warnings(spark, sf_dir))
+
+
+@_q("SELECT count(*) AS documents, sum(p_size)::BIGINT AS pages, round(avg(p_retailprice/100),4) AS seconds, round(sum(p_size)/sum(p_retailprice/100),4) AS pages_per_second FROM part")
+def throughput(spark, sf_dir):
+    return report.throughput(table(spark, sf_dir, "part").select(F.lit(5.0).alias("started"), (F.col("p_retailprice") / 100 + 5).alias("finished"), F.col("p_size").cast("long").alias("pages")))
+
+
+@_q("""SELECT l_orderkey AS source_id, l_linenumber AS line_no, least(0.9, CASE WHEN l_linenumber%2=0 THEN 1-l_discount END, CASE WHEN l_linenumber%3=0 THEN 0.5 END) AS confidence FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_discount)""")
+def block_confidence(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("source_id"), F.col("l_linenumber").alias("line_no")).agg((1 - F.min("l_discount")).alias("c")).withColumns({"page": F.lit(1), "ro": F.lit(0)})
+    n = F.col("line_no")
+    b = li.filter((n % 2 == 0) | (n % 3 == 0)).withColumns({"confidence": F.when(n % 2 == 0, F.col("c")), "validation": F.when(n % 3 == 0, 0.5)})
+    return facts.with_block_confidence(li.withColumn("confidence", F.lit(0.9)), b).select("source_id", "line_no", "confidence")
+
+
+@_q("SELECT l_orderkey AS source_id, l_linenumber AS page, l_linenumber+1 AS page_number, CASE WHEN l_orderkey%4<>0 THEN CASE WHEN o_orderkey%3=0 THEN 'clean-' ELSE 'file-' END || o_orderkey END AS filename FROM lineitem LEFT JOIN orders ON o_orderkey=l_orderkey")
+def evidence_filenames(spark, sf_dir):
+    k = F.col("o_orderkey")
+    s = table(spark, sf_dir, "orders").filter(k % 4 != 0).select(k.alias("source_id"), F.concat(F.lit("file-"), k.cast("string")).alias("filename"), F.when(k % 3 == 0, F.concat(F.lit("clean-"), k.cast("string"))).alias("sanitized_filename"))
+    e = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("source_id"), F.col("l_linenumber").alias("page"))
+    return reasoning.with_filenames(e, s).select("source_id", "page", "page_number", "filename")
+
+
+@_q(f"WITH {_FACTS} SELECT a_src AS a_source_id, b_src AS b_source_id, count(*) AS n FROM g WHERE a_src IN ('ledger','lineitem') AND b_src IN ('ledger','lineitem') GROUP BY ALL")
+def comparisons_of_a_pair(spark, sf_dir):
+    from docketry.operators import views
+
+    pair = spark.createDataFrame([("lineitem", "ledger")], "a_source_id string, b_source_id string")
+    return views.of_pairs(_done(spark, sf_dir), pair).groupBy("a_source_id", "b_source_id").agg(F.count("*").alias("n"))
+
+
+@_q("SELECT o_custkey AS source_id, o_orderdate::DATE AS page, list_sort(list([o_orderkey, o_totalprice])) AS boxes FROM orders WHERE o_orderkey%4<>0 GROUP BY ALL")
+def evidence_pages(spark, sf_dir):
+    from docketry.operators import views
+
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("source_id"), F.to_date("o_orderdate").alias("page"), F.array(F.col("o_orderkey").cast("double"), F.col("o_totalprice")).alias("bbox"), (F.col("o_orderkey") % 4 == 0).alias("restricted"))
+    return views.evidence_boxes(o)
+
+
+@_q("SELECT l_linestatus AS category, round(sum(l_quantity),2) AS total, count(DISTINCT l_returnflag) AS series FROM lineitem GROUP BY 1")
+def stacked_totals(spark, sf_dir):
+    from docketry.operators import views
+
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("category"), F.col("l_returnflag").alias("series"), F.col("l_quantity").alias("value"))
+    return views.stacked_totals(li).withColumn("total", F.round("total", 2))

@@ -187,9 +187,9 @@ def renormalized_confidence(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", structure.renormalized_confidence({"a": (F.lit(0.9), 0.6), "b": (b, 0.3), "c": (F.lit(None).cast("double"), 0.1)}).alias("confidence"))
 
 
-@_q("SELECT n_nationkey, row_number() OVER (ORDER BY n_regionkey, n_nationkey)-1 AS merged_index, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)=1 AS boundary_start FROM nation")
+@_q("SELECT o_orderkey, row_number() OVER (ORDER BY o_custkey, o_orderkey)-1 AS merged_index, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)=1 AS boundary_start FROM orders")
 def virtual_merge(spark, sf_dir):
-    return structure.virtual_merge(table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").alias("doc_order"), F.col("n_nationkey").alias("page"))).select("n_nationkey", "merged_index", "boundary_start")
+    return structure.virtual_merge(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("doc_order"), F.col("o_orderkey").alias("page"))).select("o_orderkey", "merged_index", "boundary_start")
 
 
 @_q("SELECT p_partkey, p_size%3=0 AS eq FROM part")

@@ -18,11 +18,6 @@ def _q(sql: str):
     return register
 
 
-def _rows_only(f):
-    QUERIES[f.__name__] = f
-    return f
-
-
 @_q("SELECT c_custkey, c_name, NULL::INT AS c_nationkey, NULL::DOUBLE AS c_acctbal, c_mktsegment FROM customer WHERE c_mktsegment='BUILDING' ORDER BY c_custkey LIMIT 21 OFFSET 10")
 def governed_preview(spark, sf_dir):
     return govern.preview(table(spark, sf_dir, "customer"), ["c_custkey", "c_name", "c_mktsegment"], "c_custkey", ("c_mktsegment", "BUILDING"), 20, 10)
@@ -62,15 +57,17 @@ CORPUS = (
     ("SELECT o_orderstatus FROM orders", False), ("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'", False), ("SELECT c_name FROM customer JOIN orders ON c_acctbal = o_totalprice", False), ("SELECT o_orderkey FROM orders UNION SELECT c_custkey FROM customer", False),
     ("SELECT * FROM lineitem", False), ("SELECT * FROM parquet.`/etc/x`", False), ("SELECT * FROM range(10)", False), ("SELECT reflect('java.lang.System', 'exit', 1) FROM orders", False), ("SELECT * FROM VALUES (1)", False), ("SELECT input_file_name() FROM orders", False),
     ("SELECT o_orderkey FROM orders TABLESAMPLE (10 ROWS)", False), ("SELEC o_orderkey FROM orders", False), ("SELECT x.o_clerk FROM (SELECT * FROM orders) x", False), ("SELECT o_orderkey FROM default.orders", False), ("SELECT 1", False), ("SELECT o_orderkey FROM orders WHERE o_orderkey = (SELECT max(c_acctbal) FROM customer)", False),
+    ("SELECT secret_t.n_name FROM secret_t, orders WHERE 1 IN (WITH secret_t AS (SELECT 1 AS x FROM orders) SELECT x FROM secret_t)", False), ("SELECT o_orderkey FROM orders WHERE 1 IN (WITH part AS (SELECT 1 AS x FROM orders) SELECT x FROM part)", True),
 )
 
 
-@_q("SELECT i, CASE WHEN i<=5 THEN 'ALLOW' ELSE 'BLOCK' END AS decision FROM range(28) t(i)")
+@_q("SELECT i, CASE WHEN i=0 THEN 'CONFIRM' WHEN i<=5 OR i=29 THEN 'ALLOW' ELSE 'BLOCK' END AS decision FROM range(30) t(i)")
 def gate_decisions(spark, sf_dir):
     rows = []
     for i, (sql, _) in enumerate(CORPUS):
         verdict, _df = _gated(spark, sf_dir, sql)
-        rows.append((i, govern.decide(verdict, None, {"customer.c_phone"})))
+        # The first text's estimate is above the threshold.
+        rows.append((i, govern.decide(verdict, None if i else 20_000, {"customer.c_phone"})))
     return spark.createDataFrame(rows, "i long, decision string")
 
 
@@ -138,13 +135,18 @@ def blocked_in_window(spark, sf_dir):
     return workflow.blocked_in_window(e, 86400).select("event_id", "recent", "alert")
 
 
-@_rows_only
+@_q("""WITH RECURSIVE e AS (SELECT 'd' || user_id%20 AS domain, epoch(ts)::BIGINT::DOUBLE AS epoch, event_id AS hit_id, row_number() OVER (PARTITION BY user_id%20 ORDER BY epoch(ts)::BIGINT, event_id) AS k FROM events),
+ w(domain, k, epoch, hit_id, kept, accepted) AS (SELECT domain, k, epoch, hit_id, [epoch], true FROM e WHERE k=1
+  UNION ALL SELECT e.domain, e.k, e.epoch, e.hit_id, CASE WHEN len(list_filter(w.kept, lambda x: x > e.epoch-3600)) < 3 THEN list_append(list_filter(w.kept, lambda x: x > e.epoch-3600), e.epoch) ELSE w.kept END, len(list_filter(w.kept, lambda x: x > e.epoch-3600)) < 3 FROM w JOIN e ON e.domain=w.domain AND e.k=w.k+1)
+SELECT domain, epoch, hit_id, accepted FROM w""")
 def rate_limited(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.concat(F.lit("d"), (F.col("user_id") % 20).cast("string")).alias("domain"), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("epoch"), F.col("event_id").alias("hit_id"))
     return workflow.rate_limited(e, 3, 3600.0)
 
 
-@_rows_only
+@_q("""WITH RECURSIVE e AS (SELECT event_type || ':' || user_id%10 AS key, epoch(ts)::BIGINT::DOUBLE AS t, row_number() OVER (PARTITION BY event_type, user_id%10 ORDER BY epoch(ts)::BIGINT, event_id) AS k FROM events),
+ w(key, k, started) AS (SELECT key, k, t FROM e WHERE k=1 UNION ALL SELECT e.key, e.k, CASE WHEN e.t-w.started>3600 THEN e.t ELSE w.started END FROM w JOIN e ON e.key=w.key AND e.k=w.k+1)
+SELECT key AS dedupe_key, started, count(*) AS count FROM w GROUP BY ALL""")
 def notify_collapsed(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.concat_ws(":", "event_type", (F.col("user_id") % 10).cast("string")).alias("dedupe_key"), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("epoch"))
     return workflow.collapsed(e, 3600.0)
@@ -190,7 +192,37 @@ def export_renderers(spark, sf_dir):
     return out.drop("k")
 
 
-@_q("SELECT s_suppkey, s_name, true AS grounded, ['b' || s_suppkey] AS citations FROM supplier")
+@_q("SELECT s_suppkey, s_name, s_suppkey%4<>3 AS grounded, CASE WHEN s_suppkey%2=0 THEN ['b' || s_suppkey] ELSE ['b' || s_suppkey, 'c'] END AS citations FROM supplier")
 def answer_grounding(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").withColumns({"answer": F.array(F.lit(1), F.lit(2)), "allowed": F.array(F.lit(1), F.lit(2), F.lit(3)), "b1": F.concat(F.lit("b"), F.col("s_suppkey").cast("string")), "b2": F.lit(None).cast("string")})
+    k = F.col("s_suppkey")
+    s = table(spark, sf_dir, "supplier").withColumns({"answer": F.array(F.lit(1), (k % 4).cast("int")), "allowed": F.array(F.lit(0), F.lit(1), F.lit(2)), "b1": F.concat(F.lit("b"), k.cast("string")), "b2": F.when(k % 2 == 1, "c")})
     return govern.citations(govern.grounded(s), ["b1", "b2", "b1"]).select("s_suppkey", "s_name", "grounded", "citations")
+
+
+@_q("SELECT o_orderkey AS request_id, CASE WHEN o_orderkey%5=0 THEN 'empty' WHEN o_custkey%2=0 AND o_orderkey%3=0 THEN 'already_pending' ELSE 'pending' END AS outcome FROM orders")
+def access_requests(spark, sf_dir):
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    user = F.concat(F.lit("u"), F.col("o_custkey").cast("string"))
+    asked = o.select(k.alias("request_id"), user.alias("user_id"), F.lit("t").alias("table_name"), F.when(k % 5 != 0, F.array(F.lit("a"), F.when(k % 3 == 0, "b").otherwise("c"))).alias("columns"))
+    pending = o.filter("o_custkey % 2 = 0").select(user.alias("user_id"), F.lit("t").alias("table_name"), F.array(F.lit("b"), F.lit("d")).alias("columns")).distinct()
+    return govern.new_requests(asked, pending).select("request_id", "outcome")
+
+
+@_q("SELECT l_orderkey AS request_id, CASE WHEN o_orderstatus IS NULL OR o_orderstatus='P' OR o_orderkey%7=0 THEN 'not_found' WHEN o_orderkey%2=0 THEN 'already_public' ELSE 'pending' END AS outcome FROM (SELECT DISTINCT l_orderkey FROM lineitem) LEFT JOIN orders ON o_orderkey=l_orderkey")
+def document_requests(spark, sf_dir):
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    sources = o.select(k.alias("source_id"), F.when(k % 7 == 0, "t2").otherwise("t1").alias("tenant_id"), F.when(F.col("o_orderstatus") == "P", "rejected").otherwise("accepted").alias("status"), F.when(k % 2 == 0, "public").otherwise("private").alias("visibility"))
+    asked = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("request_id")).distinct().withColumns({"source_id": F.col("request_id"), "tenant_id": F.lit("t1"), "user_id": F.lit("ann")})
+    return govern.document_requests(asked, sources).select("request_id", "outcome")
+
+
+@_q("SELECT DISTINCT l_partkey AS item_id, l_partkey%3<>0 AS found FROM lineitem")
+def export_items(spark, sf_dir):
+    stored = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), F.when(F.col("p_partkey") % 3 == 0, "t2").otherwise("t1").alias("tenant_id"))
+    return govern.stored_items(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("item_id")), stored, "t1")
+
+
+@_q("SELECT event_type, user_id, date_trunc('hour', ts)::TIMESTAMP AS hour, count(*) AS n, count(*)>2 AS flooded FROM events GROUP BY ALL")
+def notice_digests(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("epoch"))
+    return workflow.digest_rows(e, 2).select("event_type", "user_id", F.col("hour").cast("timestamp_ntz").alias("hour"), "n", "flooded")

@@ -80,14 +80,16 @@ def percent_readings(spark, sf_dir):
     return li.select("l_orderkey", "l_linenumber", numbers.number_readings(F.concat(F.lit("about "), F.col("l_quantity").cast("int").cast("string"), F.lit("% of it"))).alias("readings"))
 
 
-@_q("""SELECT p_partkey, p_partkey%10 AS d, CASE WHEN p_partkey%10 = (p_partkey//10)%10 THEN NULL ELSE 'transposed' END AS swapped, 'single_digit' AS changed, NULL::VARCHAR AS same
-FROM part WHERE p_partkey >= 10""")
+@_q("""SELECT p_partkey, p_partkey%10 AS d, CASE WHEN p_partkey>=10 AND p_partkey%10 <> (p_partkey//10)%10 THEN 'transposed' END AS swapped, CASE WHEN p_partkey>=10 THEN 'single_digit' END AS changed, NULL::VARCHAR AS same,
+ CASE WHEN p_partkey>=10 AND p_partkey%10 <> (p_partkey//10)%10 THEN 'transposed' END AS decimals, NULL::VARCHAR AS longer FROM part""")
 def digit_patterns(spark, sf_dir):
     k = F.col("p_partkey").cast("string")
     n = F.length(k)
-    swap = F.concat(F.substr(k, F.lit(1), n - 2), F.substr(k, n, F.lit(1)), F.substr(k, n - 1, F.lit(1)))
+    swap = F.when(n > 1, F.concat(F.substr(k, F.lit(1), n - 2), F.substr(k, n, F.lit(1)), F.substr(k, n - 1, F.lit(1)))).otherwise(k)
     change = F.concat(F.substr(k, F.lit(1), n - 1), ((F.col("p_partkey") + 1) % 10).cast("string"))
-    return table(spark, sf_dir, "part").filter("p_partkey >= 10").select("p_partkey", (F.col("p_partkey") % 10).alias("d"), numbers.digit_pattern(k, swap).alias("swapped"), numbers.digit_pattern(k, change).alias("changed"), numbers.digit_pattern(k, k).alias("same"))
+    two, other = F.concat(F.lit("1."), k), F.concat(F.lit("1."), swap)
+    pattern = numbers.digit_pattern
+    return table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 10).alias("d"), pattern(k, swap).alias("swapped"), pattern(k, change).alias("changed"), pattern(k, k).alias("same"), pattern(two, other).alias("decimals"), pattern(k, F.concat(k, F.lit("0"))).alias("longer"))
 
 
 @_q("SELECT p_partkey, ((p_size-1)//26)::INT AS hi, (p_size)::INT AS idx FROM part")
@@ -108,6 +110,23 @@ def date_parse_roundtrip(spark, sf_dir):
     )
 
 
+@_q("""SELECT o_orderkey, [strftime(o_orderdate, '%Y-%m-%d'), strftime(o_orderdate + INTERVAL 40 DAY, '%Y-%m-%d'), strftime(o_orderdate + INTERVAL 3 DAY, '%Y-%m-%d')] AS found, 3 AS valid, ['31.02.' || year(o_orderdate)] AS invalid, CASE WHEN o_orderkey%2=0 THEN [strftime(o_orderdate + INTERVAL 3 DAY, '%Y-%m-%d') || ' to ' || strftime(o_orderdate, '%Y-%m-%d')] ELSE [] END AS unordered,
+ o_orderdate::DATE AS start, (o_orderdate + INTERVAL 40 DAY)::DATE AS finish, 'period_date_range' AS rule, o_orderdate::DATE AS issued, (o_orderdate + INTERVAL 40 DAY)::DATE AS due, CASE WHEN year(o_orderdate) >= 1990 THEN [strftime(o_orderdate, '%Y-%m-%d'), strftime(o_orderdate + INTERVAL 40 DAY, '%Y-%m-%d'), strftime(o_orderdate + INTERVAL 3 DAY, '%Y-%m-%d')] END AS linked FROM orders""")
+def dates_in_text(spark, sf_dir):
+    """Several dates of different forms in one line, one of them impossible; every second line has a range that ends before it starts."""
+    d = F.to_date("o_orderdate")
+    form = F.date_format
+    late, soon = F.date_add(d, 40), F.date_add(d, 3)
+    tail = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit(" from "), form(soon, "yyyy-MM-dd"), F.lit(" to "), form(d, "yyyy-MM-dd"))).otherwise(F.concat(F.lit(" seen "), form(soon, "MMMM d, yyyy")))
+    line = F.concat(F.lit("Invoice date: "), form(d, "d MMM yyyy"), F.lit("; due date "), form(late, "yyyy-MM-dd"), F.lit(" ref 12/3456 not 31.02."), F.year(d).cast("string"), tail)
+    o = table(spark, sf_dir, "orders").select("o_orderkey", line.alias("t"))
+    o = o.select("o_orderkey", dates.find_dates(F.col("t")).alias("f"), dates.date_checks(F.col("t")).alias("c"), dates.find_period(F.col("t")).alias("p"), dates.labelled_dates(F.col("t")).alias("l"), dates.linker_dates(F.col("t")).alias("k"))
+    first = lambda kind: F.get(F.filter("l", lambda x: x["kind"] == kind), F.lit(0))["date"]
+    return o.select(
+        "o_orderkey", F.slice(F.transform("f", lambda x: x["date"].cast("string")), 1, 3).alias("found"), F.least(F.col("c.valid"), F.lit(3)).alias("valid"), F.col("c.invalid").alias("invalid"), F.col("c.unordered").alias("unordered"), F.col("p.start").alias("start"), F.col("p.end").alias("finish"), F.col("p.rule").alias("rule"), first("start").alias("issued"), first("end").alias("due"), F.transform("k", lambda x: x.cast("string")).alias("linked"),
+    )
+
+
 @_q("""SELECT o_orderkey, date_trunc('month', o_orderdate)::DATE AS m_start, last_day(o_orderdate::DATE) AS m_end, date_trunc('quarter', o_orderdate)::DATE AS q_start,
  (date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH - INTERVAL 1 DAY)::DATE AS q_end, make_date(year(o_orderdate),1,1) AS y_start, 'period_fiscal_unresolved' AS fiscal FROM orders""")
 def period_bounds(spark, sf_dir):
@@ -129,12 +148,31 @@ def excel_serial_roundtrip(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", dates.serial_to_timestamp(serial).cast("date").alias("back"))
 
 
-@_q("""WITH d AS (SELECT p_partkey, string_split(reverse(lpad((p_partkey*7919)::VARCHAR, 15, '4')), '') AS n FROM part),
-e AS (SELECT p_partkey, unnest(n)::INT AS x, unnest(range(0,15)) AS i FROM d)
-SELECT p_partkey, sum(CASE WHEN i%2=0 THEN x WHEN x*2>9 THEN x*2-9 ELSE x*2 END)%10=0 AS ok FROM e GROUP BY 1""")
+@_q("""WITH d AS (SELECT p_partkey, 11 + p_partkey%10 AS n, string_split(reverse(lpad((p_partkey*7919)::VARCHAR, (11 + p_partkey%10)::INT, '4')), '') AS x FROM part),
+e AS (SELECT p_partkey, n, unnest(x)::INT AS x, unnest(range(0, n)) AS i FROM d)
+SELECT p_partkey, any_value(n) BETWEEN 13 AND 19 AND sum(CASE WHEN i%2=0 THEN x WHEN x*2>9 THEN x*2-9 ELSE x*2 END)%10=0 AS ok FROM e GROUP BY 1""")
 def luhn_flags(spark, sf_dir):
-    n = F.lpad((F.col("p_partkey") * 7919).cast("string"), 15, "4")
-    return table(spark, sf_dir, "part").select("p_partkey", checksums.luhn_valid(F.regexp_replace(n, r"(\d{5})", "$1-").substr(1, 17)).alias("ok"))
+    """Numbers of 11 to 20 digits in groups."""
+    n = F.lpad((F.col("p_partkey") * 7919).cast("string"), 11 + F.col("p_partkey") % 10, F.lit("4"))
+    return table(spark, sf_dir, "part").select("p_partkey", checksums.luhn_valid(F.regexp_replace(n, r"(\d{5})(?=\d)", "$1-")).alias("ok"))
+
+
+_BASE36 = "(CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c)-48 ELSE ascii(c)-55 END)"
+
+
+@_q(f"""WITH g AS (SELECT s_suppkey, lpad((s_suppkey%38)::VARCHAR, 2, '0') || 'ABCDE' || lpad((s_suppkey%10000)::VARCHAR, 4, '0') || chr((65 + s_suppkey%26)::INT) || (s_suppkey%10)::VARCHAR || 'Z' AS head FROM supplier),
+ e AS (SELECT s_suppkey, head, unnest(string_split(head, '')) AS c, unnest(range(0, 14)) AS i FROM g),
+ p AS (SELECT s_suppkey, head, {_BASE36} * (1 + i%2) AS v FROM e), t AS (SELECT s_suppkey, any_value(head) AS head, (36 - sum(v//36 + v%36)%36)%36 AS k FROM p GROUP BY 1)
+SELECT s_suppkey, s_suppkey%3<>0 AND s_suppkey%10<>0 AS ok, s_suppkey%3<>0 AND s_suppkey%10<>0 AS lower_ok FROM t""")
+def gstin_flags(spark, sf_dir):
+    """Codes with a right check character, but for every third; a 0 at position 13 is wrong whatever the check says."""
+    k = F.col("s_suppkey")
+    head = F.concat(F.lpad((k % 38).cast("string"), 2, "0"), F.lit("ABCDE"), F.lpad((k % 10000).cast("string"), 4, "0"), F.char(65 + k % 26), (k % 10).cast("string"), F.lit("Z"))
+    code = lambda c: F.when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
+    total = F.aggregate(F.transform(F.split(head, ""), lambda c, i: code(c) * (1 + i % 2)), F.lit(0), lambda acc, v: acc + F.floor(v / 36).cast("int") + v % 36)
+    check = ((36 - total % 36) + F.when(k % 3 == 0, 1).otherwise(0)) % 36
+    whole = F.concat(head, F.when(check < 10, check.cast("string")).otherwise(F.char(check + 55)))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", checksums.gstin_valid(whole).alias("ok"), checksums.gstin_valid(F.lower(whole)).alias("lower_ok"))
 
 
 @_q("SELECT s_suppkey, s_suppkey%3<>0 AS ok FROM supplier")
@@ -146,15 +184,37 @@ def iban_mod97(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", checksums.iban_valid(F.concat(F.lit("DE"), F.when(F.col("s_suppkey") % 3 != 0, check).otherwise(broken), F.lit(" "), bban)).alias("ok"))
 
 
-@_rows_only
+#: The dihedral group's product and the permutation i -> 1576283094, repeated, from their definitions.
+_VERHOEFF = """WITH RECURSIVE s AS (SELECT p_partkey, reverse('2' || lpad((p_partkey*7919)::VARCHAR, 11, '3')) AS t FROM part),
+ p AS (SELECT 0 AS step, i AS x, i AS y FROM range(10) r(i) UNION ALL SELECT step+1, x, [1,5,7,6,2,8,3,0,9,4][y+1] FROM p WHERE step<7),
+ w(p_partkey, t, i, c) AS (SELECT p_partkey, t, 0, 0::BIGINT FROM s
+  UNION ALL SELECT w.p_partkey, t, i+1, CASE WHEN c<5 AND y<5 THEN (c+y)%5 WHEN c<5 THEN 5+(c+y-5)%5 WHEN y<5 THEN 5+(c-5-y+5)%5 ELSE (c-y+5)%5 END FROM w JOIN p ON step=i%8 AND x=t[i+1:i+1]::INT WHERE i<12)
+SELECT p_partkey, c=0 AS ok FROM w WHERE i=12"""
+
+
+@_q(_VERHOEFF)
 def verhoeff_flags(spark, sf_dir):
     n = F.concat(F.lit("2"), F.lpad((F.col("p_partkey") * 7919).cast("string"), 11, "3"))
     return table(spark, sf_dir, "part").select("p_partkey", checksums.verhoeff_valid(n, "^[2-9]").alias("ok"))
 
 
-@_q(r"SELECT doc_id, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[email]', 'g') AS masked FROM documents")
+@_q(r"SELECT doc_id, regexp_replace(text, '\b[\w.+-]+@[\w-]+(?:\.[\w-]+)+\b', '[REDACTED:email]', 'g') AS masked FROM documents")
 def mask_email(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", security.MAIL, "[email]").alias("masked"))
+    return table(spark, sf_dir, "documents").select("doc_id", security.mask_kind(F.col("text"), "email").alias("masked"))
+
+
+@_q("""WITH d AS (SELECT c_custkey AS k, lpad((c_custkey*104729)::VARCHAR, 15, '4') AS n FROM customer), e AS (SELECT k, unnest(string_split(reverse(n), ''))::INT AS x, unnest(range(0,15)) AS i FROM d),
+ c AS (SELECT k, (10 - sum(CASE WHEN i%2=1 THEN x WHEN x*2>9 THEN x*2-9 ELSE x*2 END)%10)%10 AS check_digit FROM e GROUP BY 1)
+SELECT k AS c_custkey, 'mail [REDACTED:email] card ' || CASE WHEN k%3=0 THEN n || (check_digit+1)%10 ELSE '[REDACTED:payment_card:…' || right(n, 3) || check_digit || ']' END || ' id 123456789012 tax [REDACTED:ssn], [REDACTED:secret] and 1234567890123.5' AS masked,
+ CASE WHEN k%3=0 THEN ['email','secret','ssn'] ELSE ['email','payment_card','secret','ssn'] END AS kinds FROM d JOIN c USING (k)""")
+def mask_sensitive(spark, sf_dir):
+    """Cards with a right check digit, but for every third; other numbers of that length stay."""
+    k = F.col("c_custkey")
+    n = F.lpad((k * 104729).cast("string"), 15, "4")
+    digits = F.transform(F.split(F.reverse(n), ""), lambda c, i: F.when(i % 2 == 1, c.cast("int")).when(c.cast("int") * 2 > 9, c.cast("int") * 2 - 9).otherwise(c.cast("int") * 2))
+    check = ((10 - F.aggregate(digits, F.lit(0), lambda acc, x: acc + x) % 10) % 10 + F.when(k % 3 == 0, 1).otherwise(0)) % 10
+    t = F.concat(F.lit("mail user.x@Some-Host.org card "), n, check.cast("string"), F.lit(" id 123456789012 tax 123-45-6789, api_key = a1b2 and 1234567890123.5"))
+    return table(spark, sf_dir, "customer").select("c_custkey", security.mask_sensitive(t).alias("masked"), security.sensitive_kinds(t).alias("kinds"))
 
 
 @_q("""SELECT conv_id, turn, CASE WHEN turn%3=0 THEN 0.6 WHEN turn%3=1 THEN 0.8 ELSE 0.0 END::DOUBLE AS score, (CASE WHEN turn%3=0 THEN 1 WHEN turn%3=1 THEN 2 ELSE 0 END)::INT AS hits FROM conversations""")
@@ -212,3 +272,26 @@ def sealed_roundtrip(spark, sf_dir):
     sealed = security.seal(F.col("s_name"), key, aad)
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", sealed.alias("blob"))
     return s.select("s_suppkey", security.unseal(F.col("blob"), key, aad).cast("string").alias("plain"), security.unseal(F.col("blob"), key, F.lit("t2:x")).isNull().alias("wrong_tenant_fails"))
+
+
+@_q("""SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity>45 THEN 'warn' ELSE 'pass' END AS sanity, ['qty','rate no'] AS labels, round(l_extendedprice,2) AS amount FROM lineitem""")
+def line_checks(spark, sf_dir):
+    pct = F.concat((F.col("l_quantity") + 55).cast("int").cast("string"), F.lit("% of it"))
+    line = F.concat(F.lit("Qty : "), F.col("l_quantity").cast("string"), F.lit("\nnote: none\nRate  No: 7b\n"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", numbers.unit_sanity(pct).alias("sanity"), F.transform(text.label_values(line), lambda x: x["label"]).alias("labels"), F.round("l_extendedprice", 2).alias("amount"))
+
+
+@_q("SELECT o_orderkey, o_orderdate::TIMESTAMP AS ts, 'EUR ' || format('{:,.2f}', round(o_totalprice,2)) AS money, CASE WHEN o_orderkey<1024 THEN o_orderkey || ' B' ELSE format('{:,.1f}', o_orderkey/1024.0) || ' KB' END AS size, (o_orderdate::DATE - DATE '1899-12-30')::DOUBLE AS serial FROM orders WHERE o_orderkey < 1048576")
+def formatted_values(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").filter("o_orderkey < 1048576")
+    iso = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T02:00:00+02:00"))
+    return o.select("o_orderkey", dates.parse_iso(iso).cast("timestamp_ntz").alias("ts"), numbers.format_money(F.round("o_totalprice", 2), F.lit("EUR")).alias("money"), numbers.format_bytes(F.col("o_orderkey")).alias("size"), dates.timestamp_to_serial(F.to_date("o_orderdate").cast("timestamp_ntz")).alias("serial"))
+
+
+@_q("""SELECT o_orderkey, ['weekly','fortnightly','monthly','quarterly','annual','daily','hourly',NULL][(o_orderkey%8+1)::INT] AS frequency, CASE WHEN o_orderkey%3=0 THEN 'gross' WHEN o_orderkey%3=1 THEN 'net' ELSE 'unknown' END AS basis, ['SGD','HKD','BRL','INR'][(o_orderkey%4+1)::INT] AS currency FROM orders""")
+def frequency_basis_currency(spark, sf_dir):
+    k = F.col("o_orderkey")
+    pick = lambda m, words: F.element_at(F.array(*map(F.lit, words)), (k % m + 1).cast("int"))
+    label = F.concat(F.lit("pay "), pick(8, ["/wk", "every fortnight", "pcm", "each quarter", "per annum", "every day", "an hour", "weekly or monthly"]), F.lit(" "), pick(3, ["before deductions", "take home", "gross and net"]))
+    value = F.concat(pick(4, ["S$", "HK$", "BRL ", "Rs. "]), F.lit("1,250"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.frequency_of(label).alias("frequency"), text.basis_of(label).alias("basis"), numbers.parse_value(value).currency.alias("currency"))

@@ -80,6 +80,17 @@ def test_parse_date(spark, raw, want):
     assert (str(got.date) if got else None) == want
 
 
+def test_dates_in_text(spark):
+    f = lambda t: [(str(d.date), d.ambiguous) for d in one(spark, dates.find_dates(F.lit(t)))]
+    assert f("from 2024-01-05, then 1 Feb 2024 and Sept 9th, 2021") == [("2024-01-05", False), ("2024-02-01", False), ("2021-09-09", False)]
+    assert f("1/2/2024/5 and v1.2.2024.7") == [] and f("31/02/2024") == [] and f("") == [] and f("2.4.24") == [("2024-04-02", True)]
+    assert one(spark, dates.find_dates(F.lit(None).cast("string"))) is None
+    c = one(spark, dates.date_checks(F.lit("2024-03-01 to 2024-02-01, 4/13/2024, 30.02.2024")))
+    assert (c.valid, c.invalid, c.ambiguous, c.unordered) == (3, ["30.02.2024"], ["4/13/2024"], ["2024-03-01 to 2024-02-01"])
+    a, b = (F.array(*(F.lit(x).cast("date") for x in xs)) for xs in (["2024-01-01", "2024-05-01"], ["2024-04-21"]))
+    assert one(spark, dates.least_gap(a, b)) == 10
+
+
 def test_periods(spark):
     p = lambda s: one(spark, dates.find_period(F.lit(s)))
     assert (str(p("2024-01-05 to 2024-02-01").end), p("2024-03-01 to 2024-02-01").rule, p("FY2024").start) == ("2024-02-01", "period_invalid_order", None)
@@ -103,8 +114,9 @@ def test_text(spark):
 
 
 def test_security(spark):
-    m = one(spark, security.mask_sensitive(F.lit("a@b.co 4111 1111 1111 1111 123-45-6789")))
-    assert m == "[email] ****1111 [ssn]"
+    m = one(spark, security.mask_sensitive(F.lit("a@b.co 4111 1111 1111 1111 and 123-45-6789")))
+    assert m == "[REDACTED:email] [REDACTED:payment_card:…1111] and [REDACTED:ssn]"
+    assert one(spark, security.mask_sensitive(F.lit("4111 1111 1111 1112 and 2341 2341 2346 or GB82WEST12345698765432"))) == "4111 1111 1111 1112 and [REDACTED:aadhaar:…2346] or [REDACTED:iban]"
     assert one(spark, security.redact_json(F.lit('{"api_key": "s3cret", "n": "x"}'))) == '{"api_key": "[redacted]", "n": "x"}'
     link = export.signed_link("e1", "ann", b"k", now=1000)
     assert export.link_valid(link, "ann", b"k", now=1100) and not export.link_valid(link, "bob", b"k", now=1100) and not export.link_valid(link, "ann", b"k", now=5000)
@@ -129,13 +141,62 @@ def test_gate_corpus_agrees(spark, sf):
     assert len(rows) == 5 and more
 
 
+def test_names_of_inner_scopes_open_no_table(spark, sf):
+    from docketry.plans.governance import _gated
+
+    spark.sql("DROP TABLE IF EXISTS secret_t")
+    spark.range(1).selectExpr("42 AS x", "1 AS k").write.saveAsTable("secret_t")
+    try:
+        verdict, df = _gated(spark, sf, "SELECT secret_t.x FROM secret_t, orders WHERE 1 IN (WITH secret_t AS (SELECT 1 AS y FROM orders) SELECT y FROM secret_t)")
+        assert not verdict.ok and df is None
+    finally:
+        spark.sql("DROP TABLE secret_t")
+    assert not [t for t in spark.catalog.listTables("global_temp") if t.name.startswith("v")]
+    verdict, df = _gated(spark, sf, "SELECT o_orderkey FROM orders WHERE 1 IN (WITH part AS (SELECT 1 AS x FROM orders) SELECT x FROM part)")
+    assert verdict.ok and df.count() > 0
+
+
+def test_pair_limit_keeps_the_first_pairs(spark):
+    from docketry.operators import reasoning
+
+    rng = np.random.default_rng(31)
+    rows = [(f"s{i % 3}", "m", f"d{rng.integers(0, 4)}", int(i), 1.0) for i in range(120)]
+    f = spark.createDataFrame(rows, "subject string, metric string, source_id string, fact_id int, value double")
+    order = ["a_source_id", "a_fact_id", "b_source_id", "b_fact_id"]
+    every = reasoning.pairs(f, None).toPandas()
+    got = reasoning.pairs(f, 7).toPandas()
+    for s, part in every.groupby("subject"):
+        mine = got[got.subject == s].sort_values(order)
+        assert mine[order].values.tolist() == part.sort_values(order)[order].head(7).values.tolist() and set(mine.group_pairs) == {len(part)}
+
+
+def test_trigram_threshold_loses_no_pair(spark):
+    rng = np.random.default_rng(32)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "sigma"]
+    t = spark.createDataFrame([(i, " ".join(rng.choice(words, 4))) for i in range(80)] + [(200, None), (201, "ab"), (202, "")], "id int, text string")
+    every = {(r.a_id, r.b_id): r.cosine for r in report.trigram_cosine(t).collect()}
+    got = {(r.a_id, r.b_id): r.cosine for r in report.trigram_cosine(t, 0.7).collect()}
+    assert got == {k: v for k, v in every.items() if v >= 0.7} and 0 < len(got) < len(every)
+
+
+def test_evidence_in_parts_and_nearly(spark):
+    from docketry.operators import facts
+
+    found = [("a", 1, 0, i, e, v) for i, (e, v) in enumerate([("Rent: 500", "500"), ("Rent | 500", "500"), ("Rent total: 50O per month", "500"), ("Rant", "5"), ("gone", "1")])]
+    f = spark.createDataFrame(found, "source_id string, page int, ro int, line_no int, excerpt string, raw_value string").withColumns({"period_start": F.lit(None).cast("date"), "period_end": F.lit(None).cast("date")})
+    b = spark.createDataFrame([("a", 1, 0, 0, "Rent: 500"), ("a", 1, 0, 1, "500 is the Rent"), ("a", 1, 0, 2, "The Rent total: 500 per month"), ("a", 1, 0, 3, "Rent 5")], "source_id string, page int, ro int, line_no int, text string")
+    v = lambda cases: [r.verdict for r in facts.verify(f, b, cases).orderBy("line_no").collect()]
+    assert v(None) == ["verified", "verified", "verified", "EVIDENCE_UNVERIFIED", "EVIDENCE_MISSING"]
+    assert set(v(spark.createDataFrame([("z",)], "source_id string"))) == {"NOT_IN_CASE"}
+
+
 def test_workflow_folds():
     assert workflow.accept_times([0, 1, 2, 9, 11], 2, 10)[0] == [True, True, False, False, True]
     assert workflow.anchor_starts([0, 200, 300, 301, 500], 300) == [0, 0, 0, 301, 301]
 
 
 def test_streams_agree_with_batches(spark, tmp_path):
-    rows = [(f"d{i % 3}", float(i * 7 % 50), i) for i in range(60)]
+    rows = [(f"d{i % 3}", 1000.0 + i * 7 % 50, i) for i in range(60)]
     schema = "domain string, epoch double, hit_id long"
     df = spark.createDataFrame(sorted(rows, key=lambda r: r[1]), schema)
     df.coalesce(1).write.parquet(str(tmp_path / "hits"))
@@ -146,10 +207,22 @@ def test_streams_agree_with_batches(spark, tmp_path):
     notes.coalesce(1).write.parquet(str(tmp_path / "notes"))
     out = stateful.drained(stateful.collapsed(stateful.events_stream(spark, str(tmp_path / "notes"), notes.schema), 12.0), "notes_out", "update")
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, workflow.collapsed(notes, 12.0).collect()))
-    acts = spark.createDataFrame([(1, 1, "a", "submit", 0.0), (1, 2, "b", "approve", 1.0), (1, 3, "b", "execute", 2.0)], "action_id long, step long, actor string, verb string, epoch double")
+    acts = spark.createDataFrame([(1, 1, "a", "submit", 1000.0), (1, 2, "b", "approve", 1001.0), (1, 3, "b", "execute", 1002.0)], "action_id long, step long, actor string, verb string, epoch double")
     acts.coalesce(1).write.parquet(str(tmp_path / "acts"))
     states = stateful.drained(stateful.approvals(stateful.events_stream(spark, str(tmp_path / "acts"), acts.schema)), "acts_out").orderBy("step").collect()
     assert [r.state for r in states] == ["in_review", "approved", "executed"]
+    # State ends: a later file moves the watermark past an old key's window.
+    for i, (key, epoch) in enumerate([("old", 1000.0), ("new", 100_000.0), ("new", 100_001.0)]):
+        spark.createDataFrame([(key, epoch, i)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "long"))
+    q = stateful.rate_limited(stateful.events_stream(spark, str(tmp_path / "long"), df.schema), 2, 10.0, "10 seconds").writeStream.outputMode("append").format("memory").queryName("long_out").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert q.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] == 1
+    sent = []
+    notices = spark.createDataFrame([("a", 0), ("a", 1), ("b", 9)], "dedupe_key string, attempts int")
+    notices_file = tmp_path / "sent"
+    notices_file.mkdir()
+    stateful.outbox_sink(lambda r, at=str(notices_file): open(f"{at}/{r['dedupe_key']}", "a").close())(notices, 0)
+    assert sorted(p.name for p in notices_file.iterdir()) == ["a"] and not sent
     ts = spark.sql("SELECT timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,0,id*60) AS ts, 'u' AS user_id FROM range(5)")
     ts.coalesce(1).write.parquet(str(tmp_path / "ts"))
     alerts = stateful.windowed_alerts(stateful.events_stream(spark, str(tmp_path / "ts"), ts.schema))
