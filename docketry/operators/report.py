@@ -39,7 +39,7 @@ def warning_counts(warnings: DataFrame) -> DataFrame:
 
 
 def platform_metrics(blocks: DataFrame, review_below: float = 0.8) -> DataFrame:
-    one = blocks.agg(F.count("*").cast("double").alias("blocks"), F.countDistinct("source_id").cast("double").alias("sources"), F.round(F.avg("confidence"), 6).alias("mean_confidence"), F.count_if(F.col("confidence") < review_below).cast("double").alias("needs_review"))
+    one = blocks.agg(F.count("*").cast("double").alias("blocks"), F.countDistinct("source_id").cast("double").alias("sources"), F.round(F.avg("confidence"), 9).alias("mean_confidence"), F.count_if(F.col("confidence") < review_below).cast("double").alias("needs_review"))
     one = one.withColumn("blocks_per_source", F.round(F.col("blocks") / F.col("sources"), 6))
     return one.unpivot([], one.columns, "metric", "value")
 

@@ -199,7 +199,7 @@ def warning_counts(spark, sf_dir):
     return report.warning_counts(warnings(spark, sf_dir))
 
 
-@_q(f"WITH {_BLOCKS} SELECT 'blocks' AS metric, count(*)::DOUBLE AS value FROM b UNION ALL SELECT 'sources', count(DISTINCT source_id) FROM b UNION ALL SELECT 'mean_confidence', round(avg(confidence),6) FROM b UNION ALL SELECT 'needs_review', count(*) FILTER (confidence<0.8) FROM b UNION ALL SELECT 'blocks_per_source', round(count(*)/count(DISTINCT source_id),6) FROM b")
+@_q(f"WITH {_BLOCKS} SELECT 'blocks' AS metric, count(*)::DOUBLE AS value FROM b UNION ALL SELECT 'sources', count(DISTINCT source_id) FROM b UNION ALL SELECT 'mean_confidence', round(avg(confidence),9) FROM b UNION ALL SELECT 'needs_review', count(*) FILTER (confidence<0.8) FROM b UNION ALL SELECT 'blocks_per_source', round(count(*)/count(DISTINCT source_id),6) FROM b")
 def platform_metrics(spark, sf_dir):
     return report.platform_metrics(blocks(spark, sf_dir))
 

@@ -135,7 +135,7 @@ def blocked_in_window(spark, sf_dir):
     return workflow.blocked_in_window(e, 86400).select("event_id", "recent", "alert")
 
 
-@_q("""WITH RECURSIVE e AS (SELECT 'd' || user_id%20 AS domain, epoch(ts)::BIGINT::DOUBLE AS epoch, event_id AS hit_id, row_number() OVER (PARTITION BY user_id%20 ORDER BY epoch(ts)::BIGINT, event_id) AS k FROM events),
+@_q("""WITH RECURSIVE e AS (SELECT 'd' || user_id%20 AS domain, floor(epoch(ts))::BIGINT::DOUBLE AS epoch, event_id AS hit_id, row_number() OVER (PARTITION BY user_id%20 ORDER BY floor(epoch(ts))::BIGINT, event_id) AS k FROM events),
  w(domain, k, epoch, hit_id, kept, accepted) AS (SELECT domain, k, epoch, hit_id, [epoch], true FROM e WHERE k=1
   UNION ALL SELECT e.domain, e.k, e.epoch, e.hit_id, CASE WHEN len(list_filter(w.kept, lambda x: x > e.epoch-3600)) < 3 THEN list_append(list_filter(w.kept, lambda x: x > e.epoch-3600), e.epoch) ELSE w.kept END, len(list_filter(w.kept, lambda x: x > e.epoch-3600)) < 3 FROM w JOIN e ON e.domain=w.domain AND e.k=w.k+1)
 SELECT domain, epoch, hit_id, accepted FROM w""")
@@ -144,7 +144,7 @@ def rate_limited(spark, sf_dir):
     return workflow.rate_limited(e, 3, 3600.0)
 
 
-@_q("""WITH RECURSIVE e AS (SELECT event_type || ':' || user_id%10 AS key, epoch(ts)::BIGINT::DOUBLE AS t, row_number() OVER (PARTITION BY event_type, user_id%10 ORDER BY epoch(ts)::BIGINT, event_id) AS k FROM events),
+@_q("""WITH RECURSIVE e AS (SELECT event_type || ':' || user_id%10 AS key, floor(epoch(ts))::BIGINT::DOUBLE AS t, row_number() OVER (PARTITION BY event_type, user_id%10 ORDER BY floor(epoch(ts))::BIGINT, event_id) AS k FROM events),
  w(key, k, started) AS (SELECT key, k, t FROM e WHERE k=1 UNION ALL SELECT e.key, e.k, CASE WHEN e.t-w.started>3600 THEN e.t ELSE w.started END FROM w JOIN e ON e.key=w.key AND e.k=w.k+1)
 SELECT key AS dedupe_key, started, count(*) AS count FROM w GROUP BY ALL""")
 def notify_collapsed(spark, sf_dir):
