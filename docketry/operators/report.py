@@ -52,14 +52,34 @@ def batch_status(items: DataFrame) -> DataFrame:
     return d.select("batch_id", "total", "done", "failed", F.floor(100.0 * (F.col("total") - F.col("running")) / F.col("total")).alias("progress_percent"), status.alias("status"))
 
 
-def topic_similarity(texts: DataFrame) -> DataFrame:
-    """Jaccard of content words for all pairs that share one: a join on the word, so unrelated pairs are never made."""
+def topic_similarity(texts: DataFrame, least: float = 0.0) -> DataFrame:
+    """Jaccard of content words for all pairs that share one and reach `least`: a join on the word, so unrelated pairs are never made.
+
+    With `least` above 0 pairs come from each text's rarest words alone: two of n and m words that reach it share at least
+    `least` x n of the first one's, so one of them is among its n - ceil(`least` x n) + 1 rarest. Common words then make no pairs.
+    """
     words = texts.select("id", tx.content_words(F.col("text")).alias("w")).select("id", F.size("w").alias("n"), F.explode("w").alias("word"))
+    if least > 0:
+        return _close_topics(words, least)
     a, b = words.select(F.col("id").alias("a_id"), F.col("n").alias("a_n"), "word"), words.select(F.col("id").alias("b_id"), F.col("n").alias("b_n"), "word")
     both = a.join(b, "word").filter("a_id < b_id").groupBy("a_id", "b_id", "a_n", "b_n").agg(F.count("*").alias("k"))
     return both.select("a_id", "b_id", F.round(F.col("k") / (F.col("a_n") + F.col("b_n") - F.col("k")), 6).alias("jaccard"))
 
 
+def _close_topics(words: DataFrame, least: float) -> DataFrame:
+    """The pairs of `topic_similarity` at or above a threshold: candidates by their rarest words, then whole word sets."""
+    place = F.row_number().over(Window.partitionBy("id").orderBy("texts", "word"))
+    ranked = words.join(words.groupBy("word").agg(F.count("*").alias("texts")), "word").withColumn("place", place)
+    front = ranked.filter(F.col("place") <= F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).select("id", "n", "word")
+    a, b = (front.select(F.col("id").alias(f"{s}_id"), F.col("n").alias(f"{s}_n"), "word") for s in "ab")
+    sized = (F.col("a_n") >= least * F.col("b_n") - 1e-9) & (F.col("b_n") >= least * F.col("a_n") - 1e-9)
+    pairs = a.join(b, "word").filter("a_id < b_id").filter(sized).select("a_id", "b_id").distinct()
+    sets = words.groupBy("id").agg(F.collect_list("word").alias("w"))
+    whole = pairs.join(sets.select(F.col("id").alias("a_id"), F.col("w").alias("a_w")), "a_id").join(sets.select(F.col("id").alias("b_id"), F.col("w").alias("b_w")), "b_id")
+    both = F.size(F.array_intersect("a_w", "b_w"))
+    return whole.select("a_id", "b_id", F.round(both / (F.size("a_w") + F.size("b_w") - both), 6).alias("jaccard")).filter(F.col("jaccard") >= least)
+
+
 def guess_type(texts: DataFrame, rules: dict[str, list[str]]) -> DataFrame:
     """The label with the largest share of its phrases in the text; the first listed wins ties; null without any."""
     low = F.lower("text")
@@ -121,6 +141,30 @@ def retrieve(passages: DataFrame, question: DataFrame, k: int) -> DataFrame:
     return best.select(F.col("b.id").alias("id"), (-F.col("b.s")).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
+def _trigrams(texts: DataFrame) -> DataFrame:
+    return texts.filter(F.length("text") >= 3).select("id", F.explode(F.transform(F.sequence(F.lit(1), F.length("text") - 2), lambda i: F.substr("text", i, F.lit(3)))).alias("g")).groupBy("id", "g").agg(F.count("*").alias("n"))
+
+
+def _vectors(grams: DataFrame) -> DataFrame:
+    return grams.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("g", "n"))).alias("v"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("l"))
+
+
+def _cosine() -> Column:
+    dot = F.aggregate(F.map_keys("a_v"), F.lit(0).cast("long"), lambda acc, g: acc + F.element_at("a_v", g) * F.coalesce(F.try_element_at(F.col("b_v"), g), F.lit(0)))
+    return F.round(dot / F.col("a_l") / F.col("b_l"), 6)
+
+
+def trigram_vectors(texts: DataFrame) -> DataFrame:
+    """(id, v, l): counts of a text's character trigrams as a map, and their norm; texts under three characters have no row."""
+    return _vectors(_trigrams(texts))
+
+
+def with_cosine(pairs: DataFrame, a_vectors: DataFrame, b_vectors: DataFrame, a_id: str, b_id: str) -> DataFrame:
+    """Given pairs with the cosine of their trigrams; null where a text has none."""
+    side = lambda d, s, key: d.select(F.col("id").alias(key), F.col("v").alias(f"{s}_v"), F.col("l").alias(f"{s}_l"))
+    return pairs.join(side(a_vectors, "a", a_id), a_id, "left").join(side(b_vectors, "b", b_id), b_id, "left").withColumn("cosine", _cosine()).drop("a_v", "a_l", "b_v", "b_l")
+
+
 def trigram_cosine(texts: DataFrame, least: float = 0.0) -> DataFrame:
     """Cosine of character-trigram counts for pairs that share a trigram and reach `least`, as a sparse product by a join on the trigram.
 
@@ -128,9 +172,9 @@ def trigram_cosine(texts: DataFrame, least: float = 0.0) -> DataFrame:
     whole, two texts whose first common trigram lies there can't reach it. So pairs are made from the parts before that place
     only, which leaves out the commonest trigrams, and each is then computed in full.
     """
-    grams = texts.filter(F.length("text") >= 3).select("id", F.explode(F.transform(F.sequence(F.lit(1), F.length("text") - 2), lambda i: F.substr("text", i, F.lit(3)))).alias("g")).groupBy("id", "g").agg(F.count("*").alias("n"))
+    grams = _trigrams(texts)
     square = F.col("n") * F.col("n")
-    vector = grams.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("g", "n"))).alias("v"), F.sqrt(F.sum(square)).alias("l"))
+    vector = _vectors(grams)
     spread = grams.join(grams.groupBy("g").agg(F.count("*").alias("texts")), "g")
     rest = F.sum(square).over(Window.partitionBy("id").orderBy(F.desc("texts"), F.desc("g")).rowsBetween(Window.unboundedPreceding, 0))
     whole = F.sum(square).over(Window.partitionBy("id"))
@@ -138,8 +182,7 @@ def trigram_cosine(texts: DataFrame, least: float = 0.0) -> DataFrame:
     front = spread.withColumn("keep", F.sqrt(rest / whole) >= least - 1e-9).filter("keep").select("id", "g")
     pairs = front.withColumnRenamed("id", "a_id").join(front.withColumnRenamed("id", "b_id"), "g").filter("a_id < b_id").select("a_id", "b_id").distinct()
     a, b = (vector.select(F.col("id").alias(f"{s}_id"), F.col("v").alias(f"{s}_v"), F.col("l").alias(f"{s}_l")) for s in "ab")
-    dot = F.aggregate(F.map_keys("a_v"), F.lit(0).cast("long"), lambda acc, g: acc + F.element_at("a_v", g) * F.coalesce(F.try_element_at(F.col("b_v"), g), F.lit(0)))
-    return pairs.join(a, "a_id").join(b, "b_id").select("a_id", "b_id", F.round(dot / F.col("a_l") / F.col("b_l"), 6).alias("cosine")).filter(F.col("cosine") >= least)
+    return pairs.join(a, "a_id").join(b, "b_id").select("a_id", "b_id", _cosine().alias("cosine")).filter(F.col("cosine") >= least)
 
 
 def first_of_equal(rows: DataFrame, content: str, key: str) -> DataFrame:

@@ -218,6 +218,11 @@ def content_jaccard(spark, sf_dir):
     return report.topic_similarity(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text"))
 
 
+@_q(f"WITH {_JACCARD}, p AS (SELECT a.item_id AS a_id, b.item_id AS b_id, round(len(list_intersect(a.s,b.s))/(len(a.s)+len(b.s)-len(list_intersect(a.s,b.s))),6) AS jaccard FROM w a JOIN w b ON a.item_id<b.item_id WHERE len(list_intersect(a.s,b.s))>0) SELECT * FROM p WHERE jaccard>=0.05")
+def content_jaccard_close(spark, sf_dir):
+    return report.topic_similarity(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text"), 0.05)
+
+
 @_q("""WITH d AS (SELECT doc_id, lower(text) AS t FROM documents), r AS (SELECT * FROM (VALUES (0,'english','the'),(0,'english','and'),(1,'french','les'),(1,'french','une'),(2,'german','und'),(2,'german','die')) v(o,label,phrase)),
  h AS (SELECT doc_id, o, label, sum(CASE WHEN contains(t, phrase) THEN 1 ELSE 0 END)/count(*) AS share FROM d, r GROUP BY ALL)
 SELECT doc_id, CASE WHEN max(share)>0 THEN arg_max(label, share*100-o) END AS guess, round(max(share),4) AS share FROM h GROUP BY doc_id""")

@@ -199,12 +199,32 @@ def equation_flags(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", structure.is_equation(t).alias("eq"))
 
 
-@_q("""WITH a AS (SELECT o_orderkey AS anchor_id, o_custkey AS k, o_orderdate::DATE AS d FROM orders WHERE o_orderkey%10=0), c AS (SELECT o_orderkey AS id, o_custkey AS k, o_orderdate::DATE AS d FROM orders WHERE o_orderkey%10<>0),
- s AS (SELECT id, anchor_id, 0.5 + 0.05*CASE WHEN abs(a.d-c.d)<=30 THEN 1-abs(a.d-c.d)/30 ELSE 0 END AS score FROM c JOIN a USING (k))
-SELECT id, arg_max(anchor_id, (score*1e9)::BIGINT*100000000-anchor_id) AS anchor_id, round(max(score),6) AS score FROM s GROUP BY id""")
+@_q("""WITH o AS (SELECT o_orderkey AS k, o_custkey AS r, o_orderdate::DATE AS d, o_orderpriority AS p, o_orderkey%3 AS dom, o_orderkey%13=0 AS inj FROM orders),
+ s AS (SELECT c.k AS id, a.k AS anchor_id, c.inj OR a.inj AS inj, CASE WHEN abs(a.d-c.d)<=30 THEN 0.05*(1-abs(a.d-c.d)/30) ELSE 0 END AS near, CASE WHEN a.dom=c.dom AND a.dom>0 THEN 0.1 ELSE 0 END AS dom, CASE WHEN a.p=c.p THEN 0.05 ELSE 0.05*9/11 END AS addr FROM o c JOIN o a ON a.r=c.r AND a.k%10=0 AND c.k%10<>0),
+ t AS (SELECT id, anchor_id, round(CASE WHEN inj THEN least(0.5, 0.5+near+dom) ELSE 0.5+near+dom+addr END, 4) AS score FROM s)
+SELECT id, arg_min(anchor_id, (-score*1e4)::BIGINT*100000000+anchor_id) AS anchor_id, max(score) AS score, 'supporting_document' AS relation FROM t GROUP BY id""")
 def link_scores(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.array(F.concat(F.lit("C"), F.col("o_custkey").cast("string"))).alias("refs"), F.col("o_orderdate").cast("date").alias("date"), F.lit(None).cast("string").alias("entity"), F.lit(None).cast("string").alias("domain"), F.lit(False).alias("injected"))
-    return linking.suggest(o.filter("id % 10 <> 0"), o.filter("id % 10 = 0").withColumnRenamed("id", "anchor_id")).select("id", "anchor_id", F.round("score", 6).alias("score"))
+    """Orders linked to every tenth one by customer, date, sender's domain and address lines, some of them flagged."""
+    k = F.col("o_orderkey")
+    lines = F.array(F.concat(F.array(*map(F.lit, ("north", "road", "block", "floor", "flat", "colony", "street", "lane", "sector"))), F.array(F.col("o_orderpriority"))))
+    o = table(spark, sf_dir, "orders").select(
+        k.alias("id"), F.array(F.concat(F.lit("C"), F.col("o_custkey").cast("string"))).alias("refs"), F.array().cast("array<string>").alias("entities"), F.array(F.col("o_orderdate").cast("date")).alias("dates"),
+        F.when(k % 3 > 0, F.concat(F.lit("d"), (k % 3).cast("string"), F.lit(".example"))).alias("domain"), lines.alias("addresses"), F.lit(None).cast("string").alias("text"), (k % 13 == 0).alias("injected"),
+    )
+    return linking.suggest(o.filter("id % 10 <> 0"), o.filter("id % 10 = 0")).select("id", "anchor_id", "score", "relation")
+
+
+@_q("""WITH o AS (SELECT o_orderkey AS k, o_custkey AS r, o_orderdate::DATE AS d, o_orderkey%3=0 AS cut FROM orders),
+ s AS (SELECT c.k AS id, a.k AS anchor_id, round(0.2*CASE WHEN a.cut=c.cut THEN 1.0 ELSE 62.0/63 END + CASE WHEN abs(a.d-c.d)<=30 THEN 0.05*(1-abs(a.d-c.d)/30.0) ELSE 0 END + 0.1 + 0.05, 4) AS score FROM o c JOIN o a ON a.r=c.r AND a.k%10=0 AND c.k%10<>0)
+SELECT id, arg_min(anchor_id, (-score*1e4)::BIGINT*100000000+anchor_id) AS anchor_id, max(score) AS score, 'same_party' AS relation FROM s WHERE score>=0.35 GROUP BY id""")
+def link_suggestions(spark, sf_dir):
+    """Letters about orders without any reference, linked by features read from their texts: a vendor's name that some letters cut short, date, address and sender; tests add the texts' cosine."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    name = F.translate(F.md5(c), "0123456789", "ghijklmnop")
+    letter = F.concat(F.lit("Vendor: "), F.when(k % 3 == 0, F.substring(name, 2, 99)).otherwise(name), F.lit("\nsent on "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("\n12 North Road, Block 7, House "), c)
+    letters = table(spark, sf_dir, "orders").select(k.alias("id"), letter.alias("text"), F.concat(F.lit("post@d"), c, F.lit(".example")).alias("sender"))
+    f = linking.features(letters).withColumn("text", F.lit(None).cast("string"))
+    return linking.suggest(f.filter("id % 10 <> 0"), f.filter("id % 10 = 0")).select("id", "anchor_id", "score", "relation")
 
 
 @_q("SELECT s_suppkey, s_name AS clean, 'file_' || s_suppkey || '.pdf' AS file, 'acme' || s_suppkey || '.com' AS domain, NULL::VARCHAR AS free, ['INV-2024-' || lpad(s_suppkey::VARCHAR,3,'0')] AS refs, '10.1.x.x' AS ip, 'Firefox' AS agent FROM supplier")
