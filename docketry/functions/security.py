@@ -27,6 +27,11 @@ INJECTION = {
     "role_tags": (r"(?i)<\|?(?:system|assistant|im_start)\|?>", 0.5),
 }
 SECRET_KEYS = r"(?i)pass(?:word|wd)?|secret|token|api[_-]?key|authorization|cookie|ssn|iban"
+#: What is taken out of notices, in order, and what stands in its place.
+NOTICE_RULES = (
+    (_SECRETS[2], "[token]"), (r"(?i)\bbearer\s+\S+", "[token]"), (r"(?i)\b(password|passwd|secret|token|api[_-]?key)\s*[:=]\s*\S+", "$1=[redacted]"), (MAIL, "[email]"),
+    (r"\b(\d{1,3}(?:\.\d{1,3}){2})\.\d{1,3}\b", "$1.x"), (r"(?<![\w-])\d{9,}(?![\w-])", "[number]"),
+)
 CSV_DANGER = r"^[=+\-@\t\r]"
 
 
@@ -92,6 +97,15 @@ def safe_excerpt(c: Column, most: int = 300) -> Column:
     return F.when(F.size(injection_hits(c)) > 0, "[withheld]").when(F.length(masked) > most, F.concat(F.substring(masked, 1, most - 1), F.lit("…"))).otherwise(masked)
 
 
+def sanitize_notice(c: Column, most: int = 400) -> Column:
+    """What a notification may carry (I46): no tokens, secrets, mail addresses, whole IP addresses or numbers of nine digits or more; at most `most` characters."""
+    out = F.coalesce(c, F.lit(""))
+    for pattern, put in NOTICE_RULES:
+        out = F.regexp_replace(out, pattern, put)
+    out = F.trim(F.regexp_replace(out, r"\s+", " "))
+    return F.when(F.length(out) > most, F.concat(F.substring(out, 1, most - 3), F.lit("..."))).otherwise(out)
+
+
 def canonical_json(*columns: str) -> Column:
     """A JSON text with sorted keys and nulls kept, for digests and ids."""
     return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})

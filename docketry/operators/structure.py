@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketry.functions import numbers
 from docketry.operators.fold import folded
 
 #: Least shares and sizes of tables, gaps of captions and equations.
@@ -351,3 +352,25 @@ def fragment_runs(blocks: DataFrame, most: int = 2, least: int = 3) -> DataFrame
     short = F.length("text") <= most
     d = blocks.withColumn("short", short).withColumn("run", F.sum((short != F.coalesce(F.lag(short).over(w), ~short)).cast("int")).over(w))
     return d.withColumn("shredded", F.col("short") & (F.count("*").over(Window.partitionBy("page_id", "run")) >= least))
+
+
+def axis_labels(labels: DataFrame) -> DataFrame:
+    """Chart labels (text, bbox as x0, y0, x1, y1) ready for an axis (J12): a tick mark read behind a number is dropped with its share
+    of the box, and a line of numbers becomes one label a number, each with a width by its characters.
+    """
+    whole, left, right = F.trim("text"), F.get("bbox", F.lit(0)), F.get("bbox", F.lit(2))
+    core = F.regexp_replace(whole, TICK_MARKS, "")
+    ticked = F.coalesce((core != whole) & (core != "") & numbers.chart_number(core).isNotNull(), F.lit(False))
+    end = left + (right - left) * F.length(core) / F.greatest(F.length(whole), F.lit(1))
+    d = labels.withColumn("_t", ticked).withColumns({"text": F.when(F.col("_t"), core).otherwise(F.col("text")), "bbox": F.when(F.col("_t"), F.array(left, F.get("bbox", F.lit(1)), end, F.get("bbox", F.lit(3)))).otherwise(F.col("bbox"))}).drop("_t")
+    words = F.split(F.trim("text"), r"\s+")
+    run = (F.size(words) >= 2) & F.forall(words, lambda w: numbers.chart_number(w).isNotNull())
+    unit = (right - left) / F.length(F.array_join(words, " "))
+    before = lambda i: F.length(F.array_join(F.slice(words, F.lit(1), i), " ")) + F.when(i > 0, 1).otherwise(0)
+    part = lambda w, i: F.struct(w.alias("text"), F.array(left + unit * before(i), F.get("bbox", F.lit(1)), left + unit * (before(i) + F.length(w)), F.get("bbox", F.lit(3))).alias("bbox"))
+    alone = F.array(F.struct(F.col("text"), F.col("bbox")))
+    return d.withColumn("_p", F.explode(F.when(run, F.transform(words, part)).otherwise(alone))).withColumns({"text": F.col("_p.text"), "bbox": F.col("_p.bbox")}).drop("_p")
+
+
+#: Fixed value: what readers make of a tick mark beside a number.
+TICK_MARKS = "\\s*[-\u2013\u2014_|~=\u2212.:;,]+$"

@@ -1,9 +1,10 @@
-"""What a reader of results asks of them: filters, merged pages, boxes, totals for charts."""
+"""What a reader of results asks of them: filters, merged pages, boxes, totals for charts (P1-P6, P8), and values a JSON text can hold."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def of_type(blocks: DataFrame, *types: str) -> DataFrame:
@@ -40,3 +41,19 @@ def evidence_boxes(evidence: DataFrame) -> DataFrame:
 
 def of_sources(rows: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.join(sources.select("source_id").distinct(), "source_id", "left_semi")
+
+
+def json_safe(rows: DataFrame) -> DataFrame:
+    """Decimals, dates and times as text and bytes as their number, '<n bytes>'; other columns as they are."""
+
+    def safe(f: T.StructField):
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.BinaryType):
+            c = F.concat(F.lit("<"), F.octet_length(c).cast("string"), F.lit(" bytes>"))
+        elif isinstance(f.dataType, (T.DecimalType, T.DateType)):
+            c = c.cast("string")
+        elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
+            c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+        return c.alias(f.name)
+
+    return rows.select(*map(safe, rows.schema.fields))
