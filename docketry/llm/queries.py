@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import decontam, htmltree, langid, mixing, neardup, ngramlm, quality, sharding, toxicity, tsmedia
+from docketry.llm import centroids, decontam, filteraudit, htmltree, langid, maxscore, mixing, neardup, ngramlm, quality, sharding, toxicity, tsmedia
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,7 +57,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-_QUERIES = (op1_language_id, op2_mixing, op3_main_text, op4_toxicity, op5_sharding, op6_transport_streams, op7_quality, op8_ngram_lm, op9_near_duplicates, op10_decontamination)
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.with_inertia(*centroids.cluster(_table(spark, sf_dir, "embeddings")))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+_QUERIES = (
+    op1_language_id, op2_mixing, op3_main_text, op4_toxicity, op5_sharding, op6_transport_streams, op7_quality, op8_ngram_lm, op9_near_duplicates, op10_decontamination,
+    op11_centroid_clusters, op12_filter_audit, op13_top_k,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -65,4 +80,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.ORACLE, "op10_decontamination": decontam.ORACLE}
+    return {"op2_mixing": mixing.ORACLE, "op10_decontamination": decontam.ORACLE, "op11_centroid_clusters": centroids.ORACLE, "op12_filter_audit": filteraudit.ORACLE, "op13_top_k": maxscore.ORACLE}
