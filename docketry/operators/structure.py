@@ -355,22 +355,24 @@ def fragment_runs(blocks: DataFrame, most: int = 2, least: int = 3) -> DataFrame
 
 
 def axis_labels(labels: DataFrame) -> DataFrame:
-    """Chart labels (text, bbox as x0, y0, x1, y1) ready for an axis (J12): a tick mark read behind a number is dropped with its share
-    of the box, and a line of numbers becomes one label a number, each with a width by its characters.
+    """Chart labels (text, bbox as x0, y0, x1, y1) ready for an axis (J12): one label a number, with its share of the box.
+
+    A label is cut at its blanks, each piece with the stretch of the box that its characters take. Signs at the end of a piece
+    that are no part of a number are tick marks and go with their stretch. If what is left of all pieces is numbers, each is a
+    label; else the label stays whole.
     """
-    whole, left, right = F.trim("text"), F.get("bbox", F.lit(0)), F.get("bbox", F.lit(2))
-    core = F.regexp_replace(whole, TICK_MARKS, "")
-    ticked = F.coalesce((core != whole) & (core != "") & numbers.chart_number(core).isNotNull(), F.lit(False))
-    end = left + (right - left) * F.length(core) / F.greatest(F.length(whole), F.lit(1))
-    d = labels.withColumn("_t", ticked).withColumns({"text": F.when(F.col("_t"), core).otherwise(F.col("text")), "bbox": F.when(F.col("_t"), F.array(left, F.get("bbox", F.lit(1)), end, F.get("bbox", F.lit(3)))).otherwise(F.col("bbox"))}).drop("_t")
-    words = F.split(F.trim("text"), r"\s+")
-    run = (F.size(words) >= 2) & F.forall(words, lambda w: numbers.chart_number(w).isNotNull())
-    unit = (right - left) / F.length(F.array_join(words, " "))
-    before = lambda i: F.length(F.array_join(F.slice(words, F.lit(1), i), " ")) + F.when(i > 0, 1).otherwise(0)
-    part = lambda w, i: F.struct(w.alias("text"), F.array(left + unit * before(i), F.get("bbox", F.lit(1)), left + unit * (before(i) + F.length(w)), F.get("bbox", F.lit(3))).alias("bbox"))
-    alone = F.array(F.struct(F.col("text"), F.col("bbox")))
-    return d.withColumn("_p", F.explode(F.when(run, F.transform(words, part)).otherwise(alone))).withColumns({"text": F.col("_p.text"), "bbox": F.col("_p.bbox")}).drop("_p")
-
-
-#: Fixed value: what readers make of a tick mark beside a number.
-TICK_MARKS = "\\s*[-\u2013\u2014_|~=\u2212.:;,]+$"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,lo:int,hi:int>>").alias("out"))
+    core = lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}\p{Sc}%)]+$", "")
+
+    def step(acc, w):
+        piece = F.struct(core(w).alias("text"), acc["at"].alias("lo"), (acc["at"] + F.length(core(w))).alias("hi"))
+        return F.struct((acc["at"] + F.length(w) + 1).alias("at"), F.when(core(w) == "", acc["out"]).otherwise(F.array_append(acc["out"], piece)).alias("out"))
+
+    cut = F.aggregate(F.split(F.trim("text"), r"\s+"), start, step, lambda acc: acc["out"])
+    d = labels.withColumn("_cut", cut)
+    left, width = F.get("bbox", F.lit(0)), (F.get("bbox", F.lit(2)) - F.get("bbox", F.lit(0))) / F.greatest(F.length(F.regexp_replace(F.trim("text"), r"\s+", " ")), F.lit(1))
+    box = lambda p: F.array(left + width * p["lo"], F.get("bbox", F.lit(1)), left + width * p["hi"], F.get("bbox", F.lit(3)))
+    numeric = (F.size("_cut") > 0) & F.forall("_cut", lambda p: numbers.chart_number(p["text"]).isNotNull())
+    parts = F.transform("_cut", lambda p: F.struct(p["text"].alias("text"), box(p).alias("bbox")))
+    d = d.withColumn("_p", F.explode(F.when(numeric, parts).otherwise(F.array(F.struct("text", "bbox")))))
+    return d.withColumns({"text": F.col("_p.text"), "bbox": F.col("_p.bbox")}).drop("_p", "_cut")
