@@ -20,10 +20,17 @@ MAX_SQL, ROW_CAP, CONFIRM_ROWS, MAX_GRANT_HOURS = 8000, 1000, 10_000, 720
 #: Plan nodes and functions that a governed query may use.
 _NODES = frozenset("Project Filter Aggregate Join Sort GlobalLimit LocalLimit LimitAll Distinct SubqueryAlias UnresolvedRelation UnresolvedWith UnresolvedHaving UnresolvedSubqueryColumnAliases WithWindowDefinition Offset OneRowRelation".split())
 _FUNCTIONS = frozenset(
-    "abs avg ceil ceiling coalesce concat concat_ws count count_if date_format date_trunc datediff day dense_rank exp extract first floor greatest if ifnull lag last lead least length ln log lower lpad ltrim max mean median min "
+    "abs avg between ceil ceiling coalesce concat concat_ws count count_if date_format date_trunc datediff day dense_rank exp extract first floor greatest if ifnull lag last lead least length ln log lower lpad ltrim max mean median min "
     "mod month now nullif nvl percentile_approx power pow quarter rank replace round row_number rpad rtrim sign sqrt stddev substr substring sum trim try_cast try_divide upper variance weekofyear year current_date current_timestamp add_months last_day contains startswith endswith".split()
 )
-_EXPRESSION = re.compile(r"UnresolvedFunction\(|'?(\w+)\(")
+#: Expressions of the parsed plan besides functions.
+_EXPRESSIONS = frozenset(
+    "Add Alias And CaseWhen Cast Concat CurrentRow$ Divide EqualNullSafe EqualTo Exists GreaterThan GreaterThanOrEqual ILike In InSubquery IntegralDivide IsNotNull IsNull LessThan LessThanOrEqual Like LikeAll LikeAny ListQuery Literal "
+    "MultiAlias Multiply Not NotLikeAll Or OuterReference RLike Remainder ScalarSubquery SortOrder SpecifiedWindowFrame StringTrim StringTrimLeft StringTrimRight Substring Subtract UnaryMinus UnaryPositive UnboundedFollowing$ UnboundedPreceding$ "
+    "UnresolvedAlias UnresolvedAttribute UnresolvedExtractValue UnresolvedFunction UnresolvedOrdinal UnresolvedStar UnresolvedWindowExpression UnspecifiedFrame$ WindowExpression WindowSpecDefinition Between UnresolvedSubqueryColumnAliases".split()
+)
+#: Functions that need no brackets and tell something other than data; a column of that name is a column.
+_BARE = frozenset("current_user user session_user current_catalog current_database current_schema current_timezone localtimestamp current_time grouping__id input_file_name version".split())
 
 
 @dataclass
@@ -101,6 +108,32 @@ def _walk(plan):
             todo.append(subs.apply(i))
 
 
+def _listed(group) -> list:
+    return [group.apply(i) for i in range(group.size())]
+
+
+def _odd_expression(plan, columns: set[str]) -> str | None:
+    """What an allow-list does not hold among the expressions of one node of a parsed plan, named as the text names it: quoting a function's name or leaving out its brackets makes no difference here."""
+    todo = _listed(plan.expressions())
+    if plan.nodeName() == "WithWindowDefinition":
+        todo += _listed(plan.windowDefinitions().values().toSeq())
+    while todo:
+        e = todo.pop()
+        kind = e.getClass().getName().rsplit(".", 1)[1]
+        if kind not in _EXPRESSIONS:
+            return f"not allowed: {kind}"
+        if kind == "UnresolvedFunction":
+            parts = _listed(e.nameParts())
+            if len(parts) != 1 or parts[0].lower() not in _FUNCTIONS:
+                return f"function not allowed: {'.'.join(parts)}"
+        if kind == "UnresolvedAttribute":
+            parts = [p.lower() for p in _listed(e.nameParts())]
+            if len(parts) == 1 and parts[0] in _BARE and parts[0] not in columns:
+                return f"function not allowed: {parts[0]}"
+        todo += _listed(e.children())
+    return None
+
+
 def _stray(analysed, views: set[str]) -> str | None:
     """A relation of an analysed plan that is not read through one of the private views."""
     todo = [analysed]
@@ -152,9 +185,8 @@ def gate(spark: SparkSession, sql: str, grants: dict[str, list[str]], cap: int =
                 return bad("qualified or path tables are not allowed")
             if ident.lower() not in ctes:
                 tables.add(ident.lower())
-    calls = {c.lower() for c in re.findall(r"([A-Za-z_]\w*)\s*\(", masked)} - {"in", "as", "over", "and", "or", "not", "exists", "on", "when", "then", "else", "select", "from", "where", "by", "cast", "using", "having", "decimal", "varchar", "char", "with", "case", "filter", "distinct"} - ctes
-    if odd := sorted(calls - _FUNCTIONS):
-        return bad(f"function not allowed: {odd[0]}")
+        if odd := _odd_expression(p, {c.lower() for held in grants.values() for c in held}):
+            return bad(odd)
     if not tables:
         return bad("no table")
     if locked := sorted(t for t in tables if t not in grants):
@@ -192,6 +224,18 @@ def decide(verdict: Verdict, estimate: int | None, sensitive: set[str], threshol
     return "CONFIRM" if touched or (estimate is not None and estimate > threshold) else "ALLOW"
 
 
+def judged(requests: DataFrame, grants: dict[str, list[str]], sensitive: set[str], threshold: int = CONFIRM_ROWS) -> DataFrame:
+    """Requests (sql, estimate, ...) with a decision and the reason of a refusal. Each distinct text passes the gate once, one after another on the driver; the verdicts are joined back."""
+    spark = requests.sparkSession
+    rows = []
+    for r in requests.select("sql").distinct().toLocalIterator():
+        verdict = gate(spark, r.sql or "", grants)[0]
+        rows.append((r.sql, verdict.ok, verdict.reason, decide(verdict, None, sensitive)))
+    verdicts = spark.createDataFrame(rows, "_sql string, ok boolean, reason string, decision string")
+    d = requests.join(verdicts, F.col("sql").eqNullSafe(F.col("_sql"))).drop("_sql")
+    return d.withColumn("decision", F.when(F.col("ok") & (F.col("estimate") > threshold), "CONFIRM").otherwise(F.col("decision"))).drop("ok")
+
+
 def estimated_rows(df: DataFrame) -> int | None:
     """Catalyst's row estimate, None where it has none."""
     n = df._jdf.queryExecution().optimizedPlan().stats().rowCount()

@@ -32,11 +32,17 @@ def acl_unlocked_columns(spark, sf_dir):
     return govern.unlocked_columns(catalog, roles, users.withColumn("valid_until", F.col("valid_until").cast("timestamp")), "analyst", "ann", "2026-01-01 00:00:00")
 
 
-def _gated(spark, sf_dir, sql):
-    grants = {"orders": ["o_orderkey", "o_custkey", "o_totalprice"], "customer": ["c_custkey", "c_name"]}
-    for t in grants:
+GRANTS = {"orders": ["o_orderkey", "o_custkey", "o_totalprice"], "customer": ["c_custkey", "c_name"]}
+
+
+def _granted(spark, sf_dir):
+    for t in GRANTS:
         table(spark, sf_dir, t).createOrReplaceTempView(t)
-    return govern.gate(spark, sql, grants)
+    return GRANTS
+
+
+def _gated(spark, sf_dir, sql):
+    return govern.gate(spark, sql, _granted(spark, sf_dir))
 
 
 @_q("SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 1000")
@@ -57,18 +63,27 @@ CORPUS = (
     ("SELECT o_orderstatus FROM orders", False), ("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'", False), ("SELECT c_name FROM customer JOIN orders ON c_acctbal = o_totalprice", False), ("SELECT o_orderkey FROM orders UNION SELECT c_custkey FROM customer", False),
     ("SELECT * FROM lineitem", False), ("SELECT * FROM parquet.`/etc/x`", False), ("SELECT * FROM range(10)", False), ("SELECT reflect('java.lang.System', 'exit', 1) FROM orders", False), ("SELECT * FROM VALUES (1)", False), ("SELECT input_file_name() FROM orders", False),
     ("SELECT o_orderkey FROM orders TABLESAMPLE (10 ROWS)", False), ("SELEC o_orderkey FROM orders", False), ("SELECT x.o_clerk FROM (SELECT * FROM orders) x", False), ("SELECT o_orderkey FROM default.orders", False), ("SELECT 1", False), ("SELECT o_orderkey FROM orders WHERE o_orderkey = (SELECT max(c_acctbal) FROM customer)", False),
+    ("SELECT `input_file_name`() AS f, o_orderkey FROM orders", False), ("SELECT `version`() AS v, o_orderkey FROM orders", False), ("SELECT `current_catalog`() AS c FROM orders", False), ("SELECT `raise_error`('x') AS c FROM orders", False),
+    ("SELECT current_user AS u, o_orderkey FROM orders", False), ("SELECT session_user AS u, o_orderkey FROM orders", False), ("SELECT o_orderkey FROM orders ORDER BY `uuid`()", False), ("SELECT system.builtin.version() AS v FROM orders", False),
+    ("SELECT `upper`(c_name) AS n, `round`(sum(c_custkey), 1) AS s FROM customer GROUP BY `upper`(c_name)", True), ("SELECT o_orderkey, row_number() OVER w AS k FROM orders WINDOW w AS (PARTITION BY `user`() ORDER BY o_orderkey)", False),
+    ("SELECT o_orderkey, row_number() OVER w AS k FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)", True), ("SELECT c_name, CASE WHEN c_custkey BETWEEN 1 AND 5 THEN 'a' ELSE lower(trim(c_name)) END AS x FROM customer WHERE c_name LIKE 'C%' AND c_custkey IS NOT NULL AND NOT c_custkey IN (1, 2)", True),
+    ("SELECT substring(c_name, 1, 3) AS s, CAST(c_custkey AS STRING) AS k FROM customer", True), ("SELECT c_phone FROM customer", False), ("SELECT o_orderkey FROM orders WHERE exists (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND `input_file_name`() <> '')", False),
     ("SELECT secret_t.n_name FROM secret_t, orders WHERE 1 IN (WITH secret_t AS (SELECT 1 AS x FROM orders) SELECT x FROM secret_t)", False), ("SELECT o_orderkey FROM orders WHERE 1 IN (WITH part AS (SELECT 1 AS x FROM orders) SELECT x FROM part)", True),
 )
 
 
-@_q("SELECT i, CASE WHEN i=0 THEN 'CONFIRM' WHEN i<=5 OR i=29 THEN 'ALLOW' ELSE 'BLOCK' END AS decision FROM range(30) t(i)")
+_ALLOWED_AT = ",".join(str(i) for i, (_, ok) in enumerate(CORPUS) if ok)
+#: Texts that touch the total, by name or by a star over it.
+_TOTALS_AT = ",".join(str(i) for i, (t, ok) in enumerate(CORPUS) if ok and ("o_totalprice" in t or "* FROM a" in t))
+
+
+@_q(f"""SELECT o_orderkey, CASE WHEN o_orderkey % {len(CORPUS)} NOT IN ({_ALLOWED_AT}) THEN 'BLOCK' WHEN o_orderkey % {len(CORPUS)} IN ({_TOTALS_AT}) OR o_totalprice > 300000 THEN 'CONFIRM' ELSE 'ALLOW' END AS decision FROM orders""")
 def gate_decisions(spark, sf_dir):
-    rows = []
-    for i, (sql, _) in enumerate(CORPUS):
-        verdict, _df = _gated(spark, sf_dir, sql)
-        # The first text's estimate is above the threshold.
-        rows.append((i, govern.decide(verdict, None if i else 20_000, {"customer.c_phone"})))
-    return spark.createDataFrame(rows, "i long, decision string")
+    """Each order is a request for one of the texts, with its price as the row estimate."""
+    o = table(spark, sf_dir, "orders")
+    sql = F.element_at(F.array(*(F.lit(t) for t, _ in CORPUS)), (F.pmod("o_orderkey", F.lit(len(CORPUS))) + 1).cast("int"))
+    requests = o.select("o_orderkey", sql.alias("sql"), F.col("o_totalprice").alias("estimate"))
+    return govern.judged(requests, _granted(spark, sf_dir), {"orders.o_totalprice"}, 300_000).select("o_orderkey", "decision")
 
 
 @_q("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 26 OFFSET 50")

@@ -28,3 +28,11 @@ def get_spark(app: str = "docketry", cpus: str | int = 8, shuffle_partitions: in
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a scale-factor folder; only Spark's reader touches the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share: spark.checkpoint.dir, or for a local session without it one in /tmp."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or "/tmp/checkpoints/docketry").rstrip("/")
