@@ -88,7 +88,7 @@ def store_undo(spark, sf_dir):
 _TTL_S = 3600.0
 _USES = f"""WITH e AS (SELECT user_id, event_id, event_type, epoch_us(ts) / 1e6 AS t, lag(event_type) OVER w AS p, lag(epoch_us(ts) / 1e6) OVER w AS pt
  FROM events WHERE event_type IN ('view', 'purchase') WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-SELECT user_id::VARCHAR AS request_key, event_id AS step, CASE WHEN event_type = 'view' THEN 'opened' WHEN p IS DISTINCT FROM 'view' THEN 'no_approval' WHEN t - pt > {_TTL_S} THEN 'expired' ELSE 'used' END AS verdict FROM e"""
+SELECT user_id::VARCHAR AS request_key, event_id AS step, CASE WHEN event_type = 'view' THEN 'opened' WHEN p IS DISTINCT FROM 'view' OR t - pt > 2 * {_TTL_S} THEN 'no_approval' WHEN t - pt > {_TTL_S} THEN 'expired' ELSE 'used' END AS verdict FROM e"""
 
 
 def _actions(events):

@@ -16,6 +16,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from docketry.operators.fold import scanned
 
+#: Times the time to live after which nothing is known of an approval any more.
+KEEP = 2
 RESULT = "request_key string, step long, epoch double, verdict string"
 _NAMES = ["request_key", "step", "epoch", "verdict"]
 
@@ -24,7 +26,7 @@ def use_step(opened: float | None, action: str, epoch: float, ttl_s: float) -> t
     """The approval's time after one action, and the verdict on it."""
     if action == "approve":
         return epoch, "opened"
-    if opened is None:
+    if opened is None or epoch - opened > KEEP * ttl_s:
         return None, "no_approval"
     if epoch - opened > ttl_s:
         return None, "expired"
@@ -54,7 +56,7 @@ class SingleUse(StatefulProcessor):
         self.handled = handle.getMapState("handled", "step long", "epoch double")
         self.refused = handle.getListState("refused", "step long, verdict string")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         opened = self.opened.get()[0] if self.opened.exists() else None
         out, last = [], 0.0
         for r in pd.concat(list(rows)).sort_values(["epoch", "step"]).itertuples(index=False):
@@ -73,10 +75,10 @@ class SingleUse(StatefulProcessor):
         if out:
             for at in list(self.handle.listTimers()):
                 self.handle.deleteTimer(at)
-            self.handle.registerTimer(max(int((last + self.keep_s) * 1000), timers.getCurrentWatermarkInMs() + 1))
+            self.handle.registerTimer(max(int((last + self.keep_s) * 1000), timerValues.getCurrentWatermarkInMs() + 1))
             yield pd.DataFrame(out, columns=_NAMES)
 
-    def handleExpiredTimer(self, key: tuple, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         for state in (self.opened, self.handled, self.refused):
             state.clear()
         yield pd.DataFrame({"request_key": pd.Series(dtype="str"), "step": pd.Series(dtype="int64"), "epoch": pd.Series(dtype="float64"), "verdict": pd.Series(dtype="str")})
@@ -88,7 +90,7 @@ class SingleUse(StatefulProcessor):
 def decided(actions: DataFrame, ttl_s: float, late: str = "1 hour") -> DataFrame:
     """The stream of verdicts on a stream of actions. Its state store must be RocksDB, which `with_state_store` sets."""
     rows = actions.select("request_key", "step", "epoch", "action").withColumn("event_time", F.timestamp_seconds("epoch")).withWatermark("event_time", late)
-    return rows.groupBy("request_key").transformWithStateInPandas(SingleUse(ttl_s, 2 * ttl_s), RESULT, "append", "eventTime")
+    return rows.groupBy("request_key").transformWithStateInPandas(SingleUse(ttl_s, KEEP * ttl_s), RESULT, "append", "eventTime")
 
 
 def with_state_store(spark) -> None:

@@ -97,7 +97,7 @@ def test_nested_values(spark):
 
 def test_second_use_is_refused_across_batches_and_a_restart(spark, tmp_path):
     singleuse.with_state_store(spark)
-    rows = [("a", 1, 10.0, "approve"), ("a", 2, 20.0, "use"), ("b", 1, 10.0, "use"), ("a", 3, 30.0, "use"), ("a", 2, 20.0, "use"), ("b", 2, 40.0, "approve"), ("b", 3, 500.0, "use"), ("a", 4, 60.0, "approve"), ("a", 5, 61.0, "approve"), ("a", 6, 62.0, "use"), ("a", 7, 63.0, "use")]
+    rows = [("a", 1, 10.0, "approve"), ("a", 2, 20.0, "use"), ("b", 1, 10.0, "use"), ("a", 3, 30.0, "use"), ("a", 2, 20.0, "use"), ("b", 2, 40.0, "approve"), ("b", 3, 180.0, "use"), ("a", 4, 60.0, "approve"), ("a", 5, 61.0, "approve"), ("a", 6, 62.0, "use"), ("a", 7, 63.0, "use")]
     schema = "request_key string, step long, epoch double, action string"
     src, out, mark = (f"{tmp_path}/{n}" for n in ("in", "out", "mark"))
 
