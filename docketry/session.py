@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,3 +37,10 @@ def shared_folder(spark: SparkSession) -> str:
     if not named and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (named or "/tmp/checkpoints/docketry").rstrip("/")
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """`df` written as Parquet in the shared folder and read back: lineage is cut and no executor holds the only copy."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
