@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 import re
-import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
 from email import message_from_bytes, policy
@@ -15,6 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docketry.functions.addresses import address_fault
+from docketry.functions.words import bound
+
 MAX_BYTES, MAX_RATIO, MAX_DEPTH = 100 << 20, 100, 1
 #: Hex prefixes of file kinds.
 _MAGIC = (("25504446", "application/pdf"), ("89504E470D0A1A0A", "image/png"), ("FFD8FF", "image/jpeg"), ("47494638", "image/gif"), ("49492A00", "image/tiff"), ("4D4D002A", "image/tiff"), ("504B0304", "application/zip"), ("D0CF11E0", "application/x-ole"), ("1F8B", "application/gzip"))
@@ -184,21 +186,6 @@ def mails(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, part int, filename string, text string, content binary")
 
 
-def sniff(raw: bytes) -> tuple[str, str]:
-    """(encoding, delimiter) of a delimited file."""
-    for encoding in ("utf-8-sig", "cp1252"):
-        try:
-            text = raw.decode(encoding)
-            break
-        except UnicodeDecodeError:
-            continue
-    else:
-        encoding, text = "latin-1", raw.decode("latin-1")
-    lines = [x for x in text.splitlines()[:20] if x]
-    score = {d: (min((x.count(d) for x in lines), default=0), sum(x.count(d) for x in lines)) for d in (",", ";", "\t", "|")}
-    return encoding, max(score, key=score.get)
-
-
 def cells_of(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """A wide table as cells (key, col, value): values stay text, empty cells are dropped."""
     cells = F.array(*(F.struct(F.lit(i).alias("col"), F.col(c).cast("string").alias("value")) for i, c in enumerate(columns)))
@@ -212,80 +199,21 @@ def probable_tables(cells: DataFrame, by: str = "sheet") -> DataFrame:
     return rows.withColumn("band", band).groupBy(by, "band").agg(F.min("row").alias("r1"), F.max("row").alias("r2"), F.min("c1").alias("c1"), F.max("c2").alias("c2"), (F.min_by("words", "row") == 1).alias("header")).filter("r2 > r1 AND c2 > c1").drop("band")
 
 
-_NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
-
-
-def _column(ref: str) -> int:
-    n = 0
-    for c in re.match(r"[A-Z]+", ref)[0]:
-        n = n * 26 + ord(c) - 64
-    return n - 1
-
-
-def workbook_cells(content: bytes, most: int = 200_000) -> list[tuple]:
-    """(sheet, hidden, ref, row, col, raw, formula, number_format) of a workbook's cells, with cached values; merged ranges repeat nothing.
+def url_policy(url: Column) -> Column:
+    """null for a URL that may be fetched, else why not: scheme, credentials, host, port, private address.
 
-    `most` is the format's limit per sheet; a sheet beyond it ends with a row whose ref is 'TRUNCATED'.
+    A host that ends in a number must be a plain public address, so that no other spelling of one passes; a host without a dot
+    is internal; version 6 addresses are judged as what they carry.
     """
-    out = []
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        names = set(z.namelist())
-        shared = ["".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")) for si in ET.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
-        formats: dict[int, str] = {}
-        styles: list[int] = []
-        if "xl/styles.xml" in names:
-            root = ET.fromstring(z.read("xl/styles.xml"))
-            formats = {int(f.get("numFmtId")): f.get("formatCode") for f in root.iter(f"{{{_NS['m']}}}numFmt")}
-            xfs = root.find("m:cellXfs", _NS)
-            styles = [int(x.get("numFmtId", 0)) for x in xfs] if xfs is not None else []
-        book = ET.fromstring(z.read("xl/workbook.xml"))
-        rel = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))} if "xl/_rels/workbook.xml.rels" in names else {}
-        for i, s in enumerate(book.find("m:sheets", _NS), 1):
-            target = rel.get(s.get("{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"), f"worksheets/sheet{i}.xml")
-            path = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
-            root, n = ET.fromstring(z.read(path)), 0
-            for row in root.iter(f"{{{_NS['m']}}}row"):
-                for c in row:
-                    ref, kind = c.get("r"), c.get("t", "n")
-                    v, f = c.find("m:v", _NS), c.find("m:f", _NS)
-                    raw = "".join(t.text or "" for t in c.iter(f"{{{_NS['m']}}}t")) if kind == "inlineStr" else v.text if v is not None else None
-                    raw = shared[int(raw)] if kind == "s" and raw is not None else raw
-                    if raw is None and f is None:
-                        continue
-                    if (n := n + 1) > most:
-                        out.append((s.get("name"), False, "TRUNCATED", -1, -1, None, None, None))
-                        break
-                    style = styles[int(c.get("s", 0))] if styles else 0
-                    out.append((s.get("name"), s.get("state", "visible") != "visible" or row.get("hidden") == "1", ref, int(re.search(r"\d+", ref)[0]) - 1, _column(ref), raw, f.text if f is not None else None, formats.get(style)))
-                if n > most:
-                    break
-    return out
-
-
-def workbooks(files: DataFrame) -> DataFrame:
-    """Workbook files (path, content) as cells."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["path", "sheet", "hidden", "ref", "row", "col", "raw", "formula", "number_format"]
-        for f in frames:
-            for path, content in zip(f["path"], f["content"]):
-                yield pd.DataFrame([(path, *c) for c in workbook_cells(bytes(content))], columns=names)
-
-    return files.select("path", "content").mapInPandas(run, "path string, sheet string, hidden boolean, ref string, row int, col int, raw string, formula string, number_format string")
-
-
-def url_policy(url: Column) -> Column:
-    """null for a URL that may be fetched, else why not: scheme, credentials, host, port, private address."""
     scheme, host = F.lower(F.call_function("try_parse_url", url, F.lit("PROTOCOL"))), F.lower(F.call_function("try_parse_url", url, F.lit("HOST")))
     user, port = F.call_function("try_parse_url", url, F.lit("USERINFO")), F.regexp_extract(F.call_function("try_parse_url", url, F.lit("AUTHORITY")), r":(\d+)$", 1)
-    octets = F.split(host, r"\.")
-    a, b = octets.getItem(0).try_cast("int"), F.try_element_at(octets, F.lit(2)).try_cast("int")
-    private = host.rlike(r"^\d+\.\d+\.\d+\.\d+$") & (a.isin(0, 10, 127) | (a >= 224) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 100) & b.between(64, 127)))
+    numeric = host.rlike(r"(?:^|\.)(?:[0-9]+|0x[0-9a-f]*)$") | host.startswith("[")
+    private = numeric & bound(host, lambda h: address_fault(h).isNotNull())
     return (
         F.when(scheme.isNull() | ~scheme.isin("http", "https"), "SCHEME")
         .when(user.isNotNull(), "CREDENTIALS_IN_URL")
         .when(host.isNull() | (host == ""), "NO_HOST")
-        .when((host == "localhost") | host.rlike(r"\.(?:local|internal|localhost)$") | private | host.startswith("["), "PRIVATE_ADDRESS")
+        .when((host == "localhost") | host.rlike(r"\.(?:local|internal|localhost)$") | private | (~numeric & ~host.contains(".")), "PRIVATE_ADDRESS")
         .when((port != "") & ~port.isin("80", "443"), "PORT")
     )
 
