@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions import text as tx
+from docketry.functions.words import bound
 
 #: The highest score that a document with a warning can have.
 CAPS = {"UNUSABLE_TEXT_LAYER": 0.5, "OCR_FAILED": 0.7, "CONFIDENCE_NOT_CROSS_CHECKED": 0.85, "OCR_UNAVAILABLE": 0.85, "PAGES_UNREAD": 0.5}
@@ -133,10 +134,14 @@ def passage_words(text: Column) -> Column:
 def retrieve(passages: DataFrame, question: DataFrame, k: int) -> DataFrame:
     """Top k passages (id, source_id, text, boost) by hits / sqrt(words) x boost, then id; equal texts of a source count once; only scores above 0.
 
-    `question` is one row with the query's words, broadcast to all passages.
+    `question` is one row with the query's words; they go into the plan as a set. A passage's words are read once, for hits and length.
     """
-    d = passages.join(F.broadcast(question)).withColumn("t", passage_words(F.col("text")))
-    scored = d.withColumn("score", F.size(F.filter("t", lambda x: F.array_contains("q", x))) / F.sqrt(F.greatest(F.size("t"), F.lit(1))) * F.col("boost")).filter("score > 0")
+    asked = sorted({w for r in question.limit(1).collect() for w in r.q or ()})
+    if not asked:
+        return passages.select("id", F.lit(0.0).alias("score")).limit(0)
+    counts = bound(passage_words(F.col("text")), lambda t: F.struct(F.size(F.filter(t, lambda x: x.isin(*asked))).alias("hits"), F.size(t).alias("words")))
+    d = passages.withColumn("c", counts).filter("c.hits > 0")
+    scored = d.withColumn("score", F.col("c.hits") / F.sqrt(F.greatest(F.col("c.words"), F.lit(1))) * F.col("boost"))
     best = scored.groupBy("source_id", F.sha2("text", 256).alias("same")).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("id"))).alias("b"))
     return best.select(F.col("b.id").alias("id"), (-F.col("b.s")).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
@@ -145,24 +150,24 @@ def _trigrams(texts: DataFrame) -> DataFrame:
     return texts.filter(F.length("text") >= 3).select("id", F.explode(F.transform(F.sequence(F.lit(1), F.length("text") - 2), lambda i: F.substr("text", i, F.lit(3)))).alias("g")).groupBy("id", "g").agg(F.count("*").alias("n"))
 
 
-def _vectors(grams: DataFrame) -> DataFrame:
-    return grams.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("g", "n"))).alias("v"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("l"))
+def trigram_counts(texts: DataFrame) -> DataFrame:
+    """(id, g, n, l): counts of a text's character trigrams beside their norm; texts under three characters have no row."""
+    counted = _trigrams(texts)
+    return counted.join(counted.groupBy("id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("l")), "id")
 
 
-def _cosine() -> Column:
-    dot = F.aggregate(F.map_keys("a_v"), F.lit(0).cast("long"), lambda acc, g: acc + F.element_at("a_v", g) * F.coalesce(F.try_element_at(F.col("b_v"), g), F.lit(0)))
-    return F.round(dot / F.col("a_l") / F.col("b_l"), 6)
+def _products(pairs: DataFrame, a_counts: DataFrame, b_counts: DataFrame, a_id: str, b_id: str) -> DataFrame:
+    """Given distinct pairs of ids with the cosine of their counts, from 0 up: one row a pair and trigram of its first text meets the second's counts, so a pair costs the length of a text."""
+    a = a_counts.select(F.col("id").alias(a_id), "g", F.col("n").alias("_n"), F.col("l").alias("_l"))
+    b = b_counts.select(F.col("id").alias(b_id), "g", F.col("n").alias("_m"), F.col("l").alias("_k"))
+    met = pairs.select(a_id, b_id).join(a, a_id).join(b, [b_id, "g"])
+    dot = met.groupBy(a_id, b_id).agg(F.sum(F.col("_n") * F.col("_m")).alias("_dot"), F.first("_l").alias("_l"), F.first("_k").alias("_k"))
+    return dot.select(a_id, b_id, F.round(F.col("_dot") / F.col("_l") / F.col("_k"), 6).alias("cosine"))
 
 
-def trigram_vectors(texts: DataFrame) -> DataFrame:
-    """(id, v, l): counts of a text's character trigrams as a map, and their norm; texts under three characters have no row."""
-    return _vectors(_trigrams(texts))
-
-
-def with_cosine(pairs: DataFrame, a_vectors: DataFrame, b_vectors: DataFrame, a_id: str, b_id: str) -> DataFrame:
-    """Given pairs with the cosine of their trigrams; null where a text has none."""
-    side = lambda d, s, key: d.select(F.col("id").alias(key), F.col("v").alias(f"{s}_v"), F.col("l").alias(f"{s}_l"))
-    return pairs.join(side(a_vectors, "a", a_id), a_id, "left").join(side(b_vectors, "b", b_id), b_id, "left").withColumn("cosine", _cosine()).drop("a_v", "a_l", "b_v", "b_l")
+def with_cosine(pairs: DataFrame, a_counts: DataFrame, b_counts: DataFrame, a_id: str, b_id: str) -> DataFrame:
+    """Given distinct pairs with the cosine of their trigrams; null where the texts share none or have none."""
+    return pairs.join(_products(pairs, a_counts, b_counts, a_id, b_id), [a_id, b_id], "left")
 
 
 def trigram_cosine(texts: DataFrame, least: float = 0.0) -> DataFrame:
@@ -172,17 +177,15 @@ def trigram_cosine(texts: DataFrame, least: float = 0.0) -> DataFrame:
     whole, two texts whose first common trigram lies there can't reach it. So pairs are made from the parts before that place
     only, which leaves out the commonest trigrams, and each is then computed in full.
     """
-    grams = _trigrams(texts)
+    grams = trigram_counts(texts)
     square = F.col("n") * F.col("n")
-    vector = _vectors(grams)
     spread = grams.join(grams.groupBy("g").agg(F.count("*").alias("texts")), "g")
     rest = F.sum(square).over(Window.partitionBy("id").orderBy(F.desc("texts"), F.desc("g")).rowsBetween(Window.unboundedPreceding, 0))
     whole = F.sum(square).over(Window.partitionBy("id"))
     # The norm of this trigram and all commoner ones: below the bound, it can't be the first common one.
     front = spread.withColumn("keep", F.sqrt(rest / whole) >= least - 1e-9).filter("keep").select("id", "g")
     pairs = front.withColumnRenamed("id", "a_id").join(front.withColumnRenamed("id", "b_id"), "g").filter("a_id < b_id").select("a_id", "b_id").distinct()
-    a, b = (vector.select(F.col("id").alias(f"{s}_id"), F.col("v").alias(f"{s}_v"), F.col("l").alias(f"{s}_l")) for s in "ab")
-    return pairs.join(a, "a_id").join(b, "b_id").select("a_id", "b_id", _cosine().alias("cosine")).filter(F.col("cosine") >= least)
+    return _products(pairs, grams, grams, "a_id", "b_id").filter(F.col("cosine") >= least)
 
 
 def first_of_equal(rows: DataFrame, content: str, key: str) -> DataFrame:

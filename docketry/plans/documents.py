@@ -214,16 +214,21 @@ def link_scores(spark, sf_dir):
     return linking.suggest(o.filter("id % 10 <> 0"), o.filter("id % 10 = 0")).select("id", "anchor_id", "score", "relation")
 
 
-@_q("""WITH o AS (SELECT o_orderkey AS k, o_custkey AS r, o_orderdate::DATE AS d, o_orderkey%3=0 AS cut FROM orders),
- s AS (SELECT c.k AS id, a.k AS anchor_id, round(0.2*CASE WHEN a.cut=c.cut THEN 1.0 ELSE 62.0/63 END + CASE WHEN abs(a.d-c.d)<=30 THEN 0.05*(1-abs(a.d-c.d)/30.0) ELSE 0 END + 0.1 + 0.05, 4) AS score FROM o c JOIN o a ON a.r=c.r AND a.k%10=0 AND c.k%10<>0)
+@_q("""WITH o AS (SELECT o_orderkey AS k, o_custkey AS r, o_orderdate::DATE AS d, o_orderkey%3=0 AS cut, translate(md5(o_custkey::VARCHAR), '0123456789', 'ghijklmnop') AS name FROM orders),
+ t AS MATERIALIZED (SELECT k, regexp_replace(lower('Vendor: ' || CASE WHEN cut THEN name[2:] ELSE name END || chr(10) || 'sent on ' || d || chr(10) || '12 North Road, Block 7, House ' || r), '[^a-z0-9]+', ' ', 'g') AS x FROM o),
+ g AS MATERIALIZED (SELECT k, x[i:i+2] AS g, count(*) AS n FROM (SELECT k, x, unnest(range(1, length(x) - 1)) AS i FROM t) GROUP BY ALL), l AS MATERIALIZED (SELECT k, sqrt(sum(n * n)) AS l FROM g GROUP BY 1),
+ p AS MATERIALIZED (SELECT c.k AS id, a.k AS anchor_id, c.cut = a.cut AS same, abs(a.d - c.d) AS gap FROM o c JOIN o a ON a.r = c.r AND a.k % 10 = 0 AND c.k % 10 <> 0),
+ pu AS MATERIALIZED (SELECT id, anchor_id, g, n, l FROM p JOIN g ON g.k = id JOIN l ON l.k = id),
+ cos AS MATERIALIZED (SELECT id, anchor_id, round(sum(pu.n * v.n) / any_value(pu.l) / any_value(lv.l), 6) AS cosine FROM pu JOIN g v ON v.k = anchor_id AND v.g = pu.g JOIN l lv ON lv.k = anchor_id GROUP BY ALL),
+ s AS (SELECT id, anchor_id, round(0.2 * CASE WHEN same THEN 1.0 ELSE 62.0/63 END + CASE WHEN gap <= 30 THEN 0.05 * (1 - gap / 30.0) ELSE 0 END + 0.1 + 0.05 + CASE WHEN cosine >= 0.6 THEN 0.1 * cosine ELSE 0 END, 4) AS score FROM p JOIN cos USING (id, anchor_id))
 SELECT id, arg_min(anchor_id, (-score*1e4)::BIGINT*100000000+anchor_id) AS anchor_id, max(score) AS score, 'same_party' AS relation FROM s WHERE score>=0.35 GROUP BY id""")
 def link_suggestions(spark, sf_dir):
-    """Letters about orders without any reference, linked by features read from their texts: a vendor's name that some letters cut short, date, address and sender; tests add the texts' cosine."""
+    """Letters about orders without any reference, linked by features read from their texts: a vendor's name that some letters cut short, date, address, sender and the cosine of the texts."""
     k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
     name = F.translate(F.md5(c), "0123456789", "ghijklmnop")
     letter = F.concat(F.lit("Vendor: "), F.when(k % 3 == 0, F.substring(name, 2, 99)).otherwise(name), F.lit("\nsent on "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("\n12 North Road, Block 7, House "), c)
     letters = table(spark, sf_dir, "orders").select(k.alias("id"), letter.alias("text"), F.concat(F.lit("post@d"), c, F.lit(".example")).alias("sender"))
-    f = linking.features(letters).withColumn("text", F.lit(None).cast("string"))
+    f = linking.features(letters)
     return linking.suggest(f.filter("id % 10 <> 0"), f.filter("id % 10 = 0")).select("id", "anchor_id", "score", "relation")
 
 
