@@ -22,9 +22,19 @@ def carry_forward(lines: DataFrame, columns: list[str], by: str = "source_id") -
     return lines.withColumns({f"{c}_ctx": F.last(c, ignorenulls=True).over(w) for c in columns})
 
 
+def with_optional(lines: DataFrame) -> DataFrame:
+    """Lines with the columns that they may lack: header and siblings of a table's cell, label and raw_value given apart, locked, masked."""
+    kinds = {"header": "string", "siblings": "int", "label": "string", "raw_value": "string", "locked": "boolean", "masked": "boolean"}
+    return lines.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items() if c not in lines.columns})
+
+
 def parsed_lines(lines: DataFrame) -> DataFrame:
-    """Label, value and context of each line; lines that look like instructions are quarantined."""
-    d = lines.withColumn("lv", text.split_label_value(F.col("text"))).withColumn("label", F.col("lv.label")).withColumn("raw_value", F.col("lv.value"))
+    """Label, value and context of each line; lines that look like instructions are quarantined, locked and masked ones left out.
+
+    A line may bring its label and raw value, as cells of tables do; else its text is parted.
+    """
+    d = unlocked(with_optional(lines)).withColumn("lv", text.split_label_value(F.col("text")))
+    d = d.withColumn("mark", F.when(F.col("label").isNull(), F.col("lv.mark")).otherwise("cell")).withColumn("label", F.coalesce("label", "lv.label")).withColumn("raw_value", F.coalesce("raw_value", "lv.value"))
     d = d.withColumn("quarantined", F.size(security.injection_hits(F.col("text"))) > 0)
     d = d.withColumn("subject", F.when(text.is_subject_label(F.col("label")) & ~F.col("quarantined"), text.normalize_subject(F.col("raw_value"))))
     period = F.lower("label").rlike("period|month of|for the (?:month|quarter|year)")
@@ -32,35 +42,53 @@ def parsed_lines(lines: DataFrame) -> DataFrame:
     return carry_forward(d.withColumn("period_start", F.col("p.start")).withColumn("period_end", F.col("p.end")), ["subject", "period_start", "period_end"]).drop("lv", "p")
 
 
-def fact_worthy(label: Column, value: Column) -> Column:
-    """A label that names a measure, and a value that is one."""
-    return text.label_ok(label) & text.label_names_measure(label) & value.isNotNull()
+def fact_worthy(label: Column, v: Column, header: Column, siblings: Column, mark: Column, subject: Column) -> Column:
+    """A label that names a measure, and one sign that its value is meant: a currency, unit or percent of its own; a period in label or header; a header
+    that names a measure; no other value in its row; a colon; or a subject that was named before.
+    """
+    own = v["currency"].isNotNull() | (v["mark"] != "") | v["unit"].isNotNull() | v["percent"]
+    periodic = lambda c: dates.find_period(c)["start"].isNotNull()
+    signs = (own, periodic(label), periodic(header), text.label_names_measure(header), siblings == 1, mark == "colon", subject.isNotNull() & (mark != "cell"))
+    meant = F.lit(False)
+    for sign in signs:
+        meant |= F.coalesce(sign, F.lit(False))
+    return text.label_ok(label) & text.label_names_measure(label) & v["value"].isNotNull() & meant
 
 
 def candidates(lines: DataFrame) -> DataFrame:
     """One row per line with a reason: accepted, or why it is no fact."""
     d = parsed_lines(lines).withColumn("v", numbers.parse_value(F.col("raw_value")))
+    worthy = fact_worthy(F.col("label"), F.col("v"), F.col("header"), F.col("siblings"), F.col("mark"), F.col("subject_ctx"))
     reason = (
         F.when(F.col("quarantined"), "injected")
         .when(F.col("label").isNull(), "no_label")
         .when(text.is_subject_label(F.col("label")) | (F.col("subject").isNotNull()), "context")
         .when(text.label_is_identifier(F.col("label")) | text.label_is_sensitive(F.col("label")), "identifier")
         .when(F.col("v").isNull(), "not_a_value")
-        .when(~fact_worthy(F.col("label"), F.col("v.value")), "not_a_measure")
+        .when(~worthy, "not_a_measure")
         .otherwise("accepted")
     )
     return d.withColumn("reason", reason)
 
 
-def facts(lines: DataFrame, synonyms: dict[str, str] | None = None) -> DataFrame:
-    """Accepted candidates as facts, one per id; the id hashes source, place, metric, value and label."""
+def facts(lines: DataFrame, synonyms: dict[str, str] | None = None, categories: dict[str, str] | None = None) -> DataFrame:
+    """Accepted candidates as facts, one per id; the id hashes source, place, metric, value and label.
+
+    What a header says beside frequency, basis and dates is part of the metric. A currency may come from a code in label or
+    header, a frequency or basis from value, label or header, in this order. `categories` maps metrics to categories.
+    """
     d = candidates(lines).filter("reason = 'accepted'")
+    d = d.withColumn("metric", text.canonical_metric(F.trim(F.concat_ws(" ", "label", text.header_leftover(F.col("header"), numbers.CODES))), synonyms))
     penalty = lambda cond, name: F.when(cond, PENALTIES[name]).otherwise(1.0)
+    v, codes = F.col("v"), numbers.codes_in(F.concat_ws(" ", "label", "header"))
+    category = F.create_map(*(F.lit(x) for kv in categories.items() for x in kv))[F.col("metric")] if categories else F.lit(None).cast("string")
+    basis = text.basis_of(F.col("label"))
     out = d.select(
         "source_id", *ORDER, "label", "raw_value",
-        F.col("subject_ctx").alias("subject"), text.canonical_metric(F.col("label"), synonyms).alias("metric"), F.col("v.value").alias("value"), F.col("v.currency").alias("currency"), F.col("v.unit").alias("unit"),
-        text.frequency_of(F.col("label")).alias("frequency"), text.basis_of(F.col("label")).alias("basis"), F.col("period_start_ctx").alias("period_start"), F.col("period_end_ctx").alias("period_end"),
-        F.round(penalty(F.col("v.approx"), "approx") * penalty(F.col("v.assumed"), "locale") * penalty(F.col("subject_ctx").isNotNull() & F.col("subject").isNull(), "inherited") * penalty(F.col("v.is_range"), "range"), 4).alias("confidence"),
+        F.col("subject_ctx").alias("subject"), "metric", v.value.alias("value"), numbers.context_currency(v.currency, v.mark, ~v.percent & v.unit.isNull(), codes).alias("currency"), v.unit.alias("unit"), category.alias("category"),
+        F.coalesce(text.frequency_of(F.col("raw_value")), text.frequency_of(F.col("label")), text.frequency_of(F.col("header"))).alias("frequency"),
+        F.when((basis == "unknown") & F.col("header").isNotNull(), text.basis_of(F.col("header"))).otherwise(basis).alias("basis"), F.col("period_start_ctx").alias("period_start"), F.col("period_end_ctx").alias("period_end"),
+        F.round(penalty(v.approx, "approx") * penalty(v.assumed, "locale") * penalty(F.col("subject_ctx").isNotNull() & F.col("subject").isNull(), "inherited") * penalty(v.is_range, "range"), 4).alias("confidence"),
         F.col("text").alias("excerpt"),
     )
     keyed = out.withColumn("fact_id", F.substring(F.sha2(F.concat_ws("|", "source_id", "page", "ro", "line_no", "metric", "raw_value", "label"), 256), 1, 32))
