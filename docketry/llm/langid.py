@@ -58,14 +58,16 @@ def pieces_of(raw: bytes, share: int, seed: int) -> bytes:
 def learn_dictionaries(documents: DataFrame, texts: int = TEXTS) -> dict[str, bytes]:
     """lang -> raw dictionary, from at most `texts` documents a language that are not held out (crc32 of the id mod 4 is not 2).
 
-    A first pass over (doc_id, lang) alone counts the languages; a hash threshold per language then thins the rows, so what is
-    sorted is bounded by languages x texts. Whole texts are read; the driver gets DICTIONARY_BYTES a language.
+    A first pass counts the languages; a hash threshold per language, broadcast with one row a language as the dictionaries are
+    later, then thins the rows, so what is sorted is bounded by languages x texts. Whole texts are read; the driver gets
+    DICTIONARY_BYTES a language.
     """
     usable = documents.filter(~held_out(4, 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    h = F.xxhash64(F.col("doc_id").cast("string"), F.lit(40013))
+    # By id and text, so that the several texts of an id are told apart and each run picks the same ones.
+    h = F.xxhash64(F.col("doc_id").cast("string"), F.col("text"), F.lit(40013))
     share = usable.groupBy("lang").agg(F.count("*").alias("n")).select("lang", F.least(F.lit(1.0), F.lit(2.0 * texts + 64) / F.col("n")).alias("share"))
-    thin = usable.select("doc_id", "lang", "text", h.alias("h")).join(share, "lang").filter(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30))
-    first = thin.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("k") <= texts)
+    thin = usable.select("doc_id", "lang", "text", h.alias("h")).join(F.broadcast(share), "lang").filter(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    first = thin.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))).filter(F.col("k") <= texts)
     first = settled(first.select("lang", "k", "text"), "lang-texts")
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:

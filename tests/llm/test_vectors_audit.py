@@ -1,12 +1,13 @@
 """Operators 11 to 13 against their brute force in DuckDB, on hostile rows and with several blocks, shards and segments."""
 
+import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
 
-from docketry.llm import centroids, filteraudit, maxscore
+from docketry.llm import centroids, decontam, filteraudit, langid, maxscore
 
 VECTORS = "vec_id long, embedding array<float>, label int, cluster int, q string, code string, score double, rank int, row long"
 
@@ -115,3 +116,19 @@ def test_audit_of_other_filters(spark):
     assert (got["xy", 1].removed, got["xy", 1].kept, got["xy", 2].removed, got["xy", 2].redundant) == (5, 4, 0, 2)
     assert (got["yx", 1].removed, got["yx", 2].removed, got["yx", 2].redundant, got["yx", 2].unique_fails, got["yx", 1].toxic_lost) == (2, 3, 2, 3, 2)
     assert got["xy", 1].shapley == 8 and got["xy", 2].shapley == 2
+
+
+def test_short_items_inside_long_documents(spark):
+    docs = spark.createDataFrame([(1, "the quick brown fox jumps over it"), (2, "Quick brown fox"), (3, "quick fox"), (4, "word " * 40 + "alone"), (5, None), (6, "a b c d e f g h")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "quick brown fox"), (2, "ALONE"), (3, "b c d e f"), (4, "fox quick"), (5, "")], "item_id long, text string")
+    got = Counter((r.doc_id, r.item_id, r.n_shingles, r.n_found) for r in decontam.leaks(docs, items).collect())
+    assert got == {(1, 1, 1, 1): 1, (2, 1, 1, 1): 1, (4, 2, 1, 1): 1, (6, 3, 1, 1): 1}
+    assert got == brute(f"SELECT doc_id, item_id, n_shingles, n_found FROM ({decontam.ORACLE})", documents=docs, benchmark=items)
+    assert decontam.short_lengths(items) == (1, 2, 3) and decontam.without_leaks(docs, items).count() == 2
+
+
+def test_dictionaries_do_not_depend_on_partitions(spark):
+    rows = [(next(i for i in range(9) if zlib.crc32(str(i).encode()) % 4 != 2), f"text number {i} of one id " + " ".join(f"w{(i * k) % 97}" for k in range(30)), "en") for i in range(900)] + [(i, f"another {i}", "en") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    made = [langid.learn_dictionaries(docs.repartition(n, *by)) for n, by in ((1, ()), (3, ()), (5, ("text",)))]
+    assert made[0] == made[1] == made[2] and len(made[0]["en"]) > 1000
