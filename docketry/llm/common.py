@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,13 +62,26 @@ def bounded_sample(df: DataFrame, key: Column, rows: int = SAMPLE_ROWS) -> DataF
     return df.orderBy(h, key).limit(rows)
 
 
-def by_batch(df: DataFrame, work, schema: str, rows: int = 1000) -> DataFrame:
-    """mapInArrow with `work(batch) -> dict of columns` on slices of at most `rows` rows, so that memory doesn't follow the batch size."""
+def slice_lengths(batch: pa.RecordBatch, rows: int, most_bytes: int) -> Iterator[int]:
+    """Lengths of consecutive slices of `batch`: at most `rows` rows and `most_bytes` of texts and blobs each, one row at least."""
+    texts = [c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type)]
+    ends = np.cumsum(sum((pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in texts), np.zeros(batch.num_rows, np.int64)))
+    at = 0
+    while at < batch.num_rows:
+        fits = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most_bytes, "right")) - at
+        yield (n := min(rows, max(1, fits), batch.num_rows - at))
+        at += n
+
+
+def by_batch(df: DataFrame, work, schema: str, rows: int = 1000, most_bytes: int | None = None) -> DataFrame:
+    """mapInArrow with `work(batch) -> dict of columns` on slices of at most `rows` rows, and of `most_bytes` where given, so that memory doesn't follow the batch size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                yield work(batch.slice(at, rows))
+            at = 0
+            for n in slice_lengths(batch, rows, most_bytes) if most_bytes else (rows for _ in range(0, batch.num_rows, rows)):
+                yield work(batch.slice(at, n))
+                at += n
 
     return df.mapInArrow(run, schema)
 

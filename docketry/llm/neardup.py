@@ -254,7 +254,7 @@ def confirmed_links(documents: DataFrame, classes: DataFrame, groups: DataFrame,
 
     sets = by_batch(texts, cut, "rep long, set binary", rows=200)
     if repeats:
-        sets = sets.groupBy("rep").agg(F.collect_set("set").alias("sets")).select("rep", F.explode("sets").alias("set"))
+        sets = sets.dropDuplicates(["rep", "set"])
     return sets.join(placed, "rep").select("rep", "set", "block", "bag").groupBy("bag").applyInArrow(link, "a long, b long").filter("a <> b")
 
 

@@ -37,7 +37,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tsmedia.media_digest(tsmedia.with_media(_table(spark, sf_dir, "documents"))).drop("access_points")
+    return tsmedia.media_digest(tsmedia.with_media(_table(spark, sf_dir, "documents")))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

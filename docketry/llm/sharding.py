@@ -5,8 +5,8 @@ Fisher-Yates and writes it. The place of a record in the whole shuffle is its bu
 shards are dealt round robin along that order, so their counts differ by one at most (law `rows`) and slots are gapless.
 
 Null ids and null texts are records like any other. Rows that agree in id and text are interchangeable; where more than
-HOT_ROWS of them share a key, they are numbered and scattered by their numbers too, so no bucket holds them all. An empty table
-gives an empty result. The same rows give the same shards on each run, whatever their order or partitioning. Columns whose
+HOT_ROWS of them, or HOT_BYTES, share a key, they are numbered and scattered by their numbers too, so no bucket holds them all.
+An empty table gives an empty result. The same rows give the same shards on each run, whatever their order or partitioning. Columns whose
 names clash with the added ones are replaced.
 """
 
@@ -26,8 +26,8 @@ from docketry.llm.common import boxed, settled, shared_folder
 SHARDS, SEED, BUCKET_BYTES = 16, 17, 16_000_000
 #: Buckets up to which the table of offsets (24 bytes a row) is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_BUCKETS = 1_000_000
-#: Rows of one key that stay together.
-HOT_ROWS = 1_000
+#: Rows of one key that stay together, and their bytes.
+HOT_ROWS, HOT_BYTES = 1_000, BUCKET_BYTES // 4
 _ADDED = ("size", "text_crc32", "law", "shard", "slot", "grown_shard", "position")
 
 
@@ -45,12 +45,14 @@ def row_bytes(df: DataFrame) -> Column:
 
 
 def scattered(keyed: DataFrame) -> DataFrame:
-    """`keyed` (row, key, bytes) with the key changed for the rows of a hot key: groups of HOT_ROWS of them get keys of their own.
+    """`keyed` (row, key, bytes) with the key changed for the rows of a hot key: groups of them that hold at most HOT_ROWS rows and
+    HOT_BYTES (one row at least) get keys of their own.
 
     Rows of a hot key are numbered by partition and place in it, through the counts of the partitions; which of the equal rows
-    gets which number doesn't show.
+    gets which number doesn't show. How many stay together follows from the key's widest row, so it is the same in any order.
     """
-    hot = settled(keyed.groupBy("key").agg(F.count("*").alias("rows")).filter(F.col("rows") > HOT_ROWS).select("key"), "shard-keys")
+    together = F.greatest(F.lit(1), F.least(F.lit(HOT_ROWS), F.floor(F.lit(HOT_BYTES) / F.max("bytes")))).cast("long")
+    hot = settled(keyed.groupBy("key").agg(F.count("*").alias("rows"), together.alias("together")).filter("rows > together").select("key", "together"), "shard-keys")
     found = hot.count()
     if not found:
         return keyed
@@ -60,7 +62,7 @@ def scattered(keyed: DataFrame) -> DataFrame:
     before = F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     places = part.groupBy("key", "part").agg(F.count("*").alias("n")).select("key", "part", before.alias("before"))
     number = F.col("before") + F.row_number().over(Window.partitionBy("key", "part").orderBy("nth")) - 1
-    spread = part.join(places, ["key", "part"]).withColumn("number", number).select("row", F.xxhash64("key", F.floor(F.col("number") / HOT_ROWS)).alias("key"), "bytes")
+    spread = part.join(places, ["key", "part"]).withColumn("number", number).select("row", F.xxhash64("key", F.floor(F.col("number") / F.col("together"))).alias("key"), "bytes")
     return keyed.join(hot, "key", "left_anti").select("row", "key", "bytes").unionByName(spread)
 
 

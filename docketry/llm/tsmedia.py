@@ -30,6 +30,8 @@ PACKET, SYNC, PAT_PID, NULL_PID = 188, 0x47, 0x0000, 0x1FFF
 PRIVATE_DATA_TYPE, PRIVATE_STREAM_ID = 0x06, 0xBD
 #: This writer's choices.
 PMT_PID, DATA_PID, PROGRAM, UNIT_BYTES, UNIT_TICKS = 0x0100, 0x0101, 1, 32_768, 3_600
+#: Texts or streams that a task holds beside its batch, in bytes; a longer one is held alone.
+SLICE_BYTES = 8_000_000
 
 
 def _crc_table() -> list[int]:
@@ -257,7 +259,7 @@ def with_media(documents: DataFrame) -> DataFrame:
         got = [payload_of(t) for t in batch.column("text").to_pylist()]
         return pa.record_batch([batch.column("doc_id"), pa.array([n for n, _ in got], pa.int64()), pa.array([write_stream(p) for _, p in got], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return by_batch(documents.select("doc_id", "text"), work, "doc_id long, n_bytes long, media binary", rows=256)
+    return by_batch(documents.select("doc_id", "text"), work, "doc_id long, n_bytes long, media binary", rows=256, most_bytes=SLICE_BYTES)
 
 
 def media_digest(media: DataFrame) -> DataFrame:
@@ -274,4 +276,4 @@ def media_digest(media: DataFrame) -> DataFrame:
         return pa.record_batch([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", "n_bytes", *names])
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, access_points array<struct<packet:long,pts:long>>"
-    return by_batch(media, work, schema, rows=256)
+    return by_batch(media, work, schema, rows=256, most_bytes=SLICE_BYTES)

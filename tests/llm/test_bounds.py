@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from docketry.llm import common, decontam, graph, htmltree, langid, mixing, neardup, ngramlm, quality, sharding, toxicity, tsmedia
@@ -270,6 +271,32 @@ def test_rows_without_end_that_are_equal(spark, monkeypatch, null_id):
     assert all(r.taken <= 2 * r["size"] for r in got)
 
 
+def test_heavy_rows_that_are_equal(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "HOT_BYTES", 50_000)
+    rows = [(7, "x" * 20_000)] * 40 + [(8, "y" * 70_000)] * 3 + [(100 + i, f"other {i}") for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    spread = sharding.scattered(common.boxed(d, key=sharding.F.xxhash64("doc_id", "text"), bytes=sharding.row_bytes(d)))
+    sizes = sorted(r["n"] for r in spread.groupBy("key").agg({"bytes": "sum"}).toDF("key", "n").collect())
+    assert len(sizes) == 20 + 3 + 60 and sizes[-4] <= 50_000 < sizes[-3]
+    digest = lambda x: Counter((r.doc_id, r.text_crc32, r.shard, r.slot) for r in x.collect())
+    assert digest(sharding.sharded_documents(d)) == digest(sharding.sharded_documents(d.repartition(3)))
+
+
+def test_slices_by_bytes():
+    lengths = [5, 0, 900, 3, 3, 3, 2000, 1, None]
+    batch = pa.record_batch([pa.array(["é" * (n // 2) + "a" * (n % 2) if n is not None else None for n in lengths]), pa.array(range(9))], names=["text", "n"])
+    assert list(common.slice_lengths(batch, 3, 1000)) == [3, 3, 1, 2]
+    assert list(common.slice_lengths(batch, 100, 10)) == [2, 1, 3, 1, 2] and list(common.slice_lengths(batch.slice(0, 0), 3, 10)) == []
+    assert list(common.slice_lengths(batch.slice(6), 100, 10)) == [1, 2]
+
+
+def test_an_id_with_very_many_texts(spark):
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(12))
+    d = spark.createDataFrame([(1, text(i)) for i in range(400)] + [(1, text(0))] * 200 + [(2, text(399)), (3, text(1000))], "doc_id long, text string")
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(d).collect())
+    assert got == {(1, 1, True): 600, (2, 1, False): 1, (3, 3, True): 1}
+
+
 def test_very_many_sources(spark):
     d = spark.range(6000).selectExpr("id as doc_id", "repeat('w ', 40) as text", "cast(id as string) as source")
     got = mixing.mix(d, 16).agg({"taken": "sum", "target": "sum", "*": "count"}).first()
