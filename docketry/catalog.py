@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("docketry.plans.reconcile", "docketry.plans.scalars", "docketry.plans.cases", "docketry.plans.governance", "docketry.plans.documents", "docketry.plans.commits", "docketry.plans.grids", "docketry.plans.pages")
+MODULES: tuple[str, ...] = ("docketry.plans.reconcile", "docketry.plans.scalars", "docketry.plans.cases", "docketry.plans.governance", "docketry.plans.documents", "docketry.plans.commits", "docketry.plans.grids", "docketry.plans.pages", "docketry.plans.rulings")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import hmac
 
 from pyspark.sql import Column
@@ -178,6 +179,13 @@ def unseal(sealed: Column, key: Column, aad: Column) -> Column:
     return F.try_aes_decrypt(sealed, key, F.lit("GCM"), F.lit("DEFAULT"), aad)
 
 
+def signed(message: Column, key: bytes) -> Column:
+    """HMAC-SHA256 of each row's text as hex, in expressions. The plan holds two padded blocks that the key is read back from: show no plans of it."""
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in block)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)
+
+
 def sign(message: str, key: bytes) -> str:
     return hmac.new(key, message.encode(), "sha256").hexdigest()
 

@@ -12,6 +12,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketry.functions.security import signed
 from docketry.operators.fold import scanned
 
 GENESIS, CHECKPOINT_EVERY, PAGE = "0" * 64, 1000, 500
@@ -67,6 +68,22 @@ def checkpoints(ledger: DataFrame, every: int = CHECKPOINT_EVERY) -> DataFrame:
     return ledger.filter(F.col("seq") % every == 0).select("tenant", "seq", "hash")
 
 
+def signed_checkpoints(ledger: DataFrame, key: bytes, every: int = CHECKPOINT_EVERY) -> DataFrame:
+    """Checkpoints (tenant, seq, hash) with a signature over all three."""
+    return checkpoints(ledger, every).withColumn("signature", _signature(key))
+
+
+def _signature(key: bytes) -> Column:
+    return signed(F.concat_ws("|", "tenant", F.col("seq").cast("string"), "hash"), key)
+
+
+def checkpoint_faults(ledger: DataFrame, signed_rows: DataFrame, key: bytes) -> DataFrame:
+    """Each signed checkpoint with its fault: signature (not made by the key), lost (the ledger has no such row), hash (the row has another hash), or null."""
+    rows = ledger.select("tenant", "seq", F.col("hash").alias("_hash"))
+    fault = F.when(~F.col("signature").eqNullSafe(_signature(key)), "signature").when(F.col("_hash").isNull(), "lost").when(F.col("_hash") != F.col("hash"), "hash")
+    return signed_rows.join(rows, ["tenant", "seq"], "left").withColumn("fault", fault).drop("_hash")
+
+
 def latched(runs: DataFrame) -> DataFrame:
     """Verification runs with a state that stays invalid once a run was."""
     w = Window.partitionBy("tenant").orderBy("run").rowsBetween(Window.unboundedPreceding, 0)

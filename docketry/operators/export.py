@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +13,8 @@ from docketry.functions.security import check_signature, csv_safe, mask_sensitiv
 from docketry.functions.text import escape_html, escape_markdown
 
 ROWS, LINK_TTL_S = 200_000, 900
+#: Columns and fields that name evidence, left out of exports that are not to carry it.
+EVIDENCE = ("evidence", "excerpt", "bbox")
 RENDERERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
 
@@ -46,10 +48,45 @@ def long_form(df: DataFrame, key: str) -> DataFrame:
     return df.select(key, F.explode(pairs).alias("p")).select(key, "p.field", "p.value").filter("value IS NOT NULL")
 
 
-def prepared(df: DataFrame, locked: list[str], masked: list[str], rows: int = ROWS) -> DataFrame:
-    """Locked columns dropped, sensitive ones masked, the export's row limit applied: the feature's own limit for one synchronous export."""
+def row_tables(items: DataFrame, key: str, rows: str) -> DataFrame:
+    """Cells (key, row, place, column, value) of the tables that a JSON text column holds as lists of objects, ragged ones too.
+
+    A table's columns are all that any of its objects has, in the order in which they first come; an object without one gives an
+    empty text there, as a null does; what is nested is a JSON text. Texts that are no such list have no cells.
+    """
+    objects = F.from_json(F.col(rows), "array<map<string,string>>")
+    cells = items.select(F.col(key), F.posexplode(objects).alias("row", "o")).select(key, "row", F.posexplode_outer("o").alias("_at", "column", "value"))
+    first = cells.filter("column IS NOT NULL").groupBy(key, "column").agg(F.min(F.struct("row", "_at")).alias("_first"))
+    columns = first.select(key, "column", (F.row_number().over(Window.partitionBy(key).orderBy("_first")) - 1).alias("place"))
+    grid = cells.select(key, "row").distinct().join(columns, key)
+    return grid.join(cells.select(key, "row", "column", "value"), [key, "row", "column"], "left").select(key, "row", "place", "column", F.coalesce("value", F.lit("")).alias("value"))
+
+
+def without_evidence(df: DataFrame, evidence: tuple[str, ...] = EVIDENCE) -> DataFrame:
+    """The frame without its evidence columns, and without the evidence fields of its structs at any depth."""
+
+    def kept(c: Column, t: T.DataType) -> Column:
+        if isinstance(t, T.StructType):
+            fields = [kept(c[f.name], f.dataType).alias(f.name) for f in t.fields if f.name not in evidence]
+            return F.when(c.isNotNull(), F.struct(*fields)) if fields else F.lit(None)
+        if isinstance(t, T.ArrayType) and isinstance(t.elementType, (T.StructType, T.ArrayType)):
+            return F.transform(c, lambda x: kept(x, t.elementType))
+        return c
+
+    return df.select(*(kept(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields if f.name not in evidence))
+
+
+def prepared(df: DataFrame, locked: list[str], masked: list[str], rows: int | None = ROWS, key: str | None = None) -> DataFrame:
+    """Locked columns dropped, sensitive ones masked, the export's row limit applied: the first `rows` in the order of `key`, or of all columns. None exports all rows."""
     out = df.drop(*locked)
-    return out.withColumns({c: mask_sensitive(F.col(c)) for c in masked if c in out.columns}).limit(rows)
+    out = out.withColumns({c: mask_sensitive(F.col(c)) for c in masked if c in out.columns})
+    return out if rows is None else out.orderBy(*([key] if key else out.columns)).limit(rows)
+
+
+def content_digest(lines: DataFrame) -> DataFrame:
+    """One row of a rendered export: its lines and a digest that is the same in any order of rows or partitions, to check a download against."""
+    part = lambda i: F.conv(F.substring(F.sha2("line", 256), 15 * i + 1, 15), 16, 10).cast("decimal(38,0)")
+    return lines.agg(F.count("*").alias("n_lines"), F.sha2(F.concat_ws("|", F.count("*").cast("string"), *(F.coalesce(F.sum(part(i)), F.lit(0)).cast("string") for i in range(4))), 256).alias("digest"))
 
 
 def _joined(df: DataFrame, cell: Callable[[Column], Column], sep: str, left: str = "", right: str = "") -> DataFrame:

@@ -13,9 +13,11 @@ import uuid
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException, ParseException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docketry.functions import security
+
 MAX_SQL, ROW_CAP, CONFIRM_ROWS, MAX_GRANT_HOURS = 8000, 1000, 10_000, 720
 #: Plan nodes and functions that a governed query may use.
 _NODES = frozenset("Project Filter Aggregate Join Sort GlobalLimit LocalLimit LimitAll Distinct SubqueryAlias UnresolvedRelation UnresolvedWith UnresolvedHaving UnresolvedSubqueryColumnAliases WithWindowDefinition Offset OneRowRelation".split())
@@ -309,16 +311,86 @@ def expiring(grants: DataFrame, now: str) -> DataFrame:
     return grants.withColumn("swept", due).withColumn("status", F.when(due, "expired").otherwise(F.col("status")))
 
 
+def _first_that_counts(decisions: DataFrame, outcome: Column, counts: tuple[str, ...] = ("approved", "rejected")) -> DataFrame:
+    """Decisions with `outcome`: what comes after the first of a request that counts, in the order of (decided_at, decider), is already_decided."""
+    before = Window.partitionBy("request_id").orderBy("decided_at", "decider").rowsBetween(Window.unboundedPreceding, -1)
+    d = decisions.withColumn("_alone", outcome)
+    valid = F.col("_alone").isin(*counts)
+    taken = F.coalesce(F.max(valid.cast("int")).over(before), F.lit(0)) == 1
+    # Who may not decide at all learns nothing of the request's state.
+    hidden = F.col("_alone").isin("self_decision", "not_admin", "not_found")
+    return d.withColumn("outcome", F.when(taken & ~hidden, "already_decided").otherwise(F.col("_alone"))).drop("_alone")
+
+
+def _or(df: DataFrame, column: str, default: Column) -> Column:
+    return F.col(column) if column in df.columns else default
+
+
 def decided_requests(requests: DataFrame, now: str) -> DataFrame:
-    """Outcome of each decision on an access request: own requests, ended or too long grants, and repeats are refused."""
-    first = F.row_number().over(Window.partitionBy("request_id").orderBy("decided_at", "decider")) == 1
+    """Outcome of each decision on an access request: own requests, those of others than admins, rejections without notes, and ended, endless or too long grants are refused.
+
+    So is each decision after the first that counts; a refused one decides nothing. `decision` (approve or reject; approve where
+    the column is absent) and `notes` are optional columns.
+    """
     until, t = F.col("valid_until"), F.lit(now).cast("timestamp")
+    verb, notes = _or(requests, "decision", F.lit("approve")), _or(requests, "notes", F.lit(None).cast("string"))
     outcome = (
         F.when(F.col("decider") == F.col("user_id"), "self_decision")
-        .when(~F.col("decider_admin"), "not_admin")
-        .when(~first, "already_decided")
+        .when(~F.coalesce("decider_admin", F.lit(False)), "not_admin")
+        .when(~F.coalesce(verb.isin("approve", "reject"), F.lit(False)), "unknown_decision")
+        .when((verb == "reject") & (F.trim(F.coalesce(notes, F.lit(""))) == ""), "notes_missing")
+        .when(verb == "reject", "rejected")
+        .when(until.isNull(), "no_end")
         .when(until <= t, "ends_in_the_past")
         .when(until > t + F.expr(f"INTERVAL {MAX_GRANT_HOURS} HOURS"), "too_long")
         .otherwise("approved")
     )
-    return requests.withColumn("outcome", outcome)
+    return _first_that_counts(requests, outcome)
+
+
+def _grant_text() -> Column:
+    until = F.date_format("valid_until", "yyyy-MM-dd'T'HH:mm:ss")
+    return F.concat_ws("|", F.col("request_id").cast("string"), "user_id", "table_name", F.array_join(F.array_sort("columns"), ","), until, "decider")
+
+
+def signed_grants(decided: DataFrame, key: bytes) -> DataFrame:
+    """A grant for each approved decision: request, user, table, columns, end and decider, and a signature over them."""
+    d = decided.filter("outcome = 'approved'").select("request_id", "user_id", "table_name", "columns", "valid_until", "decider")
+    return d.withColumn("signature", security.signed(_grant_text(), key))
+
+
+def grant_states(grants: DataFrame, key: bytes, now: str) -> DataFrame:
+    """Grants with what they are worth at `now`: forged (any signed part was changed), revoked (where that column is given), expired or valid."""
+    state = (
+        F.when(~F.col("signature").eqNullSafe(security.signed(_grant_text(), key)), "forged")
+        .when(F.coalesce(_or(grants, "revoked", F.lit(False)), F.lit(False)), "revoked")
+        .when(F.coalesce(F.col("valid_until") <= F.lit(now).cast("timestamp"), F.lit(True)), "expired")
+        .otherwise("valid")
+    )
+    return grants.withColumn("state", state)
+
+
+def decided_document_requests(decisions: DataFrame, requests: DataFrame) -> DataFrame:
+    """Outcome of each decision (request_id, tenant_id, decider, decider_admin, decision, decided_at) on document requests (request_id, tenant_id, user_id, source_id, status).
+
+    A request of another tenant looks missing; one that isn't pending, or that an earlier decision ended, is already decided.
+    """
+    mine = requests.select("request_id", "tenant_id", "user_id", "source_id", "status")
+    d = decisions.join(mine, ["request_id", "tenant_id"], "left")
+    verb = F.col("decision")
+    outcome = (
+        F.when(~F.coalesce("decider_admin", F.lit(False)), "not_admin")
+        .when(~F.coalesce(verb.isin("approve", "reject"), F.lit(False)), "unknown_decision")
+        .when(F.col("status").isNull(), "not_found")
+        .when(F.col("status") != "pending", "already_decided")
+        .otherwise(F.when(verb == "approve", "approved").otherwise("rejected"))
+    )
+    return _first_that_counts(d, outcome).drop("status")
+
+
+def listed_documents(sources: DataFrame, grants: DataFrame, user: str, tenant: str, admin: bool) -> DataFrame:
+    """The tenant's accepted documents, newest first, with `has_access`: public, held by a grant of the user, or all for an admin. Documents without access are listed, so that they can be asked for."""
+    held = grants.filter((F.col("user_id") == user) & (F.col("tenant_id") == tenant)).select("source_id").distinct().withColumn("_held", F.lit(True))
+    s = sources.filter((F.col("tenant_id") == tenant) & (F.col("status") == "accepted"))
+    access = F.lit(True) if admin else (F.coalesce(F.col("visibility") == "public", F.lit(False)) | F.coalesce("_held", F.lit(False)))
+    return s.join(held, "source_id", "left").select("source_id", "filename", "created_at", "visibility", access.alias("has_access")).orderBy(F.desc("created_at"), F.lower("filename").desc(), "source_id")

@@ -96,10 +96,11 @@ def axis_fit(points: DataFrame) -> DataFrame:
 
 
 def describe_series(points: DataFrame) -> DataFrame:
-    """Per chart: the categories of the largest and the smallest value (the first category wins ties) and the change from first to last."""
+    """Per chart: the categories of the largest and the smallest value (the first category wins ties) and the change from first to last, of the first value's size; null values are no points, and nothing changes by a share of zero."""
+    points = points.filter("value IS NOT NULL")
     first, last = F.min_by("value", "category"), F.max_by("value", "category")
     top, low = F.min(F.struct((-F.col("value")).alias("v"), "category")), F.min(F.struct("value", "category"))
-    return points.groupBy("chart_id").agg(top["category"].alias("top"), low["category"].alias("low"), F.round((last - first) / first * 100, 4).alias("change_percent"))
+    return points.groupBy("chart_id").agg(top["category"].alias("top"), low["category"].alias("low"), F.round(F.try_divide(last - first, F.abs(first)) * 100, 4).alias("change_percent"))
 
 
 def weighted_mean(df: DataFrame, key: str, value: str, weight: str) -> DataFrame:

@@ -265,9 +265,9 @@ def axis_fit(spark, sf_dir):
     return report.axis_fit(li)
 
 
-@_q("SELECT user_id AS chart_id, (list(event_id ORDER BY value DESC, event_id))[1] AS top, (list(event_id ORDER BY value, event_id))[1] AS low, round((arg_max(value,event_id)-arg_min(value,event_id))/arg_min(value,event_id)*100,4) AS change_percent FROM events WHERE value > 0 GROUP BY 1")
+@_q("SELECT user_id AS chart_id, (list(event_id ORDER BY value DESC, event_id))[1] AS top, (list(event_id ORDER BY value, event_id))[1] AS low, round((arg_max(value,event_id)-arg_min(value,event_id))/nullif(abs(arg_min(value,event_id)),0)*100,4) AS change_percent FROM events WHERE value IS NOT NULL GROUP BY 1")
 def chart_description(spark, sf_dir):
-    return report.describe_series(table(spark, sf_dir, "events").filter("value > 0").select(F.col("user_id").alias("chart_id"), F.col("event_id").alias("category"), "value"))
+    return report.describe_series(table(spark, sf_dir, "events").select(F.col("user_id").alias("chart_id"), F.col("event_id").alias("category"), "value"))
 
 
 @_q("SELECT l_orderkey, round(sum(l_extendedprice*l_quantity)/sum(l_quantity),4) AS weighted FROM lineitem GROUP BY 1")

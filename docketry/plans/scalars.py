@@ -74,9 +74,9 @@ def validator_number_roundtrip(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", numbers.validator_number(F.when(F.round("c_acctbal", 2) < 0, F.concat(shown, F.lit("-"))).otherwise(shown)).cast("double").alias("value"))
 
 
-@_q("SELECT l_orderkey, l_linenumber, list_sort([l_quantity, round(l_quantity*0.01, 8)]) AS readings FROM lineitem WHERE l_quantity > 0")
+@_q("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity IS NOT NULL THEN list_sort(list_distinct([abs(trunc(l_quantity)), round(abs(trunc(l_quantity))*0.01, 8)])) END AS readings FROM lineitem")
 def percent_readings(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").filter("l_quantity > 0")
+    li = table(spark, sf_dir, "lineitem")
     return li.select("l_orderkey", "l_linenumber", numbers.number_readings(F.concat(F.lit("about "), F.col("l_quantity").cast("int").cast("string"), F.lit("% of it"))).alias("readings"))
 
 
