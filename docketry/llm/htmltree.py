@@ -40,7 +40,19 @@ _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "
 _SCOPES = frozenset("ul ol menu dl table tbody thead tfoot select".split())
 _SCOPED = _SCOPES | frozenset(_CLOSES) | frozenset(t for closed in _CLOSES.values() for t in closed)
 _ENDS_P = _BLOCK - {"button", "label", "option", "td", "th", "tr"}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+#: Start tags that leave an open head in place; those that end an open svg or math; the elements of these two that hold HTML.
+_IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
+_ENDS_SVG = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small "
+    "span strong strike sub sup table tt u ul var".split()
+)
+_HOLDS_HTML = frozenset(("annotation-xml", "desc", "foreignobject", "title"))
+#: A quote opens a value only right after an equals sign; elsewhere it belongs to a name or an unquoted value, which > ends.
+_TOKEN = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|"
+    r"<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]+|[^\s/>][^\s/>=]*(?:\s*=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>\"'][^\s>]*)?)?)*)(?:>|\Z)",
+    re.S,
+)
 _ATTR = re.compile(r"([^\s=/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _NAME = re.compile(r"[A-Za-z]+")
 _HINT_SPLIT = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -66,7 +78,7 @@ _COLUMN = {f: i for i, f in enumerate(FEATURES)}
 
 @dataclass
 class Node:
-    """An element: its parent's number, tag, hints, and whether it or an ancestor is never text."""
+    """An element: its parent's number, tag, hints, whether it or an ancestor is never text, and whether svg or math rules hold inside it."""
 
     parent: int
     tag: str
@@ -74,6 +86,7 @@ class Node:
     hidden: bool
     link: bool
     label: int | None = None
+    foreign: bool = False
     own: int = 0
     all: int = 0
     linked: int = 0
@@ -117,6 +130,8 @@ def parse(source: str) -> Page:
     blocks, scoped, opened = [0], [], Counter()
 
     def text(raw: str) -> None:
+        if raw.strip():
+            end_head()
         if raw and not nodes[stack[-1]].hidden:
             page.runs.append((stack[-1], html.unescape(raw), block))
 
@@ -131,6 +146,10 @@ def parse(source: str) -> Page:
             if gone in _SCOPED:
                 scoped.pop()
 
+    def end_head() -> None:
+        while nodes[stack[-1]].tag == "head":
+            close(len(stack) - 1)
+
     while at < len(source):
         m = _TOKEN.search(source, at)
         if m is None:
@@ -148,6 +167,10 @@ def parse(source: str) -> Page:
                     k -= 1
                 close(k)
             continue
+        if tag not in _IN_HEAD:
+            end_head()
+        while nodes[stack[-1]].foreign and tag in _ENDS_SVG:
+            close(len(stack) - 1)
         if tag == "br":
             text(" ")
             continue
@@ -167,11 +190,11 @@ def parse(source: str) -> Page:
                 break
         above = nodes[stack[-1]]
         hints, hidden, label = _hints(tag, m[3] or "")
-        nodes.append(Node(stack[-1], tag, hints, above.hidden or hidden or tag in _HIDDEN, above.link or tag == "a", above.label if label is None else label))
+        nodes.append(Node(stack[-1], tag, hints, above.hidden or hidden or tag in _HIDDEN, above.link or tag == "a", above.label if label is None else label, tag in ("svg", "math") or above.foreign and tag not in _HOLDS_HTML))
         if tag in _BLOCK:
             block += 1
-        if tag in _RAW:
-            end = re.compile(f"</{tag}", re.I).search(source, at)
+        if tag in _RAW and not above.foreign:
+            end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, at)
             at = end.start() if end else len(source)
         if not (m[3] or "").rstrip().endswith("/") or tag in _BLOCK or tag in ("span", "a", "b", "i", "em", "strong"):
             if tag in _BLOCK:
@@ -185,7 +208,7 @@ def parse(source: str) -> Page:
         node = nodes[k]
         node.own += n
         node.marks += sum(t.count(c) for c in ".,;:!?")
-        node.upper += sum(map(str.isupper, t[:200]))
+        node.upper += sum(map(str.isupper, t))
     for node in reversed(nodes):
         node.all += node.own
         node.linked += node.own if node.link else 0
