@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docketry.functions import checksums, dates, numbers, security, text
-from docketry.session import table
+from docketry.session import dealt, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -119,8 +119,10 @@ def dates_in_text(spark, sf_dir):
     late, soon = F.date_add(d, 40), F.date_add(d, 3)
     tail = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit(" from "), form(soon, "yyyy-MM-dd"), F.lit(" to "), form(d, "yyyy-MM-dd"))).otherwise(F.concat(F.lit(" seen "), form(soon, "MMMM d, yyyy")))
     line = F.concat(F.lit("Invoice date: "), form(d, "d MMM yyyy"), F.lit("; due date "), form(late, "yyyy-MM-dd"), F.lit(" ref 12/3456 not 31.02."), F.year(d).cast("string"), tail)
-    o = table(spark, sf_dir, "orders").select("o_orderkey", line.alias("t"))
-    o = o.select("o_orderkey", dates.find_dates(F.col("t")).alias("f"), dates.date_checks(F.col("t")).alias("c"), dates.find_period(F.col("t")).alias("p"), dates.labelled_dates(F.col("t")).alias("l"), dates.linker_dates(F.col("t")).alias("k"))
+    o = dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey").select("o_orderkey", line.alias("t"))
+    # One reading of each text gives them all.
+    r = {"found": "f", "checks": "c", "period": "p", "labelled": "l", "linked": "k"}
+    o = o.select("o_orderkey", dates.all_readings(F.col("t")).alias("r")).select("o_orderkey", *(F.col(f"r.{x}").alias(y) for x, y in r.items()))
     first = lambda kind: F.get(F.filter("l", lambda x: x["kind"] == kind), F.lit(0))["date"]
     return o.select(
         "o_orderkey", F.slice(F.transform("f", lambda x: x["date"].cast("string")), 1, 3).alias("found"), F.least(F.col("c.valid"), F.lit(3)).alias("valid"), F.col("c.invalid").alias("invalid"), F.col("c.unordered").alias("unordered"), F.col("p.start").alias("start"), F.col("p.end").alias("finish"), F.col("p.rule").alias("rule"), first("start").alias("issued"), first("end").alias("due"), F.transform("k", lambda x: x.cast("string")).alias("linked"),
