@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docketry.operators.fold import folded
 from docketry.operators.structure import area, inter, overlap
-from docketry.session import settled
+from docketry.session import settled, unbroadcast
 
 _BOX = ("x1", "y1", "x2", "y2")
 #: Which kinds of region win, and by how much boxes must agree to be one.
@@ -38,7 +38,7 @@ def conflicts(regions: DataFrame) -> DataFrame:
     r = regions.select("page_id", "region_id", *_BOX, rank.alias("rank"), "confidence")
     a, b = _side(r, "a_", "region_id", "rank", "confidence"), _side(r, "b_", "region_id", "rank", "confidence")
     meet = (F.col("a_x1") < F.col("b_x2")) & (F.col("b_x1") < F.col("a_x2")) & (F.col("a_y1") < F.col("b_y2")) & (F.col("b_y1") < F.col("a_y2"))
-    j = a.join(b, "page_id").filter(meet & (F.col("a_region_id") != F.col("b_region_id")))
+    j = a.join(unbroadcast(b), "page_id").filter(meet & (F.col("a_region_id") != F.col("b_region_id")))
     shared = inter("a_", "b_")
     above = (F.col("a_rank") > F.col("b_rank")) & (shared >= CONTAINED * area("b_"))
     surer = F.struct(-F.col("a_confidence"), F.col("a_region_id")) < F.struct(-F.col("b_confidence"), F.col("b_region_id"))
@@ -58,12 +58,12 @@ def without_overlaps(regions: DataFrame) -> DataFrame:
     while not open_edges.isEmpty():
         # Winners that nothing open wins over are kept: what they win over is lost, and with it its own claims.
         beaten = open_edges.select("page_id", F.col("loser").alias("winner")).distinct()
-        sure = open_edges.join(beaten, ["page_id", "winner"], "left_anti")
+        sure = open_edges.join(unbroadcast(beaten), ["page_id", "winner"], "left_anti")
         now = settled(sure.select("page_id", F.col("loser").alias("region_id")).distinct(), "regions-lost")
         lost = now if lost is None else lost.unionByName(now)
-        rest = open_edges.join(now.withColumnRenamed("region_id", "loser"), ["page_id", "loser"], "left_anti")
-        open_edges = settled(rest.join(now.withColumnRenamed("region_id", "winner"), ["page_id", "winner"], "left_anti"), "region-conflicts")
-    return regions if lost is None else regions.join(lost, keys, "left_anti")
+        rest = open_edges.join(unbroadcast(now.withColumnRenamed("region_id", "loser")), ["page_id", "loser"], "left_anti")
+        open_edges = settled(rest.join(unbroadcast(now.withColumnRenamed("region_id", "winner")), ["page_id", "winner"], "left_anti"), "region-conflicts")
+    return regions if lost is None else regions.join(unbroadcast(lost), keys, "left_anti")
 
 
 # -- reading order

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docketry.functions import dates
-from docketry.plans import scalars
+from docketry.operators import layout
+from docketry.plans import pages, scalars
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,3 +25,9 @@ def test_dates_are_read_once(spark):
         each = {"found": dates.find_dates(t, order), "checks": dates.date_checks(t, order), "period": dates.find_period(t, order), "labelled": dates.labelled_dates(t, order), "linked": dates.linker_dates(t)}
         for row in d.select("i", dates.all_readings(t, order).alias("all"), *(c.alias(n) for n, c in each.items())).collect():
             assert row["all"].asDict() == {n: row[n] for n in each}, (order, texts[row["i"]])
+
+
+def test_overlaps_broadcast_nothing(spark):
+    q = pages.region_overlaps(spark, SF)
+    assert "Broadcast" not in q._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in layout.conflicts(spark.createDataFrame([(1, 1, "text", 0.5, 0.0, 0.0, 1.0, 1.0)], "page_id long, region_id long, type string, confidence double, x1 double, y1 double, x2 double, y2 double"))._jdf.queryExecution().executedPlan().toString()
