@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from docketry.functions import dates
-from docketry.operators import layout
+from docketry.operators import layout, reasoning, structure
 from docketry.plans import pages, scalars
 
 SF = "/root/testdata/sf0.001"
@@ -31,3 +33,17 @@ def test_overlaps_broadcast_nothing(spark):
     q = pages.region_overlaps(spark, SF)
     assert "Broadcast" not in q._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in layout.conflicts(spark.createDataFrame([(1, 1, "text", 0.5, 0.0, 0.0, 1.0, 1.0)], "page_id long, region_id long, type string, confidence double, x1 double, y1 double, x2 double, y2 double"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_hot_groups_meet_few_facts(spark):
+    rows = [(s, i, None, "m") for i, s in enumerate(sorted([*range(40), *range(0, 40, 3)]) * 2)] + [(None, 999, None, "m"), (7, None, None, "m")]
+    d = spark.createDataFrame(rows, "source_id long, fact_id long, subject string, metric string")
+    late = lambda x: (x is None, x or 0)
+    facts = [r for r in rows if r[0] is not None]
+    every = sorted(((a[0], *late(a[1]), b[0], *late(b[1])) for a in facts for b in facts if a[0] < b[0]))
+    for most in (1, 5, 20):
+        got = reasoning.unnamed_pairs(d, most).collect()
+        assert sorted((r.a_source_id, *late(r.a_fact_id), r.b_source_id, *late(r.b_fact_id)) for r in got) == every[:most]
+        assert {r.group_pairs for r in got} == {len(every)}
+    # Ranks are limits that Spark applies before it brings a group together.
+    assert reasoning.unnamed_pairs(d, 20)._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 2
