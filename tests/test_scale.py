@@ -47,3 +47,21 @@ def test_pairs_of_hot_groups_meet_few_facts(spark):
         assert {r.group_pairs for r in got} == {len(every)}
     # Ranks are limits that Spark applies before it brings a group together.
     assert reasoning.unnamed_pairs(d, 20)._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 2
+
+
+def test_relatedness_by_blocks(spark, monkeypatch):
+    rows = [(i % 31 or None, f"s{i % 13}" if i % 3 else None, f"m{i * i % 17}", "2024-01-01" if i % 5 == 0 else None, "EUR" if i % 31 % 4 == 0 else None) for i in range(140)]
+    d = spark.createDataFrame(rows, "source_id long, subject string, metric string, period_start string, currency string")
+    held = {}
+    for s, *values in rows:
+        for k, v in enumerate(values):
+            if s is not None and v is not None:
+                held.setdefault(s, set()).add((k, v))
+    want = {(a, b): len({k for k, _ in held[a] & held[b]}) / 4 for a in held for b in held if a < b and held[a] & held[b]}
+    for name, n in (("BLOCK_SOURCES", 4), ("VALUES", 3), ("PAIR_ROWS", 2)):
+        monkeypatch.setattr(reasoning, name, n)
+    q = reasoning.relatedness(d)
+    assert {(r.a_source, r.b_source): r.score for r in q.collect()} == want
+    assert reasoning.relatedness(d.filter("false")).count() == 0
+    # Pairs are made inside a task: none of them is shuffled.
+    assert "MapInArrow" in q._jdf.queryExecution().executedPlan().toString()
