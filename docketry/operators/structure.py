@@ -6,6 +6,9 @@ Relations between boxes are equi-joins on the page with range predicates. Recurs
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, bisect_right
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,15 +116,38 @@ def xy_cut(boxes: list[tuple[float, float, float, float]], page_width: float) ->
     return cut(list(range(len(boxes))))
 
 
+#: Places of the page widths met last.
+_PLACES: dict[float, list[float]] = {}
+
+
+def _gutter_places(page_width: float) -> list[float]:
+    if (found := _PLACES.get(page_width)) is None:
+        if len(_PLACES) >= 64:
+            _PLACES.clear()
+        found = _PLACES[page_width] = sorted(np.linspace(0.3 * page_width, 0.7 * page_width, 81).tolist())
+    return found
+
+
 def find_gutter(boxes: list[tuple], page_width: float) -> float | None:
-    """The middle of a vertical strip near the page's centre that at most a tenth of the boxes cross, with boxes on both sides."""
+    """The middle of a vertical strip near the page's centre that at most a tenth of the boxes cross, with boxes on both sides.
+
+    Boxes left and right of a place change only where an edge lies, so places are taken in stretches between edges, each with its place nearest to the centre.
+    """
+    if len(boxes) < 4 or not math.isfinite(page_width):
+        return None
+    places = _gutter_places(page_width)
+    ends = sorted(bisect_left(places, b[2]) for b in boxes if b[2] == b[2])
+    starts = sorted(bisect_right(places, b[0]) for b in boxes if b[0] == b[0])
+    n, most, centre = len(boxes), max(1, 0.1 * len(boxes)), len(places) // 2
+    cuts = sorted({0, len(places), *ends, *starts})
     best = None
-    for x in np.linspace(0.3 * page_width, 0.7 * page_width, 81):
-        left, right = sum(b[2] <= x for b in boxes), sum(b[0] >= x for b in boxes)
-        crossing = len(boxes) - left - right
-        if left >= 2 and right >= 2 and crossing <= max(1, 0.1 * len(boxes)):
-            score = (crossing, abs(x - page_width / 2))
-            best = min(best, (*score, float(x))) if best else (*score, float(x))
+    for lo, hi in zip(cuts, cuts[1:]):
+        left, right = bisect_right(ends, lo), len(starts) - bisect_right(starts, lo)
+        crossing = n - left - right
+        if left >= 2 and right >= 2 and crossing <= most:
+            x = places[min(max(centre, lo), hi - 1)]
+            score = (crossing, abs(x - page_width / 2), x)
+            best = min(best, score) if best else score
     return best[2] if best else None
 
 
@@ -131,12 +157,17 @@ def gutter_order(boxes: list[tuple], page_width: float, depth: int = 0) -> list[
     g = find_gutter(boxes, page_width) if depth < 2 else None
     if g is None:
         return sorted(ids, key=lambda i: (boxes[i][1], boxes[i][0], i))
-    spans = sorted((i for i in ids if boxes[i][0] < g < boxes[i][2]), key=lambda i: boxes[i][1])
-    out, rest = [], [i for i in ids if i not in spans]
+    spans = [i for i in ids if boxes[i][0] < g < boxes[i][2]]
+    crossing = set(spans)
+    spans.sort(key=lambda i: boxes[i][1])
+    out, rest = [], [i for i in ids if i not in crossing]
     for s in [*spans, None]:
-        band = [i for i in rest if s is None or boxes[i][1] < boxes[s][1]]
-        rest = [i for i in rest if i not in band]
-        for side in ([i for i in band if boxes[i][2] <= g], [i for i in band if boxes[i][0] >= g]):
+        band, after = [], []
+        for i in rest:
+            (band if s is None or boxes[i][1] < boxes[s][1] else after).append(i)
+        rest = after
+        # What does not end left of the gutter is read on the right, so that each box is read once.
+        for side in ([i for i in band if boxes[i][2] <= g], [i for i in band if not boxes[i][2] <= g]):
             out += [side[k] for k in gutter_order([boxes[i] for i in side], page_width, depth + 1)]
         out += [] if s is None else [s]
     return out

@@ -65,3 +65,16 @@ def test_relatedness_by_blocks(spark, monkeypatch):
     assert reasoning.relatedness(d.filter("false")).count() == 0
     # Pairs are made inside a task: none of them is shuffled.
     assert "MapInArrow" in q._jdf.queryExecution().executedPlan().toString()
+
+
+def test_gutters_are_found_by_edges():
+    page = [(10.0, 40.0 * i, 290.0, 40.0 * i + 30) for i in range(200)] + [(310.0, 40.0 * i, 590.0, 40.0 * i + 30) for i in range(200)] + [(10.0, 4000.0, 590.0, 4030.0)]
+    began = time.process_time()
+    for _ in range(20):
+        assert structure.find_gutter(page, 600.0) == 300.0
+    assert time.process_time() - began < 0.5  # counting all boxes at each of 81 places took over a second
+    order = structure.gutter_order(page, 600.0)
+    assert order == [*range(100), *range(200, 300), 400, *range(100, 200), *range(300, 400)]
+    # A box without width on the gutter is read once, one without an edge too.
+    odd = [*[(10.0, 40.0 * i, 290.0, 40.0 * i + 30) for i in range(3)], *[(310.0, 40.0 * i, 590.0, 40.0 * i + 30) for i in range(3)], (300.0, 200.0, 300.0, 210.0), (float("nan"), 50.0, float("nan"), 60.0)]
+    assert sorted(structure.gutter_order(odd, 600.0)) == list(range(len(odd)))
