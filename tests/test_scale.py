@@ -7,7 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from docketry.functions import dates
-from docketry.operators import layout, reasoning, structure
+from docketry.operators import layout, linking, reasoning, report, structure
 from docketry.plans import pages, scalars
 
 SF = "/root/testdata/sf0.001"
@@ -78,3 +78,14 @@ def test_gutters_are_found_by_edges():
     # A box without width on the gutter is read once, one without an edge too.
     odd = [*[(10.0, 40.0 * i, 290.0, 40.0 * i + 30) for i in range(3)], *[(310.0, 40.0 * i, 590.0, 40.0 * i + 30) for i in range(3)], (300.0, 200.0, 300.0, 210.0), (float("nan"), 50.0, float("nan"), 60.0)]
     assert sorted(structure.gutter_order(odd, 600.0)) == list(range(len(odd)))
+
+
+def test_cosines_broadcast_nothing(spark):
+    texts = spark.createDataFrame([(1, "abcd"), (2, "bcde"), (3, "xyz")], "id long, text string")
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "id long, anchor_id long")
+    counts = report.trigram_counts(texts)
+    q = report.with_cosine(pairs, counts, counts, "id", "anchor_id")
+    assert "Broadcast" not in q._jdf.queryExecution().executedPlan().toString()
+    assert {(r.anchor_id, r.cosine) for r in q.collect()} == {(2, 0.5), (3, None)}
+    names = spark.createDataFrame([(0, "acme trading"), (1, "acme tradings")], "side int, name string")
+    assert "Broadcast" not in linking.close_names(names)._jdf.queryExecution().executedPlan().toString()
