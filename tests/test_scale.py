@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from docketry.functions import dates
 from docketry.operators import layout, linking, reasoning, report, structure
 from docketry.plans import pages, scalars
+from docketry.session import settled
 
 SF = "/root/testdata/sf0.001"
 
@@ -81,11 +82,12 @@ def test_gutters_are_found_by_edges():
 
 
 def test_cosines_broadcast_nothing(spark):
-    texts = spark.createDataFrame([(1, "abcd"), (2, "bcde"), (3, "xyz")], "id long, text string")
-    pairs = spark.createDataFrame([(1, 2), (1, 3)], "id long, anchor_id long")
+    # As Parquet they are small enough to broadcast.
+    texts = settled(spark.createDataFrame([(1, "abcd"), (2, "bcde"), (3, "xyz")], "id long, text string"), "test-texts")
+    pairs = settled(spark.createDataFrame([(1, 2), (1, 3)], "id long, anchor_id long"), "test-pairs")
     counts = report.trigram_counts(texts)
     q = report.with_cosine(pairs, counts, counts, "id", "anchor_id")
     assert "Broadcast" not in q._jdf.queryExecution().executedPlan().toString()
     assert {(r.anchor_id, r.cosine) for r in q.collect()} == {(2, 0.5), (3, None)}
-    names = spark.createDataFrame([(0, "acme trading"), (1, "acme tradings")], "side int, name string")
+    names = settled(spark.createDataFrame([(0, "acme trading"), (1, "acme tradings")], "side int, name string"), "test-names")
     assert "Broadcast" not in linking.close_names(names)._jdf.queryExecution().executedPlan().toString()
